@@ -75,7 +75,7 @@ def degradation(metrics: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 def retraining_due(
     triggers: DataFrame, stats: DataFrame, now: dt.datetime | str, cooldown_hours: int = 24,
-    degradation_limit: float = 0.05, drift_limit: float = 0.2, max_age_days: int = 30, min_new_rows: int = 1000,
+    degradation_limit: float = 0.05, drift_limit: float = 0.2, max_age_days: int = 30, min_new_rows: int = 10000,
 ) -> DataFrame:
     """Triggers joined with the model statistics, plus `fires`.
 

@@ -125,7 +125,7 @@ class Cube:
         for name, condition in query.having.items():
             result = result.filter(having_condition(F.col(name), condition))
         if query.order_by:
-            result = result.orderBy(*[_order(text) for text in query.order_by])
+            result = result.orderBy(*[part for text in query.order_by for part in self._order(text, query)])
         return result if query.limit is None else result.limit(query.limit)
 
     def dimension_values(self, name: str) -> DataFrame:
@@ -139,6 +139,15 @@ class Cube:
             return [F.col(level.column).alias(level.name) for level in dimension.down_to(query.shown_level[name])]
         return [F.col(dimension.column).alias(name)]
 
+    def _order(self, text: str, query: CubeQuery) -> list[Column]:
+        """`name` or `name desc`; a hierarchy orders by each of its shown levels."""
+        name, _, direction = text.partition(" ")
+        names = [name]
+        if name in query.shown_level:
+            names = [level.name for level in self.schema.dimension(name).down_to(query.shown_level[name])]
+        falling = direction.strip().lower() == "desc"
+        return [F.col(n).desc() if falling else F.col(n).asc() for n in names]
+
     def _filter(self, name: str, wanted: Any) -> Column:
         dimension = next((d for d in self.schema.dimensions if d.name == name), None)
         levels = {level.name: level.column for d in self.schema.dimensions for level in d.levels}
@@ -163,11 +172,6 @@ def having_condition(column: Column, condition: str) -> Column:
     return COMPARISONS[operator](column, F.lit(value))
 
 
-def _order(text: str) -> Column:
-    name, _, direction = text.partition(" ")
-    return F.col(name).desc() if direction.strip().lower() == "desc" else F.col(name).asc()
-
-
 Operation = Callable[[CubeQuery], CubeQuery]
 
 
@@ -220,7 +224,8 @@ def top_n(measure: str, n: int, ascending: bool = False) -> Operation:
 
     def apply(query: CubeQuery) -> CubeQuery:
         order = (measure if ascending else f"{measure} desc", *query.dimensions)
-        return replace(query, order_by=order, limit=n)
+        measures = query.measures if measure in query.measures else (*query.measures, measure)
+        return replace(query, measures=measures, order_by=order, limit=n)
 
     return apply
 
