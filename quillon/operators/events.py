@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the event format.
@@ -34,40 +36,49 @@ DEFAULT_TYPE = {
 DEFAULTS = {"source_version": "1.0.0", "schema_version": "1.0"}
 
 
-def decode_events(df: DataFrame, column: str = "value") -> DataFrame:
-    """Add the event fields found in a JSON text column; `payload` and `metadata` stay JSON text.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row, however often the body reads it.
 
-    The text is parsed once, into a variant, and each field is read from there.
+    A plain column would be copied into every use when Catalyst pushes a filter on the result
+    below the projection, and each copy would parse the JSON again.
     """
-    parsed = df.withColumn("_event", F.try_parse_json(F.col(column).cast("string")))
-
-    def text(name: str) -> Column:
-        value = F.try_variant_get("_event", f"$.{name}", "string")
-        if name in DEFAULTS:
-            value = F.coalesce(value, F.lit(DEFAULTS[name]))
-        return value.alias(name)
-
-    moment = F.try_variant_get("_event", "$.timestamp", "string")
-    moment_type = F.schema_of_variant(F.try_variant_get("_event", "$.timestamp", "variant"))
-    is_number = moment_type.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-    timestamp = (
-        F.when(is_number, F.timestamp_micros((moment.try_cast("double") * 1_000_000).cast("long")))
-        .when((moment_type == "STRING") & moment.rlike(ISO_TIME), moment.try_cast("timestamp"))
-    )
-    return parsed.select(
-        *df.columns,
-        F.col("_event").isNotNull().alias("is_json"),
-        moment.isNotNull().alias("has_timestamp"),
-        timestamp.alias("event_time"),
-        *[text(name) for name in TEXT_FIELDS],
-        *[F.try_variant_get("_event", f"$.{name}", "double").alias(name) for name in NUMBER_FIELDS],
-        F.try_variant_get("_event", "$.payload", "map<string,variant>").alias("_payload_map"),
-        F.to_json(F.try_variant_get("_event", "$.payload", "variant")).alias("payload"),
-        F.to_json(F.try_variant_get("_event", "$.metadata", "variant")).alias("metadata"),
-    )
-
-
-def event_errors(schema_name: str = "base_event") -> Column:
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def decoded(value: Column) -> Column:
+    """The event fields of a JSON text as one struct; `payload` and `metadata` stay JSON text.
+
+    Time, payload and metadata are parsed as variants, since their JSON type matters; the other
+    fields are text, so no wrong type can spoil a record.
+    """
+    kinds = [f"`{name}` string" for name in TEXT_FIELDS + NUMBER_FIELDS]
+    kinds += ["`timestamp` variant", "payload variant", "metadata variant", "_broken string"]
+    parsed = F.from_json(value.cast("string"), ", ".join(kinds), {"columnNameOfCorruptRecord": "_broken"})
+
+    def fields(e: Column) -> Column:
+        moment = F.variant_get(e["timestamp"], "$", "string")
+        kind = F.schema_of_variant(e["timestamp"])
+        timestamp = F.when(
+            kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"),
+            F.timestamp_micros((moment.try_cast("double") * 1_000_000).cast("long")),
+        ).when((kind == "STRING") & moment.rlike(ISO_TIME), moment.try_cast("timestamp"))
+        text = {name: F.coalesce(e[name], F.lit(DEFAULTS[name])) if name in DEFAULTS else e[name] for name in TEXT_FIELDS}
+        payload = F.try_variant_get(e["payload"], "$", "map<string,variant>")
+        return F.struct(
+            (e.isNotNull() & e["_broken"].isNull()).alias("is_json"),
+            moment.isNotNull().alias("has_timestamp"),
+            timestamp.alias("event_time"),
+            *[column.alias(name) for name, column in text.items()],
+            *[e[name].try_cast("double").alias(name) for name in NUMBER_FIELDS],
+            F.coalesce(F.map_keys(payload), F.array().cast("array<string>")).alias("payload_keys"),
+            F.to_json(e["payload"]).alias("payload"),
+            F.to_json(e["metadata"]).alias("metadata"),
+        )
+
+    return _bound(parsed, fields)
+
+
+def event_errors(event: Column, schema_name: str = "base_event") -> Column:
     """Array of the problems of a decoded event under a named schema; empty when it is valid."""
     if schema_name not in SCHEMA_NAMES:
         raise ValueError(f"Unknown schema: {schema_name}")
@@ -75,41 +86,45 @@ def event_errors(schema_name: str = "base_event") -> Column:
     def problem(test: Column, message: str) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), F.lit(message))
 
-    present = F.col("is_json")
-    event_type = F.coalesce(F.col("event_type"), F.lit(DEFAULT_TYPE.get(schema_name)))
-    keys = F.map_keys("_payload_map")
-    checks = [problem(~present, "not json")]
-    checks += [problem(present & F.col(name).isNull(), f"missing {name}") for name in REQUIRED[schema_name]]
-    checks += [
-        problem(present & ~event_type.isin(EVENT_TYPES), "unknown event_type"),
-        problem(present & F.col("has_timestamp") & F.col("event_time").isNull(), "bad timestamp"),
-        problem(present & F.coalesce(F.size("_payload_map") <= 0, F.lit(True)), "empty payload"),
-    ]
-    if schema_name == "user_action":
-        checks += [
-            problem(present & (F.size("_payload_map") > 0) & ~F.array_contains(keys, name), f"payload without {name}")
-            for name in ("page", "element")
+    def checks(e: Column) -> Column:
+        present, filled = e["is_json"], F.size(e["payload_keys"]) > 0
+        event_type = F.coalesce(e["event_type"], F.lit(DEFAULT_TYPE.get(schema_name)))
+        found = [problem(~present, "not json")]
+        found += [problem(present & e[name].isNull(), f"missing {name}") for name in REQUIRED[schema_name]]
+        found += [
+            problem(present & ~event_type.isin(EVENT_TYPES), "unknown event_type"),
+            problem(present & e["has_timestamp"] & e["event_time"].isNull(), "bad timestamp"),
+            problem(present & ~filled, "empty payload"),
         ]
-    if schema_name == "system_event":
-        checks.append(problem(present & ~F.upper("severity").isin(SEVERITIES), "unknown severity"))
-    if schema_name == "ml_prediction":
-        checks.append(problem(~F.col("confidence_score").between(0.0, 1.0), "confidence out of range"))
-    if schema_name == "metric_event":
-        checks.append(problem(~F.lower("metric_type").isin(METRIC_TYPES), "unknown metric_type"))
-        checks.append(problem(present & F.col("metric_value").isNull(), "missing metric_value"))
-    return F.array_compact(F.array(*checks))
+        if schema_name == "user_action":
+            found += [
+                problem(present & filled & ~F.array_contains(e["payload_keys"], name), f"payload without {name}")
+                for name in ("page", "element")
+            ]
+        if schema_name == "system_event":
+            found.append(problem(present & ~F.upper(e["severity"]).isin(SEVERITIES), "unknown severity"))
+        if schema_name == "ml_prediction":
+            found.append(problem(~e["confidence_score"].between(0.0, 1.0), "confidence out of range"))
+        if schema_name == "metric_event":
+            found.append(problem(~F.lower(e["metric_type"]).isin(METRIC_TYPES), "unknown metric_type"))
+            found.append(problem(present & e["metric_value"].isNull(), "missing metric_value"))
+        return F.array_compact(F.array(*found))
+
+    return _bound(event, checks)
 
 
 def check_events(df: DataFrame, column: str = "value", schema_name: str = "base_event") -> DataFrame:
-    """Decode and check; severity and metric type come out in their normal case."""
-    checked = decode_events(df, column).withColumn("errors", event_errors(schema_name)).drop("_payload_map")
+    """Add the decoded fields, `errors` and `is_valid`; severity and metric type get their normal case."""
+    rows = df.withColumn("_event", decoded(F.col(column)))
+    rows = rows.select(*df.columns, "_event.*", event_errors(F.col("_event"), schema_name).alias("errors"))
+    rows = rows.drop("payload_keys", "is_json", "has_timestamp")
     if schema_name in DEFAULT_TYPE:
-        checked = checked.withColumn("event_type", F.coalesce("event_type", F.lit(DEFAULT_TYPE[schema_name])))
+        rows = rows.withColumn("event_type", F.coalesce("event_type", F.lit(DEFAULT_TYPE[schema_name])))
     if schema_name == "system_event":
-        checked = checked.withColumn("severity", F.coalesce(F.upper("severity"), F.lit("INFO")))
+        rows = rows.withColumn("severity", F.coalesce(F.upper("severity"), F.lit("INFO")))
     if schema_name == "metric_event":
-        checked = checked.withColumn("metric_type", F.lower("metric_type"))
-    return checked.withColumn("is_valid", F.size("errors") == 0)
+        rows = rows.withColumn("metric_type", F.lower("metric_type"))
+    return rows.withColumn("is_valid", F.size("errors") == 0)
 
 
 def split_events(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import cube  # noqa: F401
+from quillon.plans import cube, features, joins, quality, windowing  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
