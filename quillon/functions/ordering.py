@@ -41,11 +41,13 @@ def ordered_counts(
     keys: list[str],
     value: str,
     counts: dict[str, Column] | None = None,
+    keep_range: bool = False,
 ) -> DataFrame:
     """Distinct non-null values per key, with running counts.
 
     For each entry of `counts` (default `n`, the row count) the result holds `<name>`,
     `<name>_before` (total over smaller values) and `<name>_total` (total over the key).
+    With `keep_range` the value range of each row stays, as `_range`.
     """
     counts = counts or {"n": F.count(F.lit(1))}
     present = df.filter(F.col(value).isNotNull())
@@ -84,9 +86,33 @@ def ordered_counts(
         *[F.col(name) for name in counts],
         *[(F.col(f"_{name}_run") + F.col(f"_{name}_shift")).alias(f"{name}_before") for name in counts],
         *[F.col(f"{name}_total") for name in counts],
+        *(["_range"] if keep_range else []),
     )
 
 
+def running_extreme(ordered: DataFrame, keys: list[str], value: str, column: str, rising: bool) -> DataFrame:
+    """Replace `column` by its running maximum (rising), or its running minimum from the top.
+
+    `ordered` comes from ordered_counts with keep_range; ranges are combined as the counts are.
+    """
+    best = F.max if rising else F.min
+    pick = F.greatest if rising else F.least
+    turn = (lambda c: F.col(c).asc()) if rising else (lambda c: F.col(c).desc())
+    whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(turn("_range"))
+    per_range = ordered.groupBy(*keys, "_range").agg(best(column).alias("_best"))
+    earlier = per_range.select(
+        *[F.col(key).alias(f"_k_{key}") for key in keys],
+        F.col("_range").alias("_k_range"),
+        best("_best").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+    )
+    within = Window.partitionBy(*keys, "_range").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("_range") == F.col("_k_range")
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    rows = ordered.withColumn(column, best(column).over(within)).join(earlier, on)
+    return rows.select(*[pick(column, "_earlier").alias(column) if c == column else F.col(c) for c in ordered.columns])
+
+
 def value_at(value: str, index: Column) -> Column:
     """Aggregate: the value at a 0-based position of the sorted rows of an ordered_counts group."""
     here = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))

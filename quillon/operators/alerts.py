@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass(frozen=True)
@@ -78,44 +79,57 @@ def with_cooldown(alerts: DataFrame, keys: list[str], time: str, cooldown_minute
     """Add `emitted`: an alert is held back while the last *emitted* one of its key is too recent.
 
     After a pause of at least the cooldown the next alert is always emitted, so the alerts of a
-    key fall into independent bursts. Bursts are found from slices one cooldown wide, then each
-    burst is read once in time order; no group is held in memory.
+    key fall into independent bursts, found from slices one cooldown wide. Only the distinct
+    times of a burst are read in order, one Arrow batch at a time, jumping from one emitted time
+    to the next. `tie` must be unique; it picks among alerts of equal time.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     width = F.greatest(F.col(cooldown_minutes), F.lit(0)).cast("long") * 60_000_000
     rows = alerts.withColumn("_us", micros).withColumn("_width", width)
-    rows = rows.withColumn("_slice", F.when(F.col("_width") > 0, F.floor(F.col("_us") / F.col("_width"))))
-    held = rows.filter(F.col("_width") > 0)
-    free = rows.filter(F.col("_width") <= 0)
-    slices = held.groupBy(*keys, "_width", "_slice").agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
+    held = rows.filter(F.col("_width") > 0).withColumn("_slice", F.floor(F.col("_us") / F.col("_width")))
+    times = held.groupBy(*keys, "_width", "_slice", "_us").agg(F.min(tie).alias("_tie"))
+    slices = times.groupBy(*keys, "_width", "_slice").agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
     in_time = Window.partitionBy(*keys, "_width").orderBy("_slice")
     starts = F.coalesce((F.col("_low") - F.lag("_high").over(in_time) >= F.col("_width")).cast("int"), F.lit(1))
     bursts = slices.withColumn("_starts", starts).withColumn("_burst", F.sum("_starts").over(in_time))
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(name).eqNullSafe(F.col(f"_b_{name}")) for name in [*keys, "_width", "_slice"]],
-    )
-    placed = held.join(
-        bursts.select(*[F.col(n).alias(f"_b_{n}") for n in [*keys, "_width", "_slice"]], "_burst"), on
-    ).select(*rows.columns, "_burst")
-    identity = [*keys, "_burst"]
-    ordered = placed.repartition(*identity).sortWithinPartitions(*identity, "_us", tie)
-    out = [f for f in ordered.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", emitted boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = [*keys, "_width", "_slice"]
+    placed = times.join(
+        bursts.select(*[F.col(n).alias(f"_b_{n}") for n in place], "_burst"), _same(place, "_b_")
+    ).select(F.xxhash64(*keys, "_width", "_burst").alias("_part"), *keys, "_width", "_burst", "_us", "_tie")
+    identity = [*keys, "_width", "_burst"]
+    ordered = placed.repartition(*identity).sortWithinPartitions("_part", *identity, "_us")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         burst, last = None, 0
         for batch in batches:
-            flags = []
-            names = batch[identity].astype(object).where(batch[identity].notna(), None)
-            for name, moment, wait in zip(
-                names.itertuples(index=False, name=None), batch["_us"], batch["_width"]
-            ):
-                emit = name != burst or moment - last >= wait
-                if emit:
-                    burst, last = name, moment
-                flags.append(emit)
-            yield batch.assign(emitted=flags)
-
-    kept = ordered.mapInPandas(fold, schema).select(*alerts.columns, "emitted")
-    return kept.unionByName(free.select(*alerts.columns, F.lit(True).alias("emitted")))
+            moments, waits = batch["_us"].to_numpy(), batch["_width"].to_numpy()
+            codes = batch.groupby(identity, sort=False, dropna=False).ngroup().to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(batch)]
+            kept = []
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                name = tuple(None if pd.isna(v) else v for v in batch.loc[batch.index[start], identity])
+                at = start
+                if name == burst:
+                    at = start + int(np.searchsorted(moments[start:end], last + waits[start]))
+                while at < end:
+                    kept.append(at)
+                    last = moments[at]
+                    at = start + int(np.searchsorted(moments[start:end], last + waits[start]))
+                burst = name
+            yield batch.iloc[kept]
+
+    chosen = ordered.mapInPandas(emitted, schema)
+    mark = [*keys, "_us", "_tie"]
+    marked = held.withColumn("_tie", F.col(tie)).join(
+        chosen.select(*[F.col(n).alias(f"_e_{n}") for n in mark]), _same(mark, "_e_"), "left"
+    )
+    flagged = marked.select(*alerts.columns, F.col("_e__us").isNotNull().alias("emitted"))
+    free = rows.filter(F.col("_width") <= 0)
+    return flagged.unionByName(free.select(*alerts.columns, F.lit(True).alias("emitted")))
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.functions.ordering import ordered_counts
+from quillon.functions.ordering import ordered_counts, running_extreme
 from quillon.functions.tails import chi_square_p, normal_cdf, normal_p, normal_point, student_p, student_quantile
 
 
@@ -122,18 +122,14 @@ def chi_square(df: DataFrame, row: str, column: str, alpha: float = 0.05) -> Dat
         F.sum(F.col("o") ** 2 / expected).alias("_ratio"),
         F.max(F.abs(F.col("o") - expected)).alias("_gap"),
     )
-    sums = (
-        sums.withColumn("_rows", rows.agg(F.count(F.lit(1))).scalar())
-        .withColumn("_columns", columns.agg(F.count(F.lit(1))).scalar())
-        .withColumn("_inverse_r", rows.agg(F.sum(1 / F.col("r"))).scalar())
-        .withColumn("_inverse_c", columns.agg(F.sum(1 / F.col("c"))).scalar())
-    )
-    corrected = F.greatest(F.col("_gap") - F.lit(0.5), F.lit(0.0)) ** 2 * F.col("n") * F.col("_inverse_r") * F.col("_inverse_c")
-    degrees = (F.col("_rows") - 1) * (F.col("_columns") - 1)
+    side = lambda df, total: df.agg(F.struct(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col(total)).alias("inverse"))).scalar()
+    sums = sums.withColumn("_r", side(rows, "r")).withColumn("_c", side(columns, "c"))
+    corrected = F.greatest(F.col("_gap") - F.lit(0.5), F.lit(0.0)) ** 2 * F.col("n") * F.col("_r.inverse") * F.col("_c.inverse")
+    degrees = (F.col("_r.k") - 1) * (F.col("_c.k") - 1)
     return (
         sums.withColumn("statistic", F.when(degrees == 1, corrected).otherwise(F.col("_ratio") - F.col("n")))
         .withColumn("degrees_of_freedom", degrees.cast("double"))
-        .withColumn("cramers_v", F.sqrt(F.try_divide(F.col("statistic"), F.col("n") * (F.least("_rows", "_columns") - 1))))
+        .withColumn("cramers_v", F.sqrt(F.try_divide(F.col("statistic"), F.col("n") * (F.least("_r.k", "_c.k") - 1))))
         .withColumn("p_value", chi_square_p("statistic", "degrees_of_freedom"))
         .withColumn("is_significant", F.col("p_value") < alpha)
         .select("n", "statistic", "degrees_of_freedom", "cramers_v", "p_value", "is_significant")
@@ -172,34 +168,50 @@ def sequential_test(moments: DataFrame, alpha: float = 0.05, beta: float = 0.2,
 CORRECTIONS = ("bonferroni", "holm", "benjamini_hochberg", "benjamini_yekutieli", "sidak")
 
 
-def corrected_p(tests: DataFrame, family: str, label: str, method: str = "benjamini_hochberg", alpha: float = 0.05) -> DataFrame:
-    """Multiple-comparison correction of `p_value` within each family of tests."""
+def corrected_p(tests: DataFrame, family: str, method: str = "benjamini_hochberg", alpha: float = 0.05) -> DataFrame:
+    """Multiple-comparison correction of `p_value` within each family of tests.
+
+    Equal p-values get equal corrections, so the step methods work on distinct p-values with
+    counts: Holm takes the running maximum of p * (m - smaller ones), the two false-discovery
+    methods the running minimum from the top of p * m / (ones up to it).
+    """
     if method not in CORRECTIONS:
         raise ValueError(f"unknown correction {method}")
-    whole = Window.partitionBy(family)
-    rising = whole.orderBy("p_value", label)
-    m, p = F.count(F.lit(1)).over(whole), F.col("p_value")
-    if method == "bonferroni":
-        corrected = p * m
-    elif method == "sidak":
-        corrected = 1 - F.pow(1 - p, m)
+    p = F.col("p_value")
+    if method in ("bonferroni", "sidak"):
+        sizes = tests.groupBy(F.col(family).alias("_family")).agg(F.count("p_value").alias("_m"))
+        joined = tests.join(sizes, F.col(family).eqNullSafe(F.col("_family")), "left")
+        corrected = p * F.col("_m") if method == "bonferroni" else 1 - F.pow(1 - p, F.col("_m"))
+        result = joined.withColumn("corrected_p_value", F.least(corrected, F.lit(1.0))).drop("_family", "_m")
     else:
-        ranked = tests.withColumn("_m", m).withColumn("_rank", F.row_number().over(rising))
+        m = F.col("n_total")
         if method == "holm":
-            ranked = ranked.withColumn("_raw", p * (F.col("_m") - F.col("_rank") + 1))
-            corrected = F.max("_raw").over(rising.rowsBetween(Window.unboundedPreceding, 0))
+            raw = p * (m - F.col("n_before"))
         else:
             factor = F.lit(1.0)
             if method == "benjamini_yekutieli":
-                factor = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
-            ranked = ranked.withColumn("_raw", p * F.col("_m") / F.col("_rank") * factor)
-            corrected = F.min("_raw").over(rising.rowsBetween(0, Window.unboundedFollowing))
-        tests = ranked
-    return (
-        tests.withColumn("corrected_p_value", F.least(corrected, F.lit(1.0)))
-        .withColumn("reject_null", F.col("corrected_p_value") <= alpha)
-        .drop("_m", "_rank", "_raw")
+                factor = harmonic(m)
+            raw = p * m / (F.col("n_before") + F.col("n")) * factor
+        ordered = ordered_counts(tests, [family], "p_value", keep_range=True).withColumn("_raw", raw)
+        stepped = running_extreme(ordered, [family], "p_value", "_raw", rising=method == "holm").select(
+            F.col(family).alias("_family"), F.col("p_value").alias("_p"), "_raw"
+        )
+        on = F.col(family).eqNullSafe(F.col("_family")) & (p == F.col("_p"))
+        result = (
+            tests.join(stepped, on, "left")
+            .withColumn("corrected_p_value", F.least("_raw", F.lit(1.0)))
+            .drop("_family", "_p", "_raw")
+        )
+    return result.withColumn("reject_null", F.col("corrected_p_value") <= alpha)
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m; beyond 1000 terms by its expansion, exact to double precision."""
+    short = F.aggregate(
+        F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0), lambda total, k: total + 1 / k
     )
+    large = F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)
+    return F.when(m <= 1000, short).otherwise(large)
 
 
 def bayesian(

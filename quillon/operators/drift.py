@@ -263,7 +263,7 @@ def numeric_psi(reference: DataFrame, current: DataFrame, min_rows: int = 10, ma
     even = F.transform(F.sequence(F.lit(0), F.col("_bins")), lambda k: low + (high - low) * k / F.col("_bins"))
     edges = edges.withColumn("_edges", F.when(F.size("_quantiles") < 3, even).otherwise(F.col("_quantiles")))
     # One row of edges per feature, so the side is as small as the list of features.
-    placed = ordered.join(F.broadcast(edges.select("feature_name", "_edges")), "feature_name")
+    placed = _sided(reference, current).join(F.broadcast(edges.select("feature_name", "_edges")), "feature_name")
     last = F.size("_edges") - 1
     index = F.size(F.filter("_edges", lambda e: e <= F.col("value"))) - 1
     index = F.when(F.col("value") == F.element_at("_edges", -1), last - 1).otherwise(index)
@@ -271,7 +271,7 @@ def numeric_psi(reference: DataFrame, current: DataFrame, min_rows: int = 10, ma
         placed.withColumn("_bin", index)
         .filter((F.col("_bin") >= 0) & (F.col("_bin") < last))
         .groupBy("feature_name", "_bin")
-        .agg(F.sum("ref").alias("_ref"), F.sum("cur").alias("_cur"))
+        .agg(F.count_if("is_reference").alias("_ref"), F.count_if(~F.col("is_reference")).alias("_cur"))
     )
     totals = binned.groupBy("feature_name").agg(F.sum("_ref").alias("_t_ref"), F.sum("_cur").alias("_t_cur"))
     share = lambda side: F.when(F.col(f"_{side}") > 0, F.col(f"_{side}") / F.col(f"_t_{side}")).otherwise(F.lit(EPSILON))

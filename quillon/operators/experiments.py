@@ -80,21 +80,19 @@ def user_conversions(assignments: DataFrame, events: DataFrame, user: str, prima
     return assignments.join(converted, user, "left").select("variant", F.coalesce("_hit", F.lit(0.0)).alias("value"))
 
 
-def variant_stats(values: DataFrame, variants: list[str]) -> DataFrame:
+def variant_stats(values: DataFrame, variants: list[str], with_median: bool = True) -> DataFrame:
     """Size, mean, sample deviation, variance and exact median per variant; 0 where there is no data."""
-    moments = values.groupBy("variant").agg(
+    result = values.groupBy("variant").agg(
         F.count("value").alias("sample_size"),
         F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("var"),
     )
-    median = quantiles(values, ["variant"], "value", {"median": linear_quantile("value", 0.5)})
+    if with_median:
+        median = quantiles(values, ["variant"], "value", {"median": linear_quantile("value", 0.5)})
+        result = result.join(median, "variant")
     spine = values.sparkSession.createDataFrame([(v,) for v in variants], "variant string")
-    return (
-        spine.join(moments, "variant", "left")
-        .join(median, "variant", "left")
-        .na.fill(0, ["sample_size", "mean", "std", "var", "median"])
-    )
+    return spine.join(result, "variant", "left").na.fill(0)
 
 
 def variant_pairs(stats: DataFrame, variants: list[str]) -> DataFrame:

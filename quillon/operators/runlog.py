@@ -219,7 +219,7 @@ def readings_by_rule(readings: DataFrame, rules: list[MetricRule]) -> DataFrame:
     return present.select("*", F.explode(F.array_compact(F.array(*named))).alias("_r")).select(*readings.columns, "_r.*")
 
 
-def metric_alerts(readings: DataFrame, rules: list[MetricRule], time: str, tie: str, slice_seconds: int = 86_400) -> DataFrame:
+def metric_alerts(readings: DataFrame, rules: list[MetricRule], time: str, tie: str, slice_seconds: int = 3_600) -> DataFrame:
     """Transitions per rule: triggered, updated while it stays on, resolved."""
     rows = readings_by_rule(readings, rules)
     looked = with_previous(rows, ["rule_name"], time, tie, F.col("holds"), "_was", slice_seconds)

@@ -196,11 +196,9 @@ def window_aggregate(
     if isinstance(window, Everything):
         return _whole(rows, key, aggs)
     kind = df.schema[time].dataType.simpleString()
-    placed = _sliced(rows, key, window, aggs)
-    result = placed
-    exact = [agg for agg in aggs if agg.kind not in SPLITTABLE]
-    if exact:
-        result = _with_exact(rows, placed, key, window, aggs, exact)
+    result = _sliced(rows, key, window, aggs)
+    if any(agg.kind not in SPLITTABLE for agg in aggs):
+        result = _with_exact(rows, result, key, window, aggs)
     return result.select(
         key,
         F.timestamp_micros("_start").cast(kind).alias("window_start"),
@@ -224,14 +222,20 @@ def _whole(rows: DataFrame, key: str, aggs: list[Agg]) -> DataFrame:
     simple = [agg for agg in aggs if agg.kind != "percentile"]
     kept = [column for column, agg in zip(_direct(aggs, False), aggs) if agg in simple]
     result = rows.groupBy(key).agg(*(kept or [F.count(F.lit(1)).alias("_rows")]))
-    for at, agg in enumerate(aggs):
-        if agg.kind == "percentile":
-            result = _beside(result, _percentile(rows, [key], at, agg), [key])
-    return result.select(key, *[agg.label for agg in aggs])
+    return _with_percentiles(result, rows, [key], aggs).select(key, *[agg.label for agg in aggs])
 
 
-def _percentile(rows: DataFrame, keys: list[str], at: int, agg: Agg) -> DataFrame:
-    return quantiles(rows, keys, f"_f{at}", {agg.label: indexed_quantile(f"_f{at}", agg.percentile)})
+def _with_percentiles(result: DataFrame, rows: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
+    """Join the percentiles to the other aggregations; those of one field share one ordering."""
+    by_field: dict[str, list[tuple[int, Agg]]] = {}
+    for at, agg in enumerate(aggs):
+        if agg.kind == "percentile":
+            by_field.setdefault(agg.field, []).append((at, agg))
+    for wanted in by_field.values():
+        value = f"_f{wanted[0][0]}"
+        picks = {agg.label: indexed_quantile(value, agg.percentile) for _, agg in wanted}
+        result = _beside(result, quantiles(rows, keys, value, picks), keys)
+    return result
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -307,17 +311,13 @@ def _assigned(rows: DataFrame, key: str, window) -> DataFrame:
     return rows.withColumn("_start", F.explode(_starts(F.col("_us"), size, step)))
 
 
-def _with_exact(rows, placed, key, window, aggs, exact) -> DataFrame:
+def _with_exact(rows: DataFrame, result: DataFrame, key: str, window, aggs: list[Agg]) -> DataFrame:
     """Add distinct counts and percentiles next to the sliced aggregations."""
     assigned = _assigned(rows, key, window)
     distinct = [column for column, agg in zip(_direct(aggs, False), aggs) if agg.kind == "distinct_count"]
-    result = placed
     if distinct:
         result = _beside(result, assigned.groupBy(key, "_start").agg(*distinct), [key, "_start"])
-    for at, agg in enumerate(aggs):
-        if agg.kind == "percentile":
-            result = _beside(result, _percentile(assigned, [key, "_start"], at, agg), [key, "_start"])
-    return result
+    return _with_percentiles(result, assigned, [key, "_start"], aggs)
 
 
 def window_definitions(df: DataFrame, definitions: dict[str, tuple[str, object, list[Agg]]], **options) -> dict[str, DataFrame]:

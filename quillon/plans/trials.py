@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.operators import comparison, experiments
 from quillon.operators.experiments import Flag, TargetRule
 from quillon.plans.registry import query, rounded, table
+from quillon.session import checkpointed
 
 VARIANTS = [("control", 40.0), ("green", 30.0), ("blue", 20.0)]
 NAMES = [name for name, _ in VARIANTS]
@@ -87,6 +88,12 @@ def stats(spark, folder):
     return experiments.variant_stats(experiments.metric_values(tracked(spark, folder), "purchase"), NAMES)
 
 
+def moments(spark, folder):
+    """The same without the median."""
+    values = experiments.metric_values(tracked(spark, folder), "purchase")
+    return experiments.variant_stats(values, NAMES, with_median=False)
+
+
 @query("variant_stats", TRACKED + """
 SELECT variant, count(*) AS sample_size, round(avg(value), 9) AS mean, round(stddev_samp(value), 6) AS std, round(var_samp(value), 4) AS var, round(median(value), 6) AS median
 FROM v GROUP BY variant""")
@@ -104,7 +111,14 @@ def user_conversions(spark, folder):
 
 
 def tests(spark, folder):
-    return comparison.t_test(experiments.variant_pairs(stats(spark, folder), NAMES))
+    return comparison.t_test(experiments.variant_pairs(moments(spark, folder), NAMES))
+
+
+def measured(spark, folder):
+    """Variant statistics and their tests. The few rows of statistics are written once, so the
+    queries that need both do not scan the events again."""
+    rows = checkpointed(moments(spark, folder))
+    return rows, comparison.t_test(experiments.variant_pairs(rows, NAMES))
 
 
 PAIRS = TRACKED + """
@@ -126,7 +140,7 @@ def variant_t_tests(spark, folder):
 SELECT variant_a, variant_b, round((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b), 6) AS statistic,
   round((v_a / n_a + v_b / n_b) ** 2 / ((v_a / n_a) ** 2 / (n_a - 1) + (v_b / n_b) ** 2 / (n_b - 1)), 4) AS degrees_of_freedom FROM p""")
 def variant_welch_tests(spark, folder):
-    pairs = experiments.variant_pairs(stats(spark, folder), NAMES)
+    pairs = experiments.variant_pairs(moments(spark, folder), NAMES)
     made = comparison.t_test(pairs, equal_var=False).select("variant_a", "variant_b", "statistic", "degrees_of_freedom")
     return rounded(rounded(made, 6, "statistic"), 4, "degrees_of_freedom")
 
@@ -134,7 +148,7 @@ def variant_welch_tests(spark, folder):
 @query("variant_tests_corrected")
 def variant_tests_corrected(spark, folder):
     family = tests(spark, folder).withColumn("family", F.lit("checkout"))
-    return comparison.corrected_p(family, "family", "variant_b").select(
+    return comparison.corrected_p(family, "family").select(
         "variant_a", "variant_b", "p_value", "corrected_p_value", "reject_null", "ci_lower", "ci_upper"
     )
 
@@ -233,7 +247,7 @@ def _correction(method):
         rows = table(spark, folder, "part").select(
             F.col("p_brand").alias("family"), F.col("p_partkey").alias("test"), ((F.col("p_partkey") * 7919) % 1009 / 20000.0).alias("p_value")
         )
-        made = comparison.corrected_p(rows, "family", "test", method).select("family", "test", "corrected_p_value")
+        made = comparison.corrected_p(rows, "family", method).select("family", "test", "corrected_p_value")
         return rounded(made, 12, "corrected_p_value")
 
     return run
@@ -252,13 +266,13 @@ for _method, _sql in {
 @query("experiment_stopping", ASSIGNED + "SELECT true AS should_stop, 'Maximum duration reached: 30 days' AS reason FROM a LIMIT 1")
 def experiment_stopping(spark, folder):
     return experiments.stopping(
-        stats(spark, folder), tests(spark, folder), 10, 30, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
+        *measured(spark, folder), 10, 30, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
     )
 
 
 @query("experiment_winner", TRACKED + "SELECT variant AS winner FROM v GROUP BY variant ORDER BY avg(value) DESC LIMIT 1")
 def experiment_winner(spark, folder):
-    return experiments.winner(stats(spark, folder), tests(spark, folder)).select("winner")
+    return experiments.winner(*measured(spark, folder)).select("winner")
 
 
 FLAG = Flag(
