@@ -17,9 +17,13 @@ def two_group_moments(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     return df.agg(*cells)
 
 
+# An empty or single-valued group gives null results instead of an error.
+over = F.try_divide
+
+
 def welch_degrees() -> Column:
-    sa, sb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
-    return (sa + sb) ** 2 / (sa**2 / (F.col("n_a") - 1) + sb**2 / (F.col("n_b") - 1))
+    sa, sb = over(F.col("v_a"), F.col("n_a")), over(F.col("v_b"), F.col("n_b"))
+    return over((sa + sb) ** 2, over(sa**2, F.col("n_a") - 1) + over(sb**2, F.col("n_b") - 1))
 
 
 def t_test(moments: DataFrame, equal_var: bool = True, alpha: float = 0.05) -> DataFrame:
@@ -29,10 +33,10 @@ def t_test(moments: DataFrame, equal_var: bool = True, alpha: float = 0.05) -> D
     uses the unpooled standard error.
     """
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    pooled = ((n_a - 1) * F.col("v_a") + (n_b - 1) * F.col("v_b")) / (n_a + n_b - 2)
-    unpooled_error = F.sqrt(F.col("v_a") / n_a + F.col("v_b") / n_b)
+    pooled = over((n_a - 1) * F.col("v_a") + (n_b - 1) * F.col("v_b"), n_a + n_b - 2)
+    unpooled_error = F.sqrt(over(F.col("v_a"), n_a) + over(F.col("v_b"), n_b))
     if equal_var:
-        degrees, error = (n_a + n_b - 2).cast("double"), F.sqrt(pooled * (1 / n_a + 1 / n_b))
+        degrees, error = (n_a + n_b - 2).cast("double"), F.sqrt(pooled * (over(F.lit(1.0), n_a) + over(F.lit(1.0), n_b)))
     else:
         degrees, error = welch_degrees(), unpooled_error
     difference = F.col("m_b") - F.col("m_a")
@@ -81,7 +85,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b, alpha: float = 0.0
         sums.withColumn("u_statistic", F.col("_rank_sum") - n_a * (n_a + 1) / 2)
         .withColumn("effect_size", 1 - F.try_divide(2 * u, n_a * n_b))
         .withColumn("z", F.try_divide(F.greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5, spread))
-        .withColumn("p_value", F.least(normal_p(F.greatest("z", F.lit(0.0))), F.lit(1.0)))
+        .withColumn("p_value", normal_p(F.when(F.col("z") > 0, F.col("z")).when(F.col("z").isNotNull(), F.lit(0.0))))
         .withColumn("is_significant", F.col("p_value") < alpha)
         .drop("_rank_sum", "_ties")
     )
@@ -89,10 +93,10 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b, alpha: float = 0.0
 
 def proportion_test(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-proportion z on rows of successes_a/b and trials_a/b; effect and interval are b - a."""
-    p_a = F.col("successes_a") / F.col("trials_a")
-    p_b = F.col("successes_b") / F.col("trials_b")
-    pooled = (F.col("successes_a") + F.col("successes_b")) / (F.col("trials_a") + F.col("trials_b"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("trials_a") + 1 / F.col("trials_b")))
+    p_a, p_b = over(F.col("successes_a"), F.col("trials_a")), over(F.col("successes_b"), F.col("trials_b"))
+    pooled = over(F.col("successes_a") + F.col("successes_b"), F.col("trials_a") + F.col("trials_b"))
+    inverse = over(F.lit(1.0), F.col("trials_a")) + over(F.lit(1.0), F.col("trials_b"))
+    error = F.sqrt(pooled * (1 - pooled) * inverse)
     reach = F.lit(normal_point(1 - alpha / 2)) * error
     return (
         counts.withColumn("statistic", F.try_divide(p_a - p_b, error))
@@ -140,7 +144,7 @@ def sequential_test(moments: DataFrame, alpha: float = 0.05, beta: float = 0.2,
     """Boundaries and decision of the sequential ratio test; groups of unequal size raise."""
     theta = effect_size / 2**0.5
     n = F.col("n_a")
-    error = F.sqrt(2 * ((F.col("v_a") + F.col("v_b")) / 2) / n)
+    error = F.sqrt(over(F.col("v_a") + F.col("v_b"), n))
     z = F.coalesce(F.try_divide(F.col("m_b") - F.col("m_a"), error), F.lit(0.0))
     upper = F.log(F.lit((1 - beta) / alpha)) / theta
     lower = F.log(F.lit(beta / (1 - alpha))) / theta
@@ -226,7 +230,7 @@ def bayesian(
     """
 
     def posterior(side: str) -> tuple[Column, Column]:
-        weight = F.col(f"n_{side}") / F.col(f"v_{side}")
+        weight = over(F.col(f"n_{side}"), F.col(f"v_{side}"))
         variance = 1 / (1 / F.lit(prior_std**2) + weight)
         return variance * (F.lit(prior_mean / prior_std**2) + weight * F.col(f"m_{side}")), variance
 

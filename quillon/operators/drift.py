@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quillon.functions.ordering import ordered_counts, value_at
 from quillon.functions.tails import chi_square_p, kolmogorov_p
+from quillon.session import checkpointed
 
 EPSILON = 1e-6
 BASELINE_PERCENTS = (25, 50, 75, 90, 95, 99)
@@ -262,7 +263,9 @@ def numeric_psi(reference: DataFrame, current: DataFrame, min_rows: int = 10, ma
     high = F.when(F.col("_low") == F.col("_high"), F.col("_high") + 0.5).otherwise(F.col("_high"))
     even = F.transform(F.sequence(F.lit(0), F.col("_bins")), lambda k: low + (high - low) * k / F.col("_bins"))
     edges = edges.withColumn("_edges", F.when(F.size("_quantiles") < 3, even).otherwise(F.col("_quantiles")))
-    # One row of edges per feature, so the side is as small as the list of features.
+    # One row of edges per feature: written once, read by the binning and the result, and small
+    # enough to broadcast as the list of features is.
+    edges = checkpointed(edges)
     placed = _sided(reference, current).join(F.broadcast(edges.select("feature_name", "_edges")), "feature_name")
     last = F.size("_edges") - 1
     index = F.size(F.filter("_edges", lambda e: e <= F.col("value"))) - 1

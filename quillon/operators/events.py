@@ -114,10 +114,15 @@ def event_errors(event: Column, schema_name: str = "base_event") -> Column:
 
 
 def check_events(df: DataFrame, column: str = "value", schema_name: str = "base_event") -> DataFrame:
-    """Add the decoded fields, `errors` and `is_valid`; severity and metric type get their normal case."""
+    """Add the decoded fields, `errors` and `is_valid`; severity and metric type get their normal case.
+
+    A field whose name the input already uses comes out as `event_<name>`, such as `event_value`
+    beside a record's `value`.
+    """
     rows = df.withColumn("_event", decoded(F.col(column)))
-    rows = rows.select(*df.columns, "_event.*", event_errors(F.col("_event"), schema_name).alias("errors"))
-    rows = rows.drop("payload_keys", "is_json", "has_timestamp")
+    names = [n for n in rows.schema["_event"].dataType.names if n not in ("payload_keys", "is_json", "has_timestamp")]
+    fields = [F.col(f"_event.{n}").alias(f"event_{n}" if n in df.columns else n) for n in names]
+    rows = rows.select(*df.columns, *fields, event_errors(F.col("_event"), schema_name).alias("errors"))
     if schema_name in DEFAULT_TYPE:
         rows = rows.withColumn("event_type", F.coalesce("event_type", F.lit(DEFAULT_TYPE[schema_name])))
     if schema_name == "system_event":

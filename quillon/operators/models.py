@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -49,7 +50,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     n, error = F.count(F.lit(1)), F.sum((y - p) ** 2)
     return rows.agg(
         n.alias("samples"),
-        (error / n).alias("mse"),
+        F.try_divide(error, n).alias("mse"),
         F.avg(F.abs(y - p)).alias("mae"),
         (1 - F.try_divide(error, F.var_pop(y) * n)).alias("r2"),
     )
@@ -115,15 +116,17 @@ def score(df: DataFrame, identity: str, features: str, model_column: str, models
     over a 2-d array. An unknown model or a failing one is reported in `status`, row by row.
     The models travel once per executor as a broadcast; pass only ones that fit in memory.
     """
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
     kind = df.schema[identity].dataType.simpleString()
     schema = f"`{identity}` {kind}, model string, prediction double, confidence double, status string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = cloudpickle.loads(shared.value)
         for batch in batches:
             for name, rows in batch.groupby(model_column, sort=False, dropna=False):
-                out = pd.DataFrame({identity: rows[identity], "model": name, "prediction": np.nan, "confidence": np.nan})
-                model = shared.value.get(name)
+                label = pd.Series([None if pd.isna(name) else name] * len(rows), index=rows.index, dtype=object)
+                out = pd.DataFrame({identity: rows[identity], "model": label, "prediction": np.nan, "confidence": np.nan})
+                model = known.get(name)
                 if model is None:
                     yield out.assign(status="model_not_found")
                     continue

@@ -184,7 +184,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         .agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers_count"))
     )
     n = F.col("count").cast("double")
-    share = lambda name: F.col(name) * 100.0 / F.col("row_count")
+    share = lambda name: F.try_divide(F.col(name) * 100.0, F.col("row_count"))
     return (
         moments.join(quartiles, "column", "left")
         .join(outliers, "column", "left")
