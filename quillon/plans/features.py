@@ -26,10 +26,16 @@ def parameter_query(spark, folder):
     )
 
 
-@query("table_sample")
+@query("table_sample", "SELECT least(count(*), 100) AS sampled, least(count(*), 100) AS known FROM customer")
 def table_sample(spark, folder):
-    table(spark, folder, "customer").createOrReplaceTempView("quillon_customer")
-    return catalog.sample_table(spark, "quillon_customer", limit=100)
+    """Which rows come is open, so the query counts them, and those that are in the table."""
+    customers = table(spark, folder, "customer")
+    customers.createOrReplaceTempView("quillon_customer")
+    sample = catalog.sample_table(spark, "quillon_customer", limit=100)
+    known = customers.select("c_custkey", F.lit(1).alias("known"))
+    return sample.select("c_custkey").distinct().join(known, "c_custkey", "left").agg(
+        F.count(F.lit(1)).alias("sampled"), F.count("known").alias("known")
+    )
 
 
 @query("table_info", """

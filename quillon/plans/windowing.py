@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import events as event_ops
 from quillon.operators.windows import Agg, Everything, Session, Sliding, Tumbling, window_aggregate, window_definitions
 from quillon.plans.registry import query, rounded, table
+from quillon.streaming import topics
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -200,3 +201,38 @@ def event_routes(spark, folder):
     routes = event_ops.route_events(valid)
     kept = [df.select(F.lit(name).alias("route")) for name, df in routes.items() if name in ("user_action", "system_event", "business_event")]
     return kept[0].unionAll(kept[1]).unionAll(kept[2]).groupBy("route").agg(F.count(F.lit(1)).alias("events"))
+
+
+# -- topics -------------------------------------------------------------------------------------
+
+
+@query("event_topic_records", """
+SELECT CAST(user_id AS VARCHAR) AS key, 'click' AS event_type, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS timestamp, 6 AS headers, CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'click'""")
+def event_topic_records(spark, folder):
+    events = table(spark, folder, "events").filter(F.col("event_type") == "click").select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"), "event_type",
+        F.col("event_type").alias("event_name"), F.lit("web").alias("source_service"), F.lit("1.0").alias("schema_version"), "ts", "value",
+    )
+    records = topics.topic_records(events, key="user_id", time="ts")
+    header = F.map_from_entries("headers")
+    return records.select(
+        "key",
+        header["event_type"].cast("string").alias("event_type"),
+        header["timestamp"].cast("string").alias("timestamp"),
+        F.size("headers").alias("headers"),
+        F.get_json_object("value", "$.event_id").alias("event_id"),
+    )
+
+
+@query("event_dead_letters", FLAWS.format(more="") + """
+, m AS (SELECT event_id, string_agg(error, '; ' ORDER BY list_position(['not json', 'missing source_service', 'unknown event_type', 'bad timestamp', 'empty payload'], error)) AS error_message FROM f GROUP BY event_id)
+SELECT 'events.dlq' AS topic, CAST(event_id AS VARCHAR) AS original_offset, error_message FROM m""")
+def event_dead_letters(spark, folder):
+    records = event_json(spark, folder).withColumnRenamed("source_id", "offset").withColumn("topic", F.lit("events"))
+    _, bad = event_ops.split_events(event_ops.check_events(records))
+    letters = topics.dead_letters(bad)
+    return letters.select(
+        "topic",
+        F.get_json_object("value", "$.original_offset").alias("original_offset"),
+        F.get_json_object("value", "$.error_message").alias("error_message"),
+    )
