@@ -125,8 +125,8 @@ def feature_vector(spark, folder):
 WITH u AS (SELECT user_id, min(ts) AS s, max(ts) AS l, count(*) FILTER (event_type = 'view') AS v, avg(value) AS r,
   arg_min(event_type, ts) AS a, arg_max(event_type, ts) AS b FROM events GROUP BY user_id)
 SELECT user_id, round((epoch_us(l) - epoch_us(s)) / 60000000.0, 6) AS session_minutes,
-  round(v * 0.7 + r * 3, 6) AS popularity, CASE WHEN a = b THEN 1.0 ELSE 0.3 END::DOUBLE AS affinity,
-  round((v * 0.7 + r * 3) * CASE WHEN a = b THEN 1.0 ELSE 0.3 END, 6) AS ranking FROM u""")
+  round(v * 0.7 + r * 3, 9) AS popularity, CASE WHEN a = b THEN 1.0 ELSE 0.3 END::DOUBLE AS affinity,
+  round((v * 0.7 + r * 3) * CASE WHEN a = b THEN 1.0 ELSE 0.3 END, 9) AS ranking FROM u""")
 def derived_features(spark, folder):
     users = table(spark, folder, "events").groupBy("user_id").agg(
         F.min("ts").alias("session_start_time"),
@@ -143,9 +143,8 @@ def derived_features(spark, folder):
         "affinity": (["user_category_preference", "item_category"], features.affinity_score),
     }
     made = features.derived_features(users, computers, ["ranking", "session_minutes", "popularity", "affinity"])
-    return rounded(
-        made.select("user_id", "session_minutes", "popularity", "affinity", "ranking"), 6, "session_minutes", "popularity", "ranking"
-    )
+    made = made.select("user_id", "session_minutes", "popularity", "affinity", "ranking")
+    return rounded(rounded(made, 6, "session_minutes"), 9, "popularity", "ranking")
 
 
 # -- feature rows and catalog -------------------------------------------------------------------
