@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillon.session import checkpointed
 
 
+# A frontier of at most this many rows is sent to the edges; a larger one is shuffled with them.
+SMALL_FRONTIER = 100_000
+
+
+def _walked(frontier: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """Frontier rows joined with the links that leave their nodes. The size has been counted."""
+    near = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
+    return links.join(near, links["_from"] == near["node"])
+
+
 def _links(edges: DataFrame, direction: str) -> DataFrame:
     """(from, to) pairs in walking order."""
     down = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
@@ -32,19 +42,17 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max
     A root itself appears only when a cycle leads back to it.
     """
     links = checkpointed(_links(edges, direction))
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
+    frontier = checkpointed(roots.select(F.col("node").alias("root"), "node").distinct())
+    size = frontier.count()
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        step = (
-            frontier.join(links, frontier["node"] == links["_from"])
-            .select("root", F.col("_to").alias("node"))
-            .distinct()
-        )
+        step = _walked(frontier, links, size).select("root", F.col("_to").alias("node")).distinct()
         if levels:
             seen = reduce(DataFrame.unionAll, levels).select("root", "node")
             step = step.join(seen, ["root", "node"], "left_anti")
         step = checkpointed(step.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
+        size = step.count()
+        if not size:
             break
         levels.append(step)
         frontier = step.select("root", "node")
@@ -61,10 +69,10 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int = 100) -> Dat
     frontier = spark.range(1).select(F.lit(source).cast(kind).alias("node")).withColumn("path", F.array("node"))
     if source == target:
         return frontier.select("path")
-    seen = frontier.select("node")
+    seen, size = frontier.select("node"), 1
     for _ in range(max_depth):
         step = (
-            frontier.join(links, frontier["node"] == links["_from"])
+            _walked(frontier, links, size)
             .select(F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"))
             .groupBy("node")
             .agg(F.min("path").alias("path"))
@@ -72,7 +80,8 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int = 100) -> Dat
         )
         frontier = checkpointed(step)
         found = frontier.filter(F.col("node") == F.lit(target))
-        if frontier.isEmpty() or not found.isEmpty():
+        size = frontier.count()
+        if not size or not found.isEmpty():
             return found.select("path")
         seen = seen.unionAll(frontier.select("node"))
     return frontier.limit(0).select("path")
