@@ -46,10 +46,11 @@ def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max
     size = frontier.count()
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
-        step = _walked(frontier, links, size).select("root", F.col("_to").alias("node")).distinct()
-        if levels:
-            seen = reduce(DataFrame.unionAll, levels).select("root", "node")
-            step = step.join(seen, ["root", "node"], "left_anti")
+        found = _walked(frontier, links, size).select("root", F.col("_to").alias("node"), F.lit(False).alias("_seen"))
+        # One aggregation drops repeats and what earlier levels hold.
+        for level in levels:
+            found = found.unionAll(level.select("root", "node", F.lit(True)))
+        step = found.groupBy("root", "node").agg(F.max("_seen").alias("_seen")).filter(~F.col("_seen")).drop("_seen")
         step = checkpointed(step.withColumn("depth", F.lit(depth)))
         size = step.count()
         if not size:

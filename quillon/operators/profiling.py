@@ -171,17 +171,20 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         linear_quantile("value", 0.5).alias("median"),
         linear_quantile("value", 0.75).alias("q3"),
     )
-    fences = quartiles.select(
-        F.col("column"),
-        (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"),
-        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"),
-    )
-    # One row of fences per column of the table.
-    outliers = (
-        long_values.filter(F.col("value").isNotNull())
-        .join(F.broadcast(fences), "column")
-        .groupBy("column")
-        .agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers_count"))
+    # The fences of all columns become one row, so the outliers are one more wide aggregation.
+    spread = F.col("q3") - F.col("q1")
+    fence = lambda c, value: F.max(F.when(F.col("column") == c, value))
+    fences = quartiles.agg(
+        F.struct(
+            *[fence(c, F.col("q1") - 1.5 * spread).alias(f"low__{c}") for c in columns],
+            *[fence(c, F.col("q3") + 1.5 * spread).alias(f"high__{c}") for c in columns],
+        )
+    ).scalar()
+    outside = lambda c: (F.col(c) < F.col("_fences").getField(f"low__{c}")) | (F.col(c) > F.col("_fences").getField(f"high__{c}"))
+    outliers = _per_column(
+        values.withColumn("_fences", fences).agg(*[F.count_if(outside(c)).alias(f"outliers_count__{c}") for c in columns]),
+        columns,
+        ["outliers_count"],
     )
     n = F.col("count").cast("double")
     share = lambda name: F.try_divide(F.col(name) * 100.0, F.col("row_count"))
@@ -231,8 +234,8 @@ def text_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             cell
             for c in columns
             for cell in (
-                F.min(F.length(F.col(c).cast("string"))).alias(f"min_length__{c}"),
-                F.max(F.length(F.col(c).cast("string"))).alias(f"max_length__{c}"),
+                F.min(F.length(F.col(c).cast("string"))).cast("long").alias(f"min_length__{c}"),
+                F.max(F.length(F.col(c).cast("string"))).cast("long").alias(f"max_length__{c}"),
                 F.avg(F.length(F.col(c).cast("string"))).alias(f"avg_length__{c}"),
             )
         ]
