@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, quality, simhash
+from quillon.llm import bpe, mixing, quality, simhash
 from quillon.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,12 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN picked OR clos
 @query("op6_mixing", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(mixing.sizes(table(spark, folder, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def vocabulary(path: str | None = None) -> bpe.Vocabulary:
+    return bpe.Vocabulary.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), vocabulary())
