@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,3 +122,18 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+
+
+def shared_folder(spark, purpose: str) -> str:
+    """A new folder's name under the shared checkpoint folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpointed(spark.range(0))  # sets the folder as the session says
+    return f"{context.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written as a compressed table in the shared folder and read again: cuts the lineage like a checkpoint."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import bpe, mixing, quality, simhash
+from quillon.llm import bpe, mixing, quality, repeats, simhash
 from quillon.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(mixing.sizes(table(spark, folder, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return found.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def vocabulary(path: str | None = None) -> bpe.Vocabulary:
     return bpe.Vocabulary.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
