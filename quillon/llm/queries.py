@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import bpe, mixing, quality, repeats, simhash
+from quillon.llm import archives, bpe, mixing, quality, repeats, simhash
+from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,29 @@ def vocabulary(path: str | None = None) -> bpe.Vocabulary:
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary())
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+b AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest
+  FROM h),
+f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""
+
+
+@query("op10_arc_to_warc", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    work = shared_folder(spark, "archives")
+    archives.write_arc(table(spark, folder, "pages"), f"{work}/arc")
+    archives.convert(spark, f"{work}/arc", f"{work}/warc")
+    found = checkpointed(archives.page_records(archives.read_warc(spark, f"{work}/warc")))
+    drop_folder(spark, work)
+    return found
