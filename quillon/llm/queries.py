@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import archives, bpe, mixing, quality, repeats, simhash
+from quillon.llm import archives, bpe, chat, mixing, quality, repeats, simhash
 from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
@@ -29,6 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(path: str | None = None) -> bpe.Vocabulary:
+    return bpe.Vocabulary.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op1_quality_rules")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -37,6 +41,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(counted).select(*columns, "base_failed", "kept", "quality")
 
 
+@query("op2_chat_formatting")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.formatted(turns, vocabulary()))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -98,10 +110,6 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vocabulary(path: str | None = None) -> bpe.Vocabulary:
-    return bpe.Vocabulary.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary())
