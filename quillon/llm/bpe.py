@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillon.llm.common import needs, texts_of
+from quillon.llm.common import Numbered, gathered, needs, slices, texts_of
 
 #: Characters that are encoded at a time.
 SLICE = 1 << 21
@@ -169,19 +169,6 @@ def piece_ids(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray,
     return gathered(np.concatenate(ids), (np.cumsum(size) - size)[order], size[order]), size[order]
 
 
-class Numbered(dict):
-    """Numbers keys in the order in which they are first looked up."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
-
-
 class Encoder:
     """Encodes texts; remembers the ids of the words it has met, up to a bound."""
 
@@ -236,29 +223,11 @@ class Encoder:
         return gathered(self.flat, starts, lengths), np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts)).astype(np.int64)]
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches flat[start : start + length], one after another."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
-
-
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     ends = vocabulary.token_ends
     return gathered(vocabulary.token_bytes, ends[ids], ends[ids + 1] - ends[ids]).tobytes()
 
 
-def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours whose sizes add up to at most `most`, or that hold one."""
-    start = total = 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > most:
-            yield start, i
-            start, total = i, 0
-        total += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the ids of each whole text, without special tokens.
 

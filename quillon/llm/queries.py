@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import archives, bpe, chat, mixing, quality, repeats, simhash
+from quillon.llm import archives, bpe, chat, langid, mixing, quality, repeats, simhash
 from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
@@ -54,6 +54,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(langid.training_sample(docs))
+    # The key's remainder goes along, so the rows that the model labels are read once.
+    named = docs.select(F.struct("doc_id", langid.held_out().alias("held_out")).alias("key"), "text")
+    return langid.identified(named, model, key="key").select("key.doc_id", "key.held_out", "lang_pred", "score", "n_words")
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')), 0) AS BIGINT) AS size FROM documents),
