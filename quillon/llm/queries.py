@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import archives, bpe, chat, langid, mixing, quality, repeats, simhash
+from quillon.llm import archives, bpe, chat, langid, mixing, quality, repeats, simhash, vectors
 from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
@@ -63,6 +63,30 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(named, model, key="key").select("key.doc_id", "key.held_out", "lang_pred", "score", "n_words")
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (
+  SELECT a.row AS a, b.row AS b, a.vec_id AS own, b.vec_id AS other FROM u a JOIN u b ON a.row <> b.row AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.95::DOUBLE * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+r AS (
+  SELECT a, b, other FROM l UNION SELECT r.a, l.b, l.other FROM r JOIN l ON r.b = l.a),
+n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (
+  SELECT a, min(other) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, low) AS component_id, coalesce(vec_id = least(vec_id, low), false) AS kept
+FROM v LEFT JOIN n ON v.row = n.a LEFT JOIN c ON v.row = c.a
+"""
+
+
+@query("op5_embedding_near_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')), 0) AS BIGINT) AS size FROM documents),
