@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import archives, bpe, chat, langid, mixing, quality, repeats, simhash, vectors
+from quillon.llm import archives, bpe, chat, extraction, langid, mixing, quality, repeats, simhash, vectors
 from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
@@ -143,6 +143,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_html_extraction")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    labeller = extraction.train(extraction.training_sample(pages))
+    return extraction.extracted(pages, labeller).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary())
