@@ -24,8 +24,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillon.llm.common import bytes_of, in_groups, needs, shared_table
 
@@ -359,6 +360,16 @@ def removed(batches: Iterator[pa.RecordBatch], text: int, digest: int, ranges: i
         yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pair), pa.array(kept, pa.binary())], names=names)
 
 
+def valid_text(data: str) -> Column:
+    """The bytes of a column as text, without the bytes of incomplete characters."""
+
+    @F.pandas_udf("string")
+    def decode(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda part: bytes(part).decode("utf-8", "ignore"))
+
+    return decode(F.col(data))
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `spans` (maximal removed byte ranges) and `kept` (the bytes that stay).
 
