@@ -55,7 +55,8 @@ RULES = (
     Rule("lines", "20 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeats", "10 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
     Rule("capitals", "5 * upper_bytes <= letter_bytes", "2 * upper_bytes > letter_bytes"),
-    Rule("letters", "100 * letter_bytes >= 72 * text_bytes", "2 * letter_bytes < text_bytes"),
+    Rule("letters", "100 * letter_bytes >= 85 * text_bytes", "100 * letter_bytes < 75 * text_bytes"),
+    Rule("symbol_characters", "200 * n_symbols <= word_chars", "50 * n_symbols > word_chars"),
     Rule("common_words", "n_common >= 3", "n_words >= 50 and n_common = 0"),
 )
 
