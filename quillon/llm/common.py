@@ -101,6 +101,18 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def single_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of equal keys."""
+    for run in in_groups(batches, keys):
+        new = np.zeros(len(run), bool)
+        for key in keys:
+            values = run[key].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(run)]
+        for start, end in zip(cuts, cuts[1:]):
+            yield run.slice(start, end - start)
+
+
 def star_forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a graph, rewritten so that each node but the smallest of its component links to that smallest one."""
     if not len(left):

@@ -304,11 +304,11 @@ def identified(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array([*shared.value.languages, UNKNOWN], dtype=object)
-        labeller = Labeller(shared.value)
+        labeller = Labeller(shared.value) if shared.value.languages else None
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(list(map(len, texts)), SLICE):
-                if len(languages) == 1:
+                if labeller is None:
                     found, lengths = np.zeros((0, 1)), np.zeros(b - a, np.int64)
                 else:
                     found, lengths = labeller.label(texts[a:b])

@@ -10,6 +10,8 @@ aggregated first, and only the one cell that the boundary crosses is ordered.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.llm.common import WORD, needs
@@ -126,13 +128,10 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings
 
     Ids that occur in several rows with equal text size and source are decided once for all of them.
     """
+    own = f"own_{uuid.uuid4().hex[:8]}_"  # the columns of docs may have any name
     taken = mixed(sizes(docs, key, text), key, **settings).where("copies > 0 and size > 0")
-    taken = taken.select(F.col(key).alias("mixed_key"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size"), "copies").distinct()
-    named = docs.withColumn("mixed_own_size", n_words(text))
-    same = (
-        F.col(key).eqNullSafe(F.col("mixed_key"))
-        & F.col("source").eqNullSafe(F.col("mixed_source"))
-        & (F.col("mixed_own_size") == F.col("mixed_size"))
-    )
-    repeated = named.join(taken, same).withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    taken = taken.select(*[F.col(c).alias(own + a) for c, a in ((key, "key"), ("source", "source"), ("size", "size"), ("copies", "copies"))]).distinct()
+    named = docs.withColumn(own + "words", n_words(text))
+    same = F.col(key).eqNullSafe(F.col(own + "key")) & F.col("source").eqNullSafe(F.col(own + "source")) & (F.col(own + "words") == F.col(own + "size"))
+    repeated = named.join(taken, same).withColumn(own + "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(own + "copies"))))
+    return repeated.select(docs.columns)

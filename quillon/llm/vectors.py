@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.llm.common import components, gathered, in_groups, needs, shared_table, star_forest
+from quillon.llm.common import components, gathered, needs, shared_table, single_groups, star_forest
 
 #: Links of a node on the upper layers; the lowest has twice as many.
 LINKS = 12
@@ -297,7 +297,7 @@ def shard_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         empty = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), empty if n is None else pa.array(n)], names=["a", "b", "n"])
 
-    for run in in_groups(batches, ["dim", "shard", "part"]):
+    for run in single_groups(batches, ["dim", "shard", "part"]):
         asks = run["asks"].to_numpy()
         index, queries = run.filter(pa.array(~asks)), run.filter(pa.array(asks))
         if not len(index) or not len(queries):
