@@ -128,7 +128,7 @@ def drift_history(detections: DataFrame, feature: str, now: dt.datetime | str, d
 
 
 def find_alerts(
-    alerts: DataFrame, feature: str | None = None, level: str | None = None, acknowledged: bool | None = None, limit: int = 100
+    alerts: DataFrame, feature: str | None = None, level: str | None = None, acknowledged: bool | None = None, limit: int | None = None
 ) -> DataFrame:
     """Stored alerts by feature, level and acknowledgement, newest first."""
     rows = alerts
@@ -138,7 +138,8 @@ def find_alerts(
         rows = rows.filter(F.col("alert_level") == level)
     if acknowledged is not None:
         rows = rows.filter(F.col("acknowledged") == acknowledged)
-    return rows.orderBy(F.desc("created_at"), *[c for c in ("id",) if c in alerts.columns]).limit(limit)
+    rows = rows.orderBy(F.desc("created_at"), *[c for c in ("id",) if c in alerts.columns])
+    return rows if limit is None else rows.limit(limit)
 
 
 # -- model-input drift ------------------------------------------------------------------------
@@ -316,11 +317,12 @@ def input_drift(
     method: str = "ks_test",
     threshold: float = 0.05,
     min_samples: int = 100,
+    min_values: int = 10,
 ) -> DataFrame:
     """Drift of every feature with severity and recommended action.
 
-    No rows come back when the current data has fewer than `min_samples` rows. Features with
-    fewer than 10 values on a side are left out.
+    `status` is `checked`, or says why a feature was not: the current data has fewer than `min_samples`
+    rows, or a side fewer than `min_values` values. Such rows carry no drift figures.
     """
     if method not in ("ks_test", "psi"):
         raise ValueError(f"Unknown drift detection method: {method}")
@@ -345,18 +347,20 @@ def input_drift(
     ).otherwise("critical")
     action = F.when(
         F.col("drift_detected"),
+        # The recommended actions.
         F.when(F.col("severity").isin("high", "critical"), "Immediate retraining recommended")
         .when(F.col("severity") == "medium", "Monitor closely, consider retraining")
         .otherwise("Continue monitoring"),
     )
-    return (
-        found.filter((F.col("reference_samples") >= 10) & (F.col("current_samples") >= 10))
-        .withColumn("_rows", size)
-        .filter(F.col("_rows") >= min_samples)
-        .drop("_rows")
-        .withColumn("detection_method", F.lit(method))
+    enough = (F.col("reference_samples") >= min_values) & (F.col("current_samples") >= min_values)
+    status = F.when(size < min_samples, "too_few_rows").when(~F.coalesce(enough, F.lit(False)), "too_few_values").otherwise("checked")
+    made = (
+        found.withColumn("detection_method", F.lit(method))
         .withColumn("drift_magnitude", magnitude)
         .withColumn("drift_detected", F.col("p_value") < threshold)
         .withColumn("severity", severity)
         .withColumn("recommended_action", action)
+        .withColumn("status", status)
     )
+    figures = ["statistic", "p_value", "drift_magnitude", "drift_detected", "severity", "recommended_action"]
+    return made.withColumns({name: F.when(F.col("status") == "checked", F.col(name)) for name in figures})

@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.operators.olap import AGGREGATIONS
+from quillon.session import stored
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
@@ -91,17 +93,22 @@ def federate(
     keys: list[str] | None = None,
     order: dict[str, str] | None = None,
     aggregation: dict[str, str] | None = None,
+    tries: int = 2,
 ) -> Federated:
-    """Build every source, leave out and report the ones that fail, combine the others.
+    """Run every source, leave out and report the ones that fail, combine the others.
 
-    An unknown strategy, or a join without keys, falls back to the union.
+    Each source is written to the shared folder, so that a failure while it runs is met here too; it is tried
+    `tries` times. An unknown strategy, or a join without keys, falls back to the union.
     """
     built, errors = {}, {}
     for name, make in sources.items():
-        try:
-            built[name] = make()
-        except (PySparkException, ValueError, OSError) as error:
-            errors[name] = str(error)
+        for _ in range(tries):
+            try:
+                built[name] = stored(make(), "source")
+                errors.pop(name, None)
+                break
+            except (PySparkException, Py4JJavaError, ValueError, OSError) as error:
+                errors[name] = str(error)
     frames = list(built.values())
     if not frames:
         combined = None

@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillon.session import checkpointed
 
 
-# A frontier of at most this many rows is sent to the edges; a larger one is shuffled with them.
-SMALL_FRONTIER = 100_000
+#: Steps after which what has been visited is rewritten as one table.
+COMPACT = 8
 
 
-def _walked(frontier: DataFrame, links: DataFrame, size: int) -> DataFrame:
-    """Frontier rows joined with the links that leave their nodes. The size has been counted."""
-    near = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
-    return links.join(near, links["_from"] == near["node"])
+def _walked(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Frontier rows joined with the links that leave their nodes; adaptive execution picks the join by measured size."""
+    return links.join(frontier, links["_from"] == frontier["node"])
 
 
 def _links(edges: DataFrame, direction: str) -> DataFrame:
@@ -36,33 +35,34 @@ def _links(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"unknown direction {direction}")
 
 
-def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int = 10) -> DataFrame:
-    """(root, node, depth): the nodes within `max_depth` steps of each root, by least depth.
+def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth): the nodes reached from each root, by least depth; all of them, or those within `max_depth` steps.
 
-    A root itself appears only when a cycle leads back to it.
+    A root itself appears only when a cycle leads back to it. A step joins the newest level with the links and drops
+    what was visited before.
     """
     links = checkpointed(_links(edges, direction))
-    frontier = checkpointed(roots.select(F.col("node").alias("root"), "node").distinct())
-    size = frontier.count()
+    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
     levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
-        found = _walked(frontier, links, size).select("root", F.col("_to").alias("node"), F.lit(False).alias("_seen"))
-        # One aggregation drops repeats and what earlier levels hold.
-        for level in levels:
-            found = found.unionAll(level.select("root", "node", F.lit(True)))
-        step = found.groupBy("root", "node").agg(F.max("_seen").alias("_seen")).filter(~F.col("_seen")).drop("_seen")
-        step = checkpointed(step.withColumn("depth", F.lit(depth)))
-        size = step.count()
-        if not size:
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = _walked(frontier, links).select("root", F.col("_to").alias("node")).distinct()
+        if levels:
+            found = found.join(reduce(DataFrame.unionAll, levels).select("root", "node"), ["root", "node"], "left_anti")
+        step = checkpointed(found.withColumn("depth", F.lit(depth)))
+        if step.isEmpty():
             break
         levels.append(step)
+        if len(levels) > COMPACT:
+            levels = [checkpointed(reduce(DataFrame.unionAll, levels))]
         frontier = step.select("root", "node")
     if not levels:
         return frontier.withColumn("depth", F.lit(0)).limit(0)
     return reduce(DataFrame.unionAll, levels)
 
 
-def shortest_path(edges: DataFrame, source, target, max_depth: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None) -> DataFrame:
     """One row with the least-step path as an array, the smallest one among equals; else no row."""
     links = checkpointed(_links(edges, "downstream"))
     spark = edges.sparkSession
@@ -70,21 +70,25 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int = 100) -> Dat
     frontier = spark.range(1).select(F.lit(source).cast(kind).alias("node")).withColumn("path", F.array("node"))
     if source == target:
         return frontier.select("path")
-    seen, size = frontier.select("node"), 1
-    for _ in range(max_depth):
+    seen = [frontier.select("node")]
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = (
-            _walked(frontier, links, size)
+            _walked(frontier, links)
             .select(F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"))
             .groupBy("node")
             .agg(F.min("path").alias("path"))
-            .join(seen, "node", "left_anti")
+            .join(reduce(DataFrame.unionAll, seen), "node", "left_anti")
         )
         frontier = checkpointed(step)
         found = frontier.filter(F.col("node") == F.lit(target))
-        size = frontier.count()
-        if not size or not found.isEmpty():
+        counts = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.lit(target))).first()
+        if not counts[0] or counts[1]:
             return found.select("path")
-        seen = seen.unionAll(frontier.select("node"))
+        seen.append(frontier.select("node"))
+        if len(seen) > COMPACT:
+            seen = [checkpointed(reduce(DataFrame.unionAll, seen))]
     return frontier.limit(0).select("path")
 
 
@@ -137,24 +141,31 @@ def dangling_edges(edges: DataFrame, assets: DataFrame, transformations: DataFra
 def circular_assets(edges: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Assets from which a cycle can be reached.
 
-    Edges into nodes without outgoing edges are removed until none is left to remove; whatever
-    keeps an outgoing edge leads to a cycle. The number of rounds is the longest chain that
-    hangs off the cycles or runs to a sink.
+    A node whose outgoing edges all lead to removed nodes is removed, beginning with nodes that have none. A round
+    touches only the edges into the nodes that the round before removed; whatever is never removed leads to a cycle.
     """
-    alive = checkpointed(_links(edges, "downstream"))
-    before = alive.count()
-    while before:
-        sources = alive.select(F.col("_from").alias("_to")).distinct()
-        alive = checkpointed(alive.join(sources, "_to", "left_semi"))
-        now = alive.count()
-        if now == before:
-            break
-        before = now
-    nodes = alive.select(F.col("_from").alias("node")).distinct()
+    links = checkpointed(_links(edges, "downstream"))
+    degrees = checkpointed(links.groupBy("_from").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("_from", "node"))
+    removed = checkpointed(links.select(F.col("_to").alias("node")).distinct().join(degrees, "node", "left_anti"))
+    dropped: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    while not removed.isEmpty():
+        lost = links.join(removed, links["_to"] == removed["node"]).groupBy("_from").agg(F.count(F.lit(1)).alias("lost"))
+        dropped.append(checkpointed(lost.select(F.col("_from").alias("node"), "lost")))
+        touched = dropped[-1].select("node")
+        total = reduce(DataFrame.unionAll, dropped).join(touched, "node", "left_semi").groupBy("node").agg(F.sum("lost").alias("lost"))
+        removed = checkpointed(total.join(degrees, "node").filter(F.col("lost") == F.col("degree")).select("node"))
+        gone.append(removed)
+        if len(gone) > COMPACT:
+            gone = [checkpointed(reduce(DataFrame.unionAll, gone))]
+            dropped = [checkpointed(reduce(DataFrame.unionAll, dropped).groupBy("node").agg(F.sum("lost").alias("lost")))]
+    nodes = degrees.select("node")
+    if gone:
+        nodes = nodes.join(reduce(DataFrame.unionAll, gone), "node", "left_anti")
     return nodes if assets is None else nodes.join(assets.select("node"), "node", "left_semi")
 
 
-def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """Nodes up to `depth` steps away (root included) and the edges walked between them."""
     around = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()
     reached = reach(edges, roots, direction, depth).join(
@@ -170,7 +181,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 3, direction:
     return nodes, reduce(DataFrame.unionAll, parts).distinct()
 
 
-def feature_impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+def feature_impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """Score per root: 0.1 per feature and 0.3 per model downstream (root included), at most 1."""
     below = reach(edges, roots, "downstream", depth).select("root", "node")
     own = roots.select(F.col("node").alias("root"), "node")

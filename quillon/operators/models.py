@@ -109,11 +109,28 @@ def retraining_due(
     return triggers.join(stats, "model", "left").withColumn("fires", ~resting & F.coalesce(due, F.lit(False)))
 
 
+def scored_rows(model, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions and confidences (not a number where the model has none)."""
+    matrix = np.array(vectors.tolist(), dtype="float64")
+    prediction = np.asarray(model.predict(matrix), dtype="float64")
+    confidence = np.max(model.predict_proba(matrix), axis=1) if hasattr(model, "predict_proba") else np.full(len(vectors), np.nan)
+    return prediction, confidence
+
+
+def scored_row(model, vector) -> tuple[float, float, str]:
+    try:
+        prediction, confidence = scored_rows(model, pd.Series([vector]))
+        return float(prediction[0]), float(confidence[0]), "success"
+    except Exception as error:
+        return np.nan, np.nan, f"error: {error}"
+
+
 def score(df: DataFrame, identity: str, features: str, model_column: str, models: dict[str, object]) -> DataFrame:
     """Batch scoring with any mix of models per row, in Arrow batches and without a shuffle.
 
     `features` is an array<double> column. A model has `predict`, and may have `predict_proba`,
-    over a 2-d array. An unknown model or a failing one is reported in `status`, row by row.
+    over a 2-d array. An unknown model or a failing one is reported in `status`, row by row and with
+    the error's text, so one bad vector spoils no other.
     The models travel once per executor as a broadcast; pass only ones that fit in memory.
     """
     shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
@@ -130,14 +147,15 @@ def score(df: DataFrame, identity: str, features: str, model_column: str, models
                 if model is None:
                     yield out.assign(status="model_not_found")
                     continue
-                try:
-                    matrix = np.array(rows[features].tolist(), dtype="float64")
-                    out["prediction"] = np.asarray(model.predict(matrix), dtype="float64")
-                    if hasattr(model, "predict_proba"):
-                        out["confidence"] = np.max(model.predict_proba(matrix), axis=1)
-                    yield out.assign(status="success")
-                except Exception:
-                    yield out.assign(prediction=np.nan, confidence=np.nan, status="error")
+                # Vectors of one length are scored together; if that fails, each on its own.
+                for _, same in rows.groupby(rows[features].map(lambda v: -1 if v is None else len(v)), sort=False):
+                    try:
+                        prediction, confidence = scored_rows(model, same[features])
+                        status = ["success"] * len(same)
+                    except Exception:
+                        single = [scored_row(model, vector) for vector in same[features]]
+                        prediction, confidence, status = map(list, zip(*single))
+                    yield out.loc[same.index].assign(prediction=prediction, confidence=confidence, status=status)
 
     scored = df.select(identity, model_column, features).mapInPandas(run, schema)
     number = lambda name: F.when(~F.isnan(name), F.col(name)).alias(name)

@@ -240,8 +240,16 @@ def in_sequence(*operations: Operation) -> Operation:
 
 
 def pivot_wide(result: DataFrame, rows: list[str], column: str, values: list[Any], measure: str) -> DataFrame:
-    """A cube result in wide form. The values are given, which spares a job to find them."""
-    return result.groupBy(*rows).pivot(column, values).agg(F.first(measure, ignorenulls=True))
+    """A cube result in wide form. The values are given, which spares a job to find them.
+
+    A pair of rows and column must hold one cell, and every cell must lie in a given column: a result with more
+    dimensions, or a value that was not given, is an error when the rows are made rather than a lost cell.
+    """
+    listed = F.col(column).isin(values) | F.lit(None in values) & F.col(column).isNull()
+    lost = F.raise_error(F.concat(F.lit(f"no column for {column} = "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    checked = result.withColumn(column, F.when(F.coalesce(listed, F.lit(False)), F.col(column)).otherwise(lost.cast(result.schema[column].dataType)))
+    several = F.raise_error(F.lit(f"several cells of {measure} for one {column}")).cast(result.schema[measure].dataType)
+    return checked.groupBy(*rows).pivot(column, values).agg(F.when(F.count(F.lit(1)) <= 1, F.first(measure)).otherwise(several))
 
 
 def measure_summary(result: DataFrame, measure: str) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.ordering import linear_quantile, ordered_counts
+from quillon.sources.files import TEXT_TIMES
 
-SHORT_TEXT = 64
+#: Characters of a text that travel with its digest.
+START = 64
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -28,59 +30,76 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def value_key(column: str) -> Column:
-    """Short values as `=value`, longer ones as `#digest`."""
-    text = F.col(f"`{column}`").cast("string")
-    return F.when(F.length(text) <= SHORT_TEXT, F.concat(F.lit("="), text)).otherwise(
-        F.concat(F.lit("#"), F.sha2(text, 256))
-    )
-
-
-def _long_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), value_key(c).alias("key")) for c in columns])
-    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.key")
+def value_digest(column: str) -> Column:
+    return F.sha2(F.col(f"`{column}`").cast("string"), 256)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, key, n) for every distinct non-null value."""
-    keys = _long_keys(df, columns or df.columns)
-    return keys.filter(F.col("key").isNotNull()).groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _with_text(df: DataFrame, picked: DataFrame, columns: list[str]) -> DataFrame:
-    """Turn keys back into values. `picked` holds a few rows per column.
-
-    Short keys carry their value. Digests are looked up by one more scan of the text columns;
-    the join side is `picked`, whose size is rows-per-column times columns.
-    """
-    long_text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    if not long_text:
-        return picked.withColumn("value", F.substring("key", 2, SHORT_TEXT))
+    """(column, start, digest, n) for every distinct value, null included; `start` is the text's first characters."""
     pairs = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), value_key(c).alias("key"), F.col(f"`{c}`").alias("text"))
-            for c in long_text
+            F.struct(F.lit(c).alias("column"), F.substring(F.col(f"`{c}`").cast("string"), 1, START).alias("start"), value_digest(c).alias("digest"))
+            for c in columns or df.columns
         ]
     )
-    wanted = picked.filter(F.col("key").startswith("#")).select("column", "key")
-    found = (
-        df.select(F.explode(F.filter(pairs, lambda p: p["key"].startswith("#"))).alias("p"))
-        .select("p.*")
-        .join(F.broadcast(wanted), ["column", "key"], "left_semi")
-        .groupBy("column", "key")
-        .agg(F.min("text").alias("_text"))
+    return df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column", "start", "digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_frequent(df: DataFrame, counted: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(column, rank, value, n): the n most frequent values per column, ties by their text.
+
+    The start of a text orders it among most others. Only values that can still be among the n best,
+    equal starts counted as ties, are looked up whole. Ranking goes by hash parts first, so the distinct
+    values of one column never meet in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("n"), "start"]
+    values = counted.filter(F.col("digest").isNotNull()).withColumn("_part", F.pmod(F.xxhash64("digest"), F.lit(parts)))
+    able = (
+        values.withColumn("rank", F.rank().over(Window.partitionBy("column", "_part").orderBy(*order)))
+        .filter(F.col("rank") <= n)
+        .withColumn("rank", F.rank().over(Window.partitionBy("column").orderBy(*order)))
+        .filter(F.col("rank") <= n)
+        .drop("_part", "rank")
     )
-    return picked.join(found, ["column", "key"], "left").withColumn(
-        "value", F.coalesce("_text", F.substring("key", 2, SHORT_TEXT))
-    ).drop("_text")
+    long_text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    value = F.col("start")
+    if long_text:
+        texts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("text")) for c in long_text])
+        found = (
+            df.select(F.explode(F.filter(texts, lambda p: F.length(p["text"]) > START)).alias("p"))
+            .select("p.column", "p.text", F.sha2("p.text", 256).alias("digest"))
+            .join(able.filter(F.length("start") == START).select("column", "digest"), ["column", "digest"], "left_semi")
+            .groupBy("column", "digest")
+            .agg(F.min("text").alias("_text"))
+        )
+        able = able.join(found, ["column", "digest"], "left")
+        value = F.coalesce("_text", "start")
+    ranked = able.withColumn("value", value).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
+    return ranked.filter(F.col("rank") <= n).select("column", "rank", "value", "n")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """Digest of a row by the full text of each value with its length, so that rows differ as their values do."""
+    cells = []
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.BinaryType):
+            text = F.hex(value)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(value, TEXT_TIMES)
+        else:
+            text = value.cast("string")
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.sha2(F.concat_ws(",", *cells), 256)
 
 
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows, with percentages.
 
-    A row is compared by the digest of its JSON form, so the shuffle carries no wide rows.
+    A row is compared by its digest, so the shuffle carries no wide rows.
     """
-    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    row = row_digest(df)
     missing = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     groups = df.select(row.alias("row"), missing.alias("missing")).groupBy("row").agg(
         F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing")
@@ -99,21 +118,18 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, missing, unique, most frequent value (ties by key)."""
-    keys = _long_keys(df, df.columns)
-    counted = keys.groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))
-    is_value = F.col("key").isNotNull()
-    best = F.min(F.when(is_value, F.struct((-F.col("n")).alias("rank"), F.col("key"))))
+    """Per column: type, missing, unique, most frequent value (ties by its text)."""
+    counted = value_counts(df)
+    is_value = F.col("digest").isNotNull()
     summary = counted.groupBy("column").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(~is_value, F.col("n"))), F.lit(0)).alias("missing_count"),
-        F.count("key").alias("unique_count"),
-        best.getField("key").alias("key"),
-        (-best.getField("rank")).alias("most_frequent_count"),
+        F.count("digest").alias("unique_count"),
     )
+    best = most_frequent(df, counted, df.columns, 1).select("column", "value", F.col("n").alias("most_frequent_count"))
     types = {field.name: field.dataType.simpleString() for field in df.schema.fields}
     kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
-    return _with_text(df, summary, df.columns).select(
+    return summary.join(best, "column", "left").select(
         "column",
         kind[F.col("column")].alias("dtype"),
         "missing_count",
@@ -244,23 +260,10 @@ def text_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def top_categories(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
-    """The n most frequent values per text column, with rank; ties go by key.
-
-    Ranking is two-step: the best n of each of 64 hash parts, then the best n of those, so the
-    distinct values of one wide column never meet in one task.
-    """
+    """The n most frequent values per text column, with rank; ties go by the value."""
     columns = columns or text_columns(df)
-    counted = value_counts(df, columns).withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(64)))
-    by_part = Window.partitionBy("column", "_part").orderBy(F.desc("n"), "key")
-    by_column = Window.partitionBy("column").orderBy(F.desc("n"), "key")
-    best = (
-        counted.withColumn("rank", F.row_number().over(by_part))
-        .filter(F.col("rank") <= n)
-        .withColumn("rank", F.row_number().over(by_column))
-        .filter(F.col("rank") <= n)
-        .select("column", "rank", "key", "n")
-    )
-    return _with_text(df, best, columns).select("column", "rank", "value", F.col("n").alias("count"))
+    best = most_frequent(df, value_counts(df, columns), columns, n)
+    return best.select("column", "rank", "value", F.col("n").alias("count"))
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

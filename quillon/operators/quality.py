@@ -76,7 +76,7 @@ def _plan(df: DataFrame, at: int, kind: str, kwargs: dict[str, Any], needed: dic
     if kind == "expect_table_columns_to_match_ordered_list":
         return F.lit(kwargs.get("column_list", []) == df.columns), F.lit(len(df.columns)), F.lit(",".join(df.columns))
     if column is not None and column not in df.columns:
-        return F.lit(False), nothing, F.lit(f"Column {column} not found")
+        return F.lit(False), nothing, F.lit(f"there is no column {column}")
     if kind == "expect_column_values_to_not_be_null":
         needed[f"null_{column}"] = F.count_if(F.col(column).isNull())
         nulls = F.col(f"_null_{column}")
@@ -100,7 +100,7 @@ def _plan(df: DataFrame, at: int, kind: str, kwargs: dict[str, Any], needed: dic
         needed[f"bad_{at}"] = F.count_if(bad)
         unexpected = F.col(f"_bad_{at}")
         return unexpected == 0, unexpected, nothing
-    return F.lit(False), nothing, F.lit(f"Unsupported expectation type: {kind}")
+    return F.lit(False), nothing, F.lit(f"no such expectation: {kind}")
 
 
 def suite_summary(results: DataFrame, dataset: str) -> DataFrame:

@@ -161,11 +161,11 @@ def run_alerts(runs: DataFrame, rule: RunRule, now: dt.datetime | str, tie: str)
         F.count_if(F.col("status") == "failed").alias("error_count"),
     )
     if rule.failure_streak is not None:
-        # The newest k runs come from a top-k, not from a sort of the whole period.
-        newest = period.orderBy(F.desc("start_time"), F.desc(tie)).limit(rule.failure_streak)
-        ranked = newest.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("start_time"), F.desc(tie))))
-        stop = F.min(F.when(F.col("status") != "failed", F.col("_rank")))
-        row = row.withColumn("failure_streak", ranked.agg(F.coalesce(stop - 1, n).cast("int")).scalar())
+        # The runs after the newest one that did not fail, counted without a sort.
+        place = F.struct("start_time", tie)
+        last_good = period.agg(F.max(F.when(F.col("status") != "failed", place))).scalar()
+        newer = period.agg(F.count_if(last_good.isNull() | (place > last_good)).cast("int")).scalar()
+        row = row.withColumn("failure_streak", newer)
     else:
         row = row.withColumn("failure_streak", F.lit(None).cast("int"))
     tests = []

@@ -340,7 +340,7 @@ def drift_history(spark, folder):
 
 
 @query("drift_alerts_stored", """
-SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'view' AND value > 60 AND event_id % 3 <> 0 ORDER BY ts DESC, event_id LIMIT 100""")
+SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'view' AND value > 60 AND event_id % 3 <> 0""")
 def drift_alerts_stored(spark, folder):
     stored = table(spark, folder, "events").select(
         F.col("event_id").alias("id"),

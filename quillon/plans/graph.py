@@ -105,7 +105,7 @@ ROOTS = ["customer:1", "customer:5", "customer:40"]
 @query("lineage_impact_by_type", EDGES + _down(ROOTS, 10) + """
 SELECT root, type, count(*) AS asset_count FROM reached JOIN nodes USING (node) GROUP BY ALL""")
 def lineage_impact_by_type(spark, folder):
-    reached = lineage.reach(asset_edges(spark, folder), roots(spark, *ROOTS))
+    reached = lineage.reach(asset_edges(spark, folder), roots(spark, *ROOTS), max_depth=10)
     return lineage.impact_by_type(reached, asset_nodes(spark, folder))
 
 
@@ -117,7 +117,7 @@ SELECT *, downstream_count + 2 * transformation_count AS risk_score, CASE WHEN d
   WHEN downstream_count + 2 * transformation_count >= 10 THEN 'MEDIUM' WHEN downstream_count + 2 * transformation_count >= 5 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level FROM s""")
 def lineage_impact(spark, folder):
     edges, start = asset_edges(spark, folder), roots(spark, *ROOTS)
-    return lineage.impact_summary(edges, start, lineage.reach(edges, start))
+    return lineage.impact_summary(edges, start, lineage.reach(edges, start, max_depth=10))
 
 
 @query("lineage_dangling", """
@@ -160,7 +160,7 @@ SELECT root, count(*) FILTER (type = 'feature') AS feature_count, count(*) FILTE
   round(least(count(*) FILTER (type = 'feature') * 0.1 + count(*) FILTER (type = 'model') * 0.3, 1.0)::DOUBLE, 6) AS impact_score FROM down JOIN nodes USING (node) GROUP BY ALL""")
 def lineage_feature_impact(spark, folder):
     start = roots(spark, "customer:2", "customer:30", "customer:400")
-    made = lineage.feature_impact(asset_edges(spark, folder), asset_nodes(spark, folder), start)
+    made = lineage.feature_impact(asset_edges(spark, folder), asset_nodes(spark, folder), start, 5)
     return rounded(made, 6, "impact_score")
 
 
@@ -182,7 +182,8 @@ def lineage_consumers(spark, folder):
     return lineage.direct_neighbours(asset_edges(spark, folder), asset_nodes(spark, folder), "downstream", ["model", "feature"])
 
 
-@query("lineage_orphans", "SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("lineage_orphans", "SELECT 'document:' || doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def lineage_orphans(spark, folder):
-    placed = asset_edges(spark, folder).filter(F.col("target").startswith("order:"))
-    return lineage.orphans(placed, asset_nodes(spark, folder)).filter(F.col("type") != "table").select("node")
+    """Documents to which no label leads."""
+    labelled = table(spark, folder, "labels").select(_node("label", F.col("doc_id")).alias("source"), _node("document", F.col("doc_id")).alias("target"))
+    return lineage.orphans(labelled, table(spark, folder, "documents").select(_node("document", F.col("doc_id")).alias("node")))

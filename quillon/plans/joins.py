@@ -72,8 +72,14 @@ def federate_with_failure(spark, folder):
     def broken():
         raise ValueError("source is down")
 
+    def fails_later():
+        """A source whose rows raise an error only when they are read."""
+        rows = _by_status(spark, folder, "P", "o_orderkey", "o_totalprice")
+        return rows.withColumn("o_totalprice", F.when(F.col("o_totalprice") >= 0, F.raise_error(F.lit("bad row")).cast("double")))
+
     result = federation.federate(
         {
+            "late": fails_later,
             "finished": lambda: _by_status(spark, folder, "F", "o_orderkey", "o_totalprice"),
             "broken": broken,
             "open": lambda: _by_status(spark, folder, "O", "o_orderkey", "o_totalprice"),

@@ -67,7 +67,7 @@ cs AS (SELECT 'event_type' AS f, sum((xn - want) ** 2 / want) AS s, sum(xb)::BIG
 every AS (SELECT f, s, na, nb, p FROM ks UNION ALL SELECT f, s, na, nb, exp(-s / 2) * (1 + s / 2) FROM cs)
 SELECT f AS feature_name, round(s, 8) AS statistic, round(p, 8) AS p_value, na AS reference_samples, nb AS current_samples, p < 0.05 AS drift_detected,
   CASE WHEN s < 0.1 THEN 'low' WHEN s < 0.25 THEN 'medium' WHEN s < 0.5 THEN 'high' ELSE 'critical' END AS severity,
-  CASE WHEN p < 0.05 THEN CASE WHEN s >= 0.25 THEN 'Immediate retraining recommended' WHEN s >= 0.1 THEN 'Monitor closely, consider retraining' ELSE 'Continue monitoring' END END AS recommended_action FROM every""")
+  CASE WHEN p < 0.05 THEN CASE WHEN s >= 0.25 THEN 'Immediate retraining recommended' WHEN s >= 0.1 THEN 'Monitor closely, consider retraining' ELSE 'Continue monitoring' END END AS recommended_action, 'checked' AS status FROM every""")
 def input_drift_ks(spark, folder):
     base, now = [df.withColumn("k", F.get_json_object("props", "$.k").cast("double")) for df in halves(spark, folder)]
     made = drift.input_drift(base, now, ["value", "k"], ["event_type"]).drop("detection_method", "drift_magnitude")
@@ -189,9 +189,16 @@ SCORERS = {
 @query("batch_scoring", """
 WITH v AS (SELECT vec_id, label % 3 AS m, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s AS (SELECT vec_id, m, list_sum([e[i + 1] * (((i * 7) % 11 - 5) / 10) FOR i IN range(0, 64)]) + 0.25 AS a, list_sum([e[i + 1] * (((i * 5) % 13 - 6) / 10) FOR i IN range(0, 64)]) - 0.1 AS b FROM v)
-SELECT vec_id, CASE m WHEN 0 THEN 'even' WHEN 1 THEN 'odd' ELSE 'unknown' END AS model, CASE m WHEN 0 THEN round(a, 6) WHEN 1 THEN CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END END AS prediction,
-  CASE WHEN m = 1 THEN round(greatest(1 / (1 + exp(-b)), 1 - 1 / (1 + exp(-b))), 6) END AS confidence, CASE WHEN m = 2 THEN 'model_not_found' ELSE 'success' END AS status FROM s""")
+SELECT vec_id, CASE m WHEN 0 THEN 'even' WHEN 1 THEN 'odd' ELSE 'unknown' END AS model,
+  CASE WHEN vec_id % 20 = 3 THEN NULL WHEN m = 0 THEN round(a, 6) WHEN m = 1 THEN CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END END AS prediction,
+  CASE WHEN m = 1 AND vec_id % 20 <> 3 THEN round(greatest(1 / (1 + exp(-b)), 1 - 1 / (1 + exp(-b))), 6) END AS confidence,
+  CASE WHEN m = 2 THEN 'model_not_found' WHEN vec_id % 20 = 3 THEN 'error' ELSE 'success' END AS status FROM s""")
 def batch_scoring(spark, folder):
     model = F.when(F.col("label") % 3 == 0, "even").when(F.col("label") % 3 == 1, "odd").otherwise("unknown")
-    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), model.alias("model"))
-    return rounded(models.score(rows, "vec_id", "features", "model", SCORERS), 6, "prediction", "confidence")
+    """One vector in twenty is short or missing, which is an error of its own row."""
+    vector = F.col("embedding").cast("array<double>")
+    broken = F.when(F.col("vec_id") % 40 == 3, F.slice(vector, 1, 9))
+    features = F.when(F.col("vec_id") % 20 == 3, broken).otherwise(vector).alias("features")
+    rows = table(spark, folder, "embeddings").select("vec_id", features, model.alias("model"))
+    scored = models.score(rows, "vec_id", "features", "model", SCORERS)
+    return rounded(scored.withColumn("status", F.substring_index("status", ":", 1)), 6, "prediction", "confidence")

@@ -101,7 +101,7 @@ def run_declining(spark, folder):
 , p AS (SELECT * FROM runs WHERE start_time >= TIMESTAMP '{END}' - INTERVAL 600 MINUTE AND workflow_name = 'flow-1'),
 l AS (SELECT status, row_number() OVER (ORDER BY start_time DESC, run_id DESC) AS i FROM p),
 s AS (SELECT count(*) AS executions, count(*) FILTER (status = 'success') * 100.0 / count(*) AS sr, avg(duration_seconds) AS d, count(*) FILTER (status = 'failed') AS e,
-  least(1, coalesce((SELECT min(i) FROM l WHERE status <> 'failed') - 1, (SELECT count(*) FROM l)))::INTEGER AS k FROM p)
+  coalesce((SELECT min(i) FROM l WHERE status <> 'failed') - 1, (SELECT count(*) FROM l))::INTEGER AS k FROM p)
 SELECT executions, round(sr, 6) AS success_rate, round(d, 6) AS avg_duration, e AS error_count, k AS failure_streak,
   array_to_string([x FOR x IN [CASE WHEN sr < 90 THEN 'success_rate' END, CASE WHEN d > 1000 THEN 'duration' END, CASE WHEN e > 1 THEN 'error_count' END, CASE WHEN k >= 1 THEN 'failure_streak' END] IF x IS NOT NULL], ',') AS triggered
 FROM s WHERE executions > 0 AND (sr < 90 OR d > 1000 OR e > 1 OR k >= 1)""")

@@ -78,12 +78,17 @@ def quality_common_suite(spark, folder):
 
 
 @query("profile_table", """
-WITH d AS (SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders)
-SELECT count(*) AS row_count, 3 AS column_count, 0::BIGINT AS missing_cells, 0.0::DOUBLE AS missing_cells_percentage,
+WITH d AS (SELECT event_id // 2 AS pair, ts - INTERVAL 1 MICROSECOND * (event_id % 3) AS ts, user_id, event_type, value, props FROM events
+  UNION ALL SELECT event_id // 2, ts, user_id, event_type, value, props FROM events)
+SELECT count(*) AS row_count, 6 AS column_count, 0::BIGINT AS missing_cells, 0.0::DOUBLE AS missing_cells_percentage,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicate_rows,
   round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d))) * 100.0 / count(*), 6) AS duplicate_rows_percentage FROM d""")
 def profile_table(spark, folder):
-    rows = table(spark, folder, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    """Every event twice, two in three of the copies some microseconds apart."""
+    events = table(spark, folder, "events").withColumn("pair", F.floor(F.col("event_id") / 2))
+    columns = ["pair", "ts", "user_id", "event_type", "value", "props"]
+    moved = events.withColumn("ts", F.expr("timestampadd(MICROSECOND, -int(event_id % 3), ts)"))
+    rows = moved.select(columns).unionAll(events.select(columns))
     return rounded(profiling.table_profile(rows), 6, "duplicate_rows_percentage")
 
 
@@ -101,7 +106,7 @@ def profile_table_documents(spark, folder):
 
 def _column_profile_sql(source, columns):
     parts = [
-        f"""SELECT '{name}' AS "column", '{dtype}' AS dtype, CASE WHEN length({name}::VARCHAR) <= 64 THEN '=' || {name}::VARCHAR ELSE '#' || sha256({name}::VARCHAR) END AS k, {name}::VARCHAR AS v FROM {source}"""
+        f"""SELECT '{name}' AS "column", '{dtype}' AS dtype, {name}::VARCHAR AS k, {name}::VARCHAR AS v FROM {source}"""
         for name, dtype in columns
     ]
     return f"""
@@ -121,14 +126,16 @@ def profile_columns_documents(spark, folder):
     return rounded(profiling.column_profile(table(spark, folder, "documents")), 6, "missing_percentage", "unique_percentage")
 
 
-ORDER_COLUMNS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("priority", "string")]
+ORDER_COLUMNS = [
+    ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("priority", "string"),
+]
 
 
 @query("profile_columns_orders", _column_profile_sql(
-    "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS priority FROM orders)", ORDER_COLUMNS))
+    "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS priority FROM orders)", ORDER_COLUMNS))
 def profile_columns_orders(spark, folder):
     rows = table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority")
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority")
     )
     return rounded(profiling.column_profile(rows), 6, "missing_percentage", "unique_percentage")
 
@@ -177,7 +184,7 @@ def profile_text(spark, folder):
 
 @query("profile_top_categories", """
 WITH l AS (SELECT 'source' AS "column", source AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'text', text FROM documents),
-c AS (SELECT "column", min(v) AS value, CASE WHEN length(v) <= 64 THEN '=' || v ELSE '#' || sha256(v) END AS k, count(*) AS n FROM l GROUP BY "column", k)
+c AS (SELECT "column", v AS value, v AS k, count(*) AS n FROM l GROUP BY "column", v)
 SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY n DESC, k)::INTEGER AS rank, value, n AS count FROM c
 QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, k) <= 10""")
 def profile_top_categories(spark, folder):

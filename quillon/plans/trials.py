@@ -128,12 +128,26 @@ p AS (SELECT x.variant AS variant_a, y.variant AS variant_b, x.n AS n_a, y.n AS
 """
 
 
+def student_p_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule over the density from 0 to t, in 400 steps."""
+    density = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - ln({df} * pi()) / 2 - ({df} + 1) / 2 * ln(1 + (abs({t}) * k / 400.0::DOUBLE) ** 2 / {df}))"
+    weight = "CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(1 - 2 * abs({t}) / 1200 * list_sum([{weight} * {density} FOR k IN range(0, 401)]))"
+
+
+def normal_cdf_sql(z: str) -> str:
+    """Normal distribution function by its series around 0; the odd factorials are gamma functions."""
+    term = f"exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5::DOUBLE) + ln(pi()) / 2 - ({z}) ** 2 / 2)"
+    return f"(0.5 + sign({z}) / sqrt(2 * pi()) * list_sum([{term} FOR k IN range(0, 300)]))"
+
+
 @query("variant_t_tests", PAIRS + """
 SELECT variant_a, variant_b, n_a, n_b, round((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)), 6) AS statistic, (n_a + n_b - 2)::DOUBLE AS degrees_of_freedom,
-  round((m_b - m_a) / pooled, 6) AS cohens_d, round((m_b - m_a) / pooled * (1 - 3 / (4 * (n_a + n_b) - 9)), 6) AS hedges_g FROM p""")
+  round((m_b - m_a) / pooled, 6) AS cohens_d, round((m_b - m_a) / pooled * (1 - 3 / (4 * (n_a + n_b) - 9)), 6) AS hedges_g,
+  round(""" + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """, 7) AS p_value FROM p""")
 def variant_t_tests(spark, folder):
-    made = tests(spark, folder).select("variant_a", "variant_b", "n_a", "n_b", "statistic", "degrees_of_freedom", "cohens_d", "hedges_g")
-    return rounded(made, 6, "statistic", "cohens_d", "hedges_g")
+    made = tests(spark, folder).select("variant_a", "variant_b", "n_a", "n_b", "statistic", "degrees_of_freedom", "cohens_d", "hedges_g", "p_value")
+    return rounded(rounded(made, 6, "statistic", "cohens_d", "hedges_g"), 7, "p_value")
 
 
 @query("variant_welch_tests", PAIRS + """
@@ -145,12 +159,15 @@ def variant_welch_tests(spark, folder):
     return rounded(rounded(made, 6, "statistic"), 4, "degrees_of_freedom")
 
 
-@query("variant_tests_corrected")
+@query("variant_tests_corrected", PAIRS + """
+, pv AS (SELECT variant_a, variant_b, round(""" + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """, 7) AS p_value FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM pv),
+c AS (SELECT *, least(max(p_value * (m - i + 1)) OVER (ORDER BY i), 1.0) AS corrected FROM r)
+SELECT variant_a, variant_b, p_value, round(corrected, 6) AS corrected_p_value, corrected <= 0.05 AS reject_null FROM c""")
 def variant_tests_corrected(spark, folder):
     family = tests(spark, folder).withColumn("family", F.lit("checkout"))
-    return comparison.corrected_p(family, "family").select(
-        "variant_a", "variant_b", "p_value", "corrected_p_value", "reject_null", "ci_lower", "ci_upper"
-    )
+    made = comparison.corrected_p(rounded(family, 7, "p_value"), "family", "holm")
+    return rounded(made.select("variant_a", "variant_b", "p_value", "corrected_p_value", "reject_null"), 6, "corrected_p_value")
 
 
 @query("rank_sum_test", """
@@ -234,9 +251,21 @@ def sequential_test(spark, folder):
     return rounded(rounded(made, 6, "test_statistic", "information"), 8, "upper_boundary", "lower_boundary")
 
 
-@query("bayesian_comparison")
+BAYES_D = "(1 / (1 / 400.0::DOUBLE + n / vb) * (30 / 400.0::DOUBLE + n / vb * mb) - 1 / (1 / 400.0::DOUBLE + n / va) * (30 / 400.0::DOUBLE + n / va * ma))"
+BAYES_S = "sqrt(1 / (1 / 400.0::DOUBLE + n / vb) + 1 / (1 / 400.0::DOUBLE + n / va))"
+
+
+@query("bayesian_comparison", SEQUENTIAL + f"""
+, d AS (SELECT {BAYES_D} AS d, {BAYES_S} AS s FROM s),
+q AS (SELECT d, s, {normal_cdf_sql("d / s")} AS better, {normal_cdf_sql("(0.5 - d) / s")} - {normal_cdf_sql("(-0.5 - d) / s")} AS rope FROM d)
+SELECT round(better, 7) AS probability_b_better, round(1 - better, 7) AS probability_a_better, round(d - 1.959963984540054 * s, 6) AS ci_lower, round(d + 1.959963984540054 * s, 6) AS ci_upper,
+  round(d * better + s * exp(0 - (d / s) ** 2 / 2) / sqrt(2 * pi()), 6) AS expected_loss_a, round(d * better + s * exp(0 - (d / s) ** 2 / 2) / sqrt(2 * pi()) - d, 6) AS expected_loss_b,
+  round(rope, 7) AS rope_probability FROM q""")
 def bayesian_comparison(spark, folder):
-    return comparison.bayesian(_two_groups(spark, folder), prior_mean=30.0, prior_std=20.0, rope=(-0.5, 0.5))
+    made = comparison.bayesian(_two_groups(spark, folder), prior_mean=30.0, prior_std=20.0, rope=(-0.5, 0.5))
+    chances = ["probability_a_better", "probability_b_better", "rope_probability"]
+    sizes = ["ci_lower", "ci_upper", "expected_loss_a", "expected_loss_b"]
+    return rounded(rounded(made.select(*chances, *sizes), 7, *chances), 6, *sizes)
 
 
 P_VALUES = "WITH t AS (SELECT p_brand AS family, p_partkey AS test, ((p_partkey * 7919) % 1009) / 20000.0 AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, test) AS i FROM t)"
@@ -263,6 +292,18 @@ for _method, _sql in {
     query(f"correction_{_method}", f"{P_VALUES} SELECT family, test, round(({_sql})::DOUBLE, 12) AS corrected_p_value FROM r")(_correction(_method))
 
 
+@query("experiment_stopping_samples", TRACKED + """
+, n AS (SELECT variant, count(*) AS n FROM v GROUP BY variant), k AS (SELECT min(variant) AS low FROM n WHERE n < (SELECT max(n) FROM n))
+SELECT false AS should_stop, low IS NOT NULL AS names_variant FROM k""")
+def experiment_stopping_samples(spark, folder):
+    """Every variant but the largest has fewer samples than asked for."""
+    rows, pairs = measured(spark, folder)
+    most = rows.agg(F.max("sample_size")).first()[0]
+    made = experiments.stopping(rows, pairs, most, 30, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9))
+    low = rows.filter(F.col("sample_size") < most).agg(F.min("variant")).scalar()
+    return made.select("should_stop", F.contains("reason", low).alias("names_variant"))
+
+
 @query("experiment_stopping", ASSIGNED + "SELECT true AS should_stop, 'Maximum duration reached: 30 days' AS reason FROM a LIMIT 1")
 def experiment_stopping(spark, folder):
     return experiments.stopping(
@@ -270,9 +311,11 @@ def experiment_stopping(spark, folder):
     )
 
 
-@query("experiment_winner", TRACKED + "SELECT variant AS winner FROM v GROUP BY variant ORDER BY avg(value) DESC LIMIT 1")
+@query("experiment_winner", PAIRS + """
+, pv AS (SELECT min(""" + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """) AS least FROM p)
+SELECT variant AS winner, round(1 - least, 6) AS confidence FROM s, pv ORDER BY m DESC LIMIT 1""")
 def experiment_winner(spark, folder):
-    return experiments.winner(*measured(spark, folder)).select("winner")
+    return rounded(experiments.winner(*measured(spark, folder)), 6, "confidence")
 
 
 FLAG = Flag(

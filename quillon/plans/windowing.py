@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.operators import events as event_ops
 from quillon.operators.windows import Agg, Everything, Session, Sliding, Tumbling, window_aggregate, window_definitions
@@ -199,17 +201,17 @@ SELECT CASE WHEN event_type IN ('click', 'view') THEN 'user_action' WHEN event_t
 def event_routes(spark, folder):
     valid, _ = event_ops.split_events(event_ops.check_events(event_json(spark, folder)))
     routes = event_ops.route_events(valid)
-    kept = [df.select(F.lit(name).alias("route")) for name, df in routes.items() if name in ("user_action", "system_event", "business_event")]
-    return kept[0].unionAll(kept[1]).unionAll(kept[2]).groupBy("route").agg(F.count(F.lit(1)).alias("events"))
+    kept = [df.select(F.lit(name).alias("route")) for name, df in routes.items()]
+    return reduce(DataFrame.unionAll, kept).groupBy("route").agg(F.count(F.lit(1)).alias("events"))
 
 
 # -- topics -------------------------------------------------------------------------------------
 
 
 @query("event_topic_records", """
-SELECT CAST(user_id AS VARCHAR) AS key, 'click' AS event_type, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS timestamp, 6 AS headers, CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'click'""")
+SELECT CAST(user_id AS VARCHAR) AS key, event_type, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS timestamp, 6 AS headers, CAST(event_id AS VARCHAR) AS event_id, ts FROM events""")
 def event_topic_records(spark, folder):
-    events = table(spark, folder, "events").filter(F.col("event_type") == "click").select(
+    events = table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"), "event_type",
         F.col("event_type").alias("event_name"), F.lit("web").alias("source_service"), F.lit("1.0").alias("schema_version"), "ts", "value",
     )
@@ -221,6 +223,7 @@ def event_topic_records(spark, folder):
         header["timestamp"].cast("string").alias("timestamp"),
         F.size("headers").alias("headers"),
         F.get_json_object("value", "$.event_id").alias("event_id"),
+        F.get_json_object("value", "$.ts").cast("timestamp_ntz").alias("ts"),
     )
 
 

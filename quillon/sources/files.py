@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
+# Spark's own text form of a time stops at milliseconds.
+TEXT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 
 
@@ -28,10 +30,12 @@ def write_file(df: DataFrame, location: str, mode: str = "errorifexists") -> Non
     """Write csv, parquet or json lines by suffix; the location becomes a folder of parts."""
     kind = format_of(location)
     writer = df.write.mode(mode)
-    if kind == "csv":
-        writer.csv(location, header=True)
+    if kind == "parquet":
+        writer.parquet(location)
+    elif kind == "csv":
+        writer.csv(location, header=True, **TEXT_TIMES)
     else:
-        getattr(writer, kind)(location)
+        writer.json(location, **TEXT_TIMES)
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, kind: str = "csv", mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quillon.operators.events import EVENT_TYPES, check_events
+from quillon.sources.files import TEXT_TIMES
 
 # Fixed value: the ending of a dead-letter topic.
 DEAD_LETTER_SUFFIX = ".dlq"
@@ -31,7 +32,7 @@ def topic_records(events: DataFrame, key: str | None = None, time: str = "timest
         headers.append(header("principal", F.lit(principal)))
     return events.select(
         F.coalesce(F.col(key) if key else F.lit(None), F.col("event_id")).cast("string").alias("key"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns])).alias("value"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]), TEXT_TIMES).alias("value"),
         F.array(*headers).alias("headers"),
     )
 
@@ -71,7 +72,8 @@ def dead_letters(rejected: DataFrame, group: str = "default") -> DataFrame:
                 F.col("value").cast("string").alias("original_value"),
                 F.array_join("errors", "; ").alias("error_message"),
                 F.lit(group).alias("consumer_group"),
-            )
+            ),
+            TEXT_TIMES,
         ).alias("value"),
     )
 
