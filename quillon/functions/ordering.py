@@ -1,7 +1,7 @@
 """Exact ranks and quantiles without a single-task sort.
 
 Rows are first collapsed to distinct values with counts, so a hot value is one row. Each value
-then falls into one of at most 512 value ranges. The ranges come from a sketch and only decide
+then falls into one of as many value ranges as there are shuffle partitions. They come from a sketch and only decide
 the balance of the work, never the answer. Running counts are taken inside a range and shifted
 by the totals of the ranges below. No range depends on the key, so a key that owns a third of
 the rows is spread over all ranges.
@@ -9,18 +9,19 @@ the rows is spread over all ranges.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_RANGES = 512
-SEARCH_STEP = 16
+LEAST_RANGES = 16
 
 
 def range_bounds(df: DataFrame, value: str) -> list[float]:
-    """Ascending cut points for `value`; at most MAX_RANGES - 1 numbers reach the driver."""
+    """Ascending cut points for `value`, one fewer than there are ranges."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranges = min(max(partitions, 16), MAX_RANGES)
+    ranges = max(partitions, LEAST_RANGES)
     shares = [at / ranges for at in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 2000).alias("cuts")).first()
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, max(2000, 8 * ranges)).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
@@ -28,11 +29,12 @@ def range_of(value: Column, bounds: list[float]) -> Column:
     """How many cut points lie below `value`, by a coarse then a fine look-up."""
     if not bounds:
         return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
     every = F.array(*[F.lit(float(bound)) for bound in bounds])
-    coarse = F.array(*[F.lit(float(bound)) for bound in bounds[SEARCH_STEP - 1 :: SEARCH_STEP]] or [F.lit(float("inf"))])
+    coarse = F.array(*[F.lit(float(bound)) for bound in bounds[step - 1 :: step]] or [F.lit(float("inf"))])
     point = value.cast("double")
-    block = F.size(F.filter(coarse, lambda bound: bound < point)) * SEARCH_STEP
-    inside = F.slice(every, block + 1, F.lit(SEARCH_STEP))
+    block = F.size(F.filter(coarse, lambda bound: bound < point)) * step
+    inside = F.slice(every, block + 1, F.lit(step))
     return block + F.size(F.filter(inside, lambda bound: bound < point))
 
 

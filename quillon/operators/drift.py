@@ -7,6 +7,7 @@ large sides are joined.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -109,6 +110,27 @@ def categorical_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def feature_drift(baseline: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Drift of the named columns of two tables, each by its kind, with status, alert level and category names.
+
+    (feature_name, kind, drift_score, new_categories, missing_categories, drift_status, alert_level); the category
+    lists are sorted and empty for numbers.
+    """
+    parts = []
+    nothing = F.array().cast("array<string>")
+    if numeric:
+        sides = [numeric_baseline(long_features(df, numeric)) for df in (baseline, current)]
+        parts.append(numeric_drift(*sides).select("feature_name", F.lit("numeric").alias("kind"), "drift_score", nothing.alias("new_categories"), nothing.alias("missing_categories")))
+    if categorical:
+        sides = [long_features(df, categorical).withColumn("value", F.col("value").cast("string")) for df in (baseline, current)]
+        shares = category_shares(*sides)
+        names = lambda absent: F.array_sort(F.collect_list(F.when(F.col(absent) == 0, F.col("category"))))
+        lists = shares.groupBy("feature_name").agg(names("n_base").alias("new_categories"), names("n_now").alias("missing_categories"))
+        scores = categorical_drift(*sides).select("feature_name", F.lit("categorical").alias("kind"), "drift_score")
+        parts.append(scores.join(lists, "feature_name"))
+    return with_drift_status(reduce(DataFrame.unionByName, parts))
+
+
 def with_drift_status(scores: DataFrame, low: float = 0.1, medium: float = 0.3, high: float = 0.5) -> DataFrame:
     """Add the drift status and, from low drift on, the alert level."""
     score = F.col("drift_score")

@@ -273,3 +273,14 @@ def stale_failures(runs: DataFrame, now: dt.datetime | str, days: int = 7) -> Da
     """Failed runs that started more than `days` ago."""
     cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
     return runs.filter((F.col("status") == "FAILED") & (F.col("start_time") < cutoff))
+
+
+def metric_history(metrics: DataFrame, run, key: str) -> DataFrame:
+    """All values (step, value) of one metric of a run, by step."""
+    return metrics.filter((F.col("run_id") == F.lit(run)) & (F.col("key") == key)).orderBy("step", "value")
+
+
+def newest_metrics(metrics: DataFrame) -> DataFrame:
+    """(run_id, key, value, step): the value of the last step of each metric, the largest of several."""
+    last = F.max(F.struct("step", "value"))
+    return metrics.groupBy("run_id", "key").agg(last.alias("_l")).select("run_id", "key", F.col("_l.value").alias("value"), F.col("_l.step").alias("step"))

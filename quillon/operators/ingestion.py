@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 from quillon.operators.profiling import column_profile, table_profile
 from quillon.operators.quality import common_expectations, run_suite
+from quillon.session import stored_for_a_while
 from quillon.sources.files import read_file, write_file
 
 
@@ -37,11 +37,10 @@ def ingest(
 ) -> Ingested:
     """Load a file, run its suite, profile it, note the lineage edge and write it to `target`.
 
-    The table is kept on local disk only while the checks and the write read it. With
-    `fail_on_error` nothing is written when a check fails.
+    The source is read once, into the shared folder, where checks and write read it. With
+    `fail_on_error` nothing is written to the target when a check fails.
     """
-    df = read_file(spark, source, schema).persist(StorageLevel.DISK_ONLY)
-    try:
+    with stored_for_a_while(read_file(spark, source, schema), "ingest") as df:
         # One row per expectation.
         checks = [row.asDict() for row in run_suite(df, expectations or common_expectations(df.columns)).collect()]
         done = Ingested("success", df.count(), checks)
@@ -52,8 +51,6 @@ def ingest(
                 return done
             done.warnings.append("Data validation warnings detected")
         write_file(df, target, mode)
-    finally:
-        df.unpersist()
     stored = read_file(spark, target, df.schema)
     if with_profile:
         done.profile, done.columns = table_profile(stored), column_profile(stored)

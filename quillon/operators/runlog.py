@@ -254,3 +254,24 @@ def latency_summary(df: DataFrame, latency: str, ok: str) -> DataFrame:
         F.coalesce("_p.p99", F.lit(0.0)).alias("p99_latency"),
         "success_rate",
     )
+
+
+def search_runs(runs: DataFrame, where: str | None = None, order: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Runs by a SQL condition, in the order of columns (`name` or `name desc`); all of them unless a limit is given."""
+    found = runs if where is None else runs.filter(where)
+    if order:
+        found = found.orderBy(*[F.desc(c.removesuffix(" desc")) if c.endswith(" desc") else F.col(c) for c in order])
+    return found if limit is None else found.limit(limit)
+
+
+def overview(runs: DataFrame, now: dt.datetime | str) -> DataFrame:
+    """One row over the whole run log: workflows, runs, those of the last 24 hours, and both success rates in percent."""
+    recent = F.col("start_time") >= F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(24))
+    good = F.col("status") == "success"
+    return runs.agg(
+        F.count_distinct("workflow_name").alias("workflows"),
+        F.count(F.lit(1)).alias("executions"),
+        F.count_if(recent).alias("executions_24h"),
+        F.try_divide(F.count_if(good) * 100.0, F.count(F.lit(1))).alias("success_rate"),
+        F.try_divide(F.count_if(good & recent) * 100.0, F.count_if(recent)).alias("success_rate_24h"),
+    )

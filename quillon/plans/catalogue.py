@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import cube, features, graph, joins, models, operations, quality, trials, windowing  # noqa: F401
+from quillon.plans import cube, endpoints, features, graph, joins, models, operations, quality, trials, windowing  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

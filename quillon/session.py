@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stored_for_a_while(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """`df` written to the shared folder and read again; the files go at the end of the block."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(folder)
+    finally:
+        dropped(df.sparkSession, folder)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written as a compressed table in the shared folder, and read again."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"

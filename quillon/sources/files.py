@@ -33,9 +33,9 @@ def write_file(df: DataFrame, location: str, mode: str = "errorifexists") -> Non
     if kind == "parquet":
         writer.parquet(location)
     elif kind == "csv":
-        writer.csv(location, header=True, **TEXT_TIMES)
+        writer.options(**TEXT_TIMES).csv(location, header=True)
     else:
-        writer.json(location, **TEXT_TIMES)
+        writer.options(**TEXT_TIMES).json(location)
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, kind: str = "csv", mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quillon.operators.events import EVENT_TYPES, check_events
+from quillon.session import stored_for_a_while
 from quillon.sources.files import TEXT_TIMES
 
 # Fixed value: the ending of a dead-letter topic.
@@ -88,17 +89,14 @@ def consume(
 ) -> DataStreamWriter:
     """Check every record; valid events go to the handler of their type, the others to `reject`.
 
-    The micro-batch is kept while the handlers read it, so it is decoded once.
+    The checked micro-batch is written to the shared folder while the handlers read it, so it is decoded once.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        checked = check_events(batch, "value", schema_name).persist()
-        try:
+        with stored_for_a_while(check_events(batch, "value", schema_name), "checked") as checked:
             for event_type in EVENT_TYPES:
                 if event_type in handlers:
                     handlers[event_type](checked.filter("is_valid").filter(F.col("event_type") == event_type), number)
             reject(dead_letters(checked.filter(~F.col("is_valid")), group), number)
-        finally:
-            checked.unpersist()
 
     return records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
