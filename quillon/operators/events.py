@@ -48,11 +48,11 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def decoded(value: Column) -> Column:
     """The event fields of a JSON text as one struct; `payload` and `metadata` stay JSON text.
 
-    Time, payload and metadata are parsed as variants, since their JSON type matters; the other
-    fields are text, so no wrong type can spoil a record.
+    The time is parsed as a variant, since its JSON type matters; the other fields are text, so no wrong
+    type can spoil a record.
     """
     kinds = [f"`{name}` string" for name in TEXT_FIELDS + NUMBER_FIELDS]
-    kinds += ["`timestamp` variant", "payload variant", "metadata variant", "_broken string"]
+    kinds += ["`timestamp` variant", "payload string", "metadata string", "_broken string"]
     parsed = F.from_json(value.cast("string"), ", ".join(kinds), {"columnNameOfCorruptRecord": "_broken"})
 
     def fields(e: Column) -> Column:
@@ -63,16 +63,15 @@ def decoded(value: Column) -> Column:
             F.timestamp_micros((moment.try_cast("double") * 1_000_000).cast("long")),
         ).when((kind == "STRING") & moment.rlike(ISO_TIME), moment.try_cast("timestamp"))
         text = {name: F.coalesce(e[name], F.lit(DEFAULTS[name])) if name in DEFAULTS else e[name] for name in TEXT_FIELDS}
-        payload = F.try_variant_get(e["payload"], "$", "map<string,variant>")
         return F.struct(
             (e.isNotNull() & e["_broken"].isNull()).alias("is_json"),
             moment.isNotNull().alias("has_timestamp"),
             timestamp.alias("event_time"),
             *[column.alias(name) for name, column in text.items()],
             *[e[name].try_cast("double").alias(name) for name in NUMBER_FIELDS],
-            F.coalesce(F.map_keys(payload), F.array().cast("array<string>")).alias("payload_keys"),
-            F.to_json(e["payload"]).alias("payload"),
-            F.to_json(e["metadata"]).alias("metadata"),
+            F.coalesce(F.json_object_keys(e["payload"]), F.array().cast("array<string>")).alias("payload_keys"),
+            e["payload"].alias("payload"),
+            e["metadata"].alias("metadata"),
         )
 
     return _bound(parsed, fields)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
+from quillon.functions import tails
 from quillon.functions.ordering import quantiles, indexed_quantile
 from quillon.operators import alerts, comparison, drift, experiments, features, federation, lineage, models, olap, profiling, quality, runlog
 from quillon.operators.events import check_events, split_events
@@ -328,13 +329,21 @@ def edges_of(spark, *pairs):
 def test_reach_stops_at_depth_and_handles_cycles(spark):
     chain = edges_of(spark, *[(f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)], ("n03", "n01"))
     root = spark.createDataFrame([("n00",)], "node string")
-    got = {r["node"]: r["depth"] for r in lineage.reach(chain, root).collect()}
+    got = {r["node"]: r["depth"] for r in lineage.reach(chain, root, max_depth=10).collect()}
     assert got == {f"n{i:02d}": i for i in range(1, 11)}
+    assert {r["node"]: r["depth"] for r in lineage.reach(chain, root).collect()} == {f"n{i:02d}": i for i in range(1, 15)}
     own = spark.createDataFrame([("n01",)], "node string")
     assert {r["node"]: r["depth"] for r in lineage.reach(chain, own, "upstream").collect()} == {"n00": 1, "n03": 1, "n02": 2, "n01": 3}
     assert lineage.reach(chain, spark.createDataFrame([("n14",)], "node string")).count() == 0
 
 
+def test_long_chains_are_walked_to_their_end(spark):
+    names = [f"n{i:03d}" for i in range(41)]
+    chain = edges_of(spark, *zip(names, names[1:]), ("n000", "z"), ("loop", "loop"), ("loop", "n000"))
+    assert lineage.shortest_path(chain, "n000", "n040").first()["path"] == names
+    assert rows(lineage.circular_assets(chain)) == [("loop",)]
+
+
 def test_circular_assets_are_those_that_lead_to_a_cycle(spark):
     graph = edges_of(spark, ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "y"))
     assert rows(lineage.circular_assets(graph)) == [("a",), ("b",), ("c",)]
@@ -532,7 +541,8 @@ def test_psi_constant_reference(spark):
 
 def test_too_few_rows_give_no_drift_result(spark):
     df = spark.createDataFrame([(float(i),) for i in range(50)], "x double")
-    assert drift.input_drift(df, df, ["x"]).count() == 0
+    skipped = drift.input_drift(df, df, ["x"]).first()
+    assert (skipped["status"], skipped["statistic"], skipped["severity"]) == ("too_few_rows", None, None)
     assert drift.input_drift(df, df, ["x"], min_samples=50).first()["severity"] == "low"
 
 
@@ -549,7 +559,15 @@ def test_scoring_reports_failures_per_row(spark):
 
     df = spark.createDataFrame([(1, [1.0, 2.0], "ok"), (2, [1.0, 2.0], "bad"), (3, [0.0, 0.0], None)], "id int, features array<double>, model string")
     got = models.score(df, "id", "features", "model", {"ok": models.LinearModel([1.0, 2.0], 0.5), "bad": Broken()})
-    assert rows(got, "id", "prediction", "status") == [(1, 5.5, "success"), (2, None, "error"), (3, None, "model_not_found")]
+    assert rows(got, "id", "prediction", "status") == [(1, 5.5, "success"), (2, None, "error: no"), (3, None, "model_not_found")]
+
+
+def test_scoring_keeps_one_bad_vector_to_itself(spark):
+    data = [(i, [1.0, 2.0], "ok") for i in range(6)] + [(6, [1.0], "ok"), (7, None, "ok"), (8, [], "ok"), (9, [1.0, None], "ok")]
+    df = spark.createDataFrame(data, "id int, features array<double>, model string").coalesce(1)
+    got = {r["id"]: r for r in models.score(df, "id", "features", "model", {"ok": models.LinearModel([1.0, 2.0], 0.5)}).collect()}
+    assert all(got[i]["status"] == "success" and got[i]["prediction"] == 5.5 for i in range(6))
+    assert all(got[i]["status"].startswith("error: ") for i in (6, 7, 8))
 
 
 # -- features -----------------------------------------------------------------------------------
@@ -652,6 +670,47 @@ def test_ingestion(spark, tmp_path):
     assert spark.read.json(target).count() == 2
 
 
+def test_rows_a_microsecond_apart_are_different(spark, tmp_path):
+    times = [dt.datetime(2024, 1, 1, 0, 0, 0, micro) for micro in (123, 124, 123)]
+    df = spark.createDataFrame([(t, t, "a,b") for t in times], "at timestamp, wall timestamp_ntz, t string")
+    assert profiling.table_profile(df).first()["duplicate_rows"] == 1
+    for kind in ("csv", "json"):
+        files.write_file(df, f"{tmp_path}/x.{kind}")
+        assert rows(files.read_file(spark, f"{tmp_path}/x.{kind}", df.schema)) == rows(df)
+
+
+def test_most_frequent_ties_go_by_the_text(spark):
+    long = ["a" * 70, "a" * 64 + "b", "a" * 64]
+    df = spark.createDataFrame([(t,) for t in [*long, "b", "b" * 90, None]] , "t string")
+    top = profiling.top_categories(df, n=3).orderBy("rank").collect()
+    assert [r["value"] for r in top] == ["a" * 64, "a" * 70, "a" * 64 + "b"]
+    assert profiling.column_profile(df).first()["most_frequent_value"] == "a" * 64
+
+
+def test_pivot_loses_no_cell(spark):
+    cells = spark.createDataFrame([("r", "x", 1, "p"), ("r", "x", 2, "q"), ("s", "y", 3, "p")], "row string, c string, m int, other string")
+    with pytest.raises(Exception, match="several cells"):
+        olap.pivot_wide(cells, ["row"], "c", ["x", "y"], "m").collect()
+    with pytest.raises(Exception, match="no column for c = y"):
+        olap.pivot_wide(cells, ["row"], "c", ["x"], "m").collect()
+    assert rows(olap.pivot_wide(cells.filter("m <> 2"), ["row"], "c", ["x", "y"], "m")) == [("r", 1, None), ("s", None, 3)]
+
+
+def test_a_source_that_fails_while_it_runs_is_reported(spark):
+    good = spark.createDataFrame([(1, "a")], "id int, t string")
+    bad = good.withColumn("id", F.raise_error(F.concat(F.lit("down "), "t")).cast("int"))
+    result = federation.federate({"bad": lambda: bad, "good": lambda: good})
+    assert not result.success and list(result.errors) == ["bad"] and rows(result.combined) == [(1, "a")]
+
+
+def test_tails_hold_at_any_size(spark):
+    assert tails.student_two_sided(2.0, 1e13) == pytest.approx(tails.normal_two_sided(2.0), abs=1e-9)
+    assert tails.student_two_sided(2.0, 1e4) == pytest.approx(0.0455273, abs=1e-6)
+    assert tails.student_two_sided(1.0, 1.0) == pytest.approx(0.5) and tails.beta_share(2.0, 3.0, 0.5) == pytest.approx(0.6875)
+    h = spark.range(1).select(*[comparison.harmonic(F.lit(m)).alias(f"h{m}") for m in (1, 2, 999, 1001)]).first()
+    assert list(h) == pytest.approx([sum(1 / k for k in range(1, m + 1)) for m in (1, 2, 999, 1001)], abs=1e-12)
+
+
 # -- plans that must hold at scale --------------------------------------------------------------
 
 
