@@ -54,7 +54,7 @@ WITH d AS (SELECT count(*) AS n FROM orders)
 SELECT 'success' AS status, n AS rows, n AS row_count, 6 AS column_count, 0::BIGINT AS missing_cells, 0::BIGINT AS duplicate_rows FROM d""")
 def ingestion_run(spark, folder):
     done = ingest(spark, f"{folder}/orders.parquet", f"{work_folder(spark)}/orders.parquet", "orders")
-    return done.profile.select(F.lit(done.status).alias("status"), F.lit(done.rows).alias("rows"), "row_count", "column_count", "missing_cells", "duplicate_rows")
+    return done.profile.select(F.lit(done.status).alias("status"), F.lit(done.rows).cast("long").alias("rows"), "row_count", "column_count", "missing_cells", "duplicate_rows")
 
 
 def event_stream(spark, folder) -> DataFrame:
