@@ -32,7 +32,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = repeats.without_repeats(docs.select(COLUMNS))
     changed = F.size("spans") > 0
-    text = F.when(changed, repeats.valid_text("kept")).otherwise(F.col("text"))
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     cleaned = found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length(text)).otherwise(F.col("n_chars")).alias("n_chars"))
     return cleaned.select(COLUMNS)
 
@@ -46,7 +46,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     words = vocabulary()
     named = docs.select(F.struct("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("key"), "text")
-    back = bpe.decoded(bpe.encoded(named, words, key="key"), words)
+    back = bpe.encoded(named, words, key="key", into="decoded")
     return back.select(
         "key.doc_id", "key.lang", "key.source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("key.sha")).alias("round_trip")
     )

@@ -24,7 +24,7 @@ from quillon.llm.common import Numbered, gathered, needs, slices, texts_of
 #: Characters that are encoded at a time.
 SLICE = 1 << 21
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Leaves of all segment trees merged side by side.
 LEAVES = 1 << 17
 NONE = np.iinfo(np.int64).max
@@ -228,9 +228,11 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     return gathered(vocabulary.token_bytes, ends[ids], ends[ids + 1] - ends[ids]).tobytes()
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
     """(key, ids): the ids of each whole text, without special tokens.
 
+    With `into`, a column of that name holds the bytes that the ids decode to again, made by the same task.
+
     Null and empty texts have no ids. Rows are independent: repeated rows and keys give repeated results, other columns
     are not read, an empty table gives an empty one.
     """
@@ -244,10 +246,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text:
             texts = texts_of(batch.column(1))
             for a, b in slices(list(map(len, texts)), SLICE):
                 ids, ends = encoder.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[key, "ids"])
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if into:
+                    columns.append(pa.array([decode(ids[x:y], shared.value) for x, y in zip(ends.tolist(), ends[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return narrow.mapInArrow(encode, T.StructType([narrow.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]))
+    fields = [narrow.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
+    schema = T.StructType(fields + ([T.StructField(into, T.BinaryType(), False)] if into else []))
+    return narrow.mapInArrow(encode, schema)
 
 
 def decoded(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -271,7 +277,7 @@ def decoded(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: s
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): a fixed-size record of what the round trip gave."""
-    back = decoded(encoded(docs, vocabulary, key, text), vocabulary)
+    back = encoded(docs, vocabulary, key, text, into="decoded")
     return back.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.session import checkpointed
+from quillon.session import checkpoint_folder, checkpointed
 
 #: What separates words: the space and the control characters from tab to carriage return. `bytes.split()` splits there.
 SPACE = " \t\n\r\x0b\x0c"
@@ -169,10 +169,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def shared_folder(spark, purpose: str) -> str:
     """A new folder's name under the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpointed(spark.range(0))  # sets the folder as the session says
-    return f"{context.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def shared_table(df: DataFrame, purpose: str) -> DataFrame:

@@ -24,9 +24,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillon.llm.common import bytes_of, in_groups, needs, shared_table
 
@@ -334,7 +333,7 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed(batches: Iterator[pa.RecordBatch], text: int, digest: int, ranges: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The batch's columns but digest and ranges, the maximal removed runs and the bytes that stay."""
+    """The batch's columns but digest and ranges, the maximal removed runs, the bytes that stay and the text of them."""
     for batch in batches:
         data, ends = bytes_of(batch.column(text))
         digests = batch.column(digest).to_numpy()
@@ -357,28 +356,19 @@ def removed(batches: Iterator[pa.RecordBatch], text: int, digest: int, ranges: i
             kept.append(own[~gone].tobytes())
         columns = [c for i, c in enumerate(batch.columns) if i not in (digest, ranges)]
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pair), pa.array(kept, pa.binary())], names=names)
-
-
-def valid_text(data: str) -> Column:
-    """The bytes of a column as text, without the bytes of incomplete characters."""
-
-    @F.pandas_udf("string")
-    def decode(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda part: bytes(part).decode("utf-8", "ignore"))
-
-    return decode(F.col(data))
+        texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pair), pa.array(kept, pa.binary()), texts], names=names)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `spans` (maximal removed byte ranges) and `kept` (the bytes that stay).
+    """`docs` with `spans` (maximal removed byte ranges), `kept` (the bytes that stay) and `kept_text` (those of whole characters).
 
     Null texts are empty and texts under SPAN bytes lose nothing. A row without a key counts as later than all others.
     Rows of equal key never match each other, so repeated rows are treated alike. Columns named like a result are
     replaced. An empty table gives an empty one.
     """
     needs(docs, key, text)
-    docs = docs.drop("spans", "kept")
+    docs = docs.drop("spans", "kept", "kept_text")
     spark = docs.sparkSession
     own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
     digest = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 43)
@@ -414,6 +404,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = docs.withColumn(column, own).join(by_doc.withColumnRenamed("doc", f"{column}_doc"), F.col(column) == F.col(f"{column}_doc"), "left")
     joined = joined.select(*[joined[c] for c in docs.columns], digest.alias(f"{column}_digest"), F.col("ranges").alias(f"{column}_ranges"))
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("spans", pair, False), T.StructField("kept", T.BinaryType(), False)])
+    made = [T.StructField("spans", pair, False), T.StructField("kept", T.BinaryType(), False), T.StructField("kept_text", T.StringType(), False)]
+    schema = T.StructType([*docs.schema.fields, *made])
     places = docs.columns.index(text), len(docs.columns), len(docs.columns) + 1
     return joined.mapInArrow(lambda batches: removed(batches, *places, schema.names), schema)

@@ -196,7 +196,7 @@ def test_token_rows(spark, words, reference):
     texts = [None, "", "a b", "x " * 30000, "y" * 20000]
     docs = spark.createDataFrame([(i, t, None, 1, "x", "y") for i, t in enumerate(texts)] * 2 + [(None, "n", None, 1, "x", "y")], DOCS)
     out = bpe.decoded(bpe.encoded(docs, words), words).collect()
-    assert len(out) == 11
+    assert len(out) == 11 and sorted(map(repr, out)) == sorted(map(repr, bpe.encoded(docs, words, into="decoded").collect()))
     for r in out:
         text = "n" if r["doc_id"] is None else texts[r["doc_id"]] or ""
         assert list(r["ids"]) == reference.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
