@@ -171,15 +171,15 @@ def variant_tests_corrected(spark, folder):
 
 
 @query("rank_sum_test", """
-WITH g AS (SELECT o_orderstatus AS g, o_totalprice::BIGINT / 1000 AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
-x AS (SELECT floor(v) AS v, count(*) AS n, count(*) FILTER (g = 'F') AS a, count(*) FILTER (g = 'O') AS b FROM g GROUP BY floor(v)),
+WITH g AS (SELECT o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
+x AS (SELECT v, count(*) AS n, count(*) FILTER (g = 'F') AS a, count(*) FILTER (g = 'O') AS b FROM g GROUP BY v),
 r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM x),
 s AS (SELECT sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * rank) AS ra, sum(n::DOUBLE ** 3 - n) AS ties FROM r)
 SELECT n_a, n_b, (ra - n_a * (n_a + 1) / 2)::DOUBLE AS u_statistic, round(1 - 2 * (ra - n_a * (n_a + 1) / 2) / (n_a * n_b), 8) AS effect_size,
   round((greatest(ra - n_a * (n_a + 1) / 2, n_a * n_b - (ra - n_a * (n_a + 1) / 2)) - n_a * n_b / 2 - 0.5)
     / sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))), 6) AS z FROM s""")
 def rank_sum_test(spark, folder):
-    rows = table(spark, folder, "orders").withColumn("v", F.floor(F.round("o_totalprice").cast("long") / 1000))
+    rows = table(spark, folder, "orders").withColumn("v", F.col("o_totalprice"))
     made = comparison.mann_whitney(rows, "o_orderstatus", "v", "F", "O")
     return rounded(rounded(made.select("n_a", "n_b", "u_statistic", "effect_size", "z"), 8, "effect_size"), 6, "z")
 
