@@ -39,11 +39,18 @@ ENDS = {
 #: Elements past which an implied end does not reach.
 SCOPES = frozenset("article aside body div fieldset footer form header html main nav section table td th ul ol dl".split())
 INLINE_FLOW = BLOCKS - {"button", "dd", "dt", "head", "html", "body", "li", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "caption", "legend"}
+#: Elements whose content is not text of the page; those of NESTED may hold their own kind.
+UNSEEN = frozenset("iframe noscript select svg template textarea".split())
+NESTED = frozenset(("svg", "template"))
+#: Start tags that a head may hold; any other ends it, as its own end tag is optional.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript template title".split())
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|head|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+TITLE_END = re.compile(r"<(?:(?P<own>/title)|/?head|/?body|title)(?:\s[^>]*)?>", re.I)
+TAG_START = re.compile(r"<[!/?a-zA-Z]|\Z")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 # Names that mark boilerplate and main containers when the training sample is labelled.
@@ -66,8 +73,33 @@ class Block:
     linked: int
 
 
+def hidden_ends(source: str, kind: str, position: int) -> dict[int, int]:
+    """End of each closed element of a kind from `position` on, by the place where its start tag ends.
+
+    An element that cannot nest is unclosed if another one starts before its end tag.
+    """
+    text = r"" if kind in ("iframe", "textarea") else r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|"
+    tags = re.compile(text + rf"<(?P<end>/?){kind}(?P<attributes>(?:[\s/](?:[^>\"']|\"[^\"]*\"|'[^']*')*+)?)>", re.S | re.I)
+    ends: dict[int, int] = {}
+    starts: list[int] = []
+    for found in tags.finditer(source, position):
+        if found["end"] is None:
+            continue
+        if found["end"]:
+            if starts:
+                ends[starts.pop()] = found.end()
+            if kind not in NESTED:
+                starts.clear()
+        elif kind != "svg" or not found["attributes"].endswith("/"):
+            starts.append(found.end())
+    return ends
+
+
 def leaf_blocks(source: str) -> list[Block]:
-    """Blocks with text, in page order: references decoded, white space turned into single spaces and trimmed."""
+    """Blocks with text, in page order: references decoded, white space turned into single spaces and trimmed.
+
+    Hidden elements are left out where they are closed; the start tag of an unclosed one is passed over, so that it hides nothing.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[tuple[str, bool]] = []
@@ -88,23 +120,40 @@ def leaf_blocks(source: str) -> list[Block]:
         del stack[place:]
 
     position = 0
-    for found in MARKUP.finditer(source):
+    in_head = False
+    hidden: dict[str, dict[int, int]] = {}
+    while found := MARKUP.search(source, position):
         if found.start() > position:
+            in_head = in_head and source[position : found.start()].isspace()
             pieces.append((source[position : found.start()], links > 0))
         position = found.end()
         tag = found["tag"]
         if tag is None:
-            if found["raw"] and found["raw"].lower() in BLOCKS:
-                flush()
             continue
         tag = tag.lower()
         if found["end"]:
+            in_head = in_head and tag not in ("head", "body", "html", "br")
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCKS:
                 flush()
             if place is not None:
                 pop_to(place)
             continue
+        in_head = tag == "head" or in_head and tag in IN_HEAD
+        if tag == "head":
+            flush()
+            continue
+        if in_head and tag == "title":
+            found = TITLE_END.search(source, position)
+            position = found.end() if found and found["own"] else TAG_START.search(source, position).start()
+            continue
+        if tag in UNSEEN:
+            if tag in BLOCKS:
+                flush()
+            if tag not in hidden:
+                hidden[tag] = hidden_ends(source, tag, found.start())
+            position = hidden[tag].get(position, position)
+            continue
         if tag == "br":
             pieces.append((" ", links > 0))
             continue

@@ -142,6 +142,23 @@ def test_blocks_of_markup():
     assert extraction.leaf_blocks("") == [] and extraction.leaf_blocks("<" * 5000)[0].text == "<" * 5000
 
 
+def test_unclosed_elements_hide_nothing():
+    def texts(page):
+        return [b.text for b in extraction.leaf_blocks(page)]
+
+    body = "<article><p>Hello</p><p>there</p></article>"
+    for head in ("<head><title>x</title>", "<head><title>x", "<HEAD lang=en><meta charset=utf-8><style>p {}</style><script>'<p>'</script><noscript><p>n</p></noscript><title>a <b> c</title></HEAD>"):
+        for start in ("<body>", "", "\n<!-- c --><body class=a>"):
+            assert texts(f"<html>{head}{start}{body}") == ["Hello", "there"], (head, start)
+    assert texts("<head><title>x</title>Hello <p>there") == ["Hello", "there"]
+    assert texts("<header>a</header><p>b") == ["a", "b"]
+    for kind in ("textarea", "select", "noscript", "template", "svg", "iframe"):
+        assert texts(f"<article><p>a</p><{kind} class=comment><p>b</p><p>c</p></article><p>d") == ["a", "b", "c", "d"], kind
+        found = extraction.leaf_blocks(f"<article><p>a</p><{kind} class=ad><p>b</p><{kind}>no</{kind}><p>c</p></article><p>d</p><{kind} a='>'><!-- x --><p>no</{kind} >e")
+        assert [(b.text, "article" in b.path, "ad" in b.path) for b in found] == [(x, x in "abc", False) for x in "abcde"], kind
+    assert texts("<p>a<svg><svg><text>no</text></svg><title>no</title></svg>b<svg/>c<textarea></p><!--</textarea>d") == ["abc", "d"]
+
+
 def test_labeller_on_unseen_pages_and_layouts(spark):
     pages = duckdb.sql("select page_id, html from '/root/testdata/sf0.01/pages.parquet' order by page_id").fetchall()
     labeller = extraction.train([p for i, p in pages if i % 2])
