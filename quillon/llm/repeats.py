@@ -41,9 +41,9 @@ NO_ID = np.iinfo(np.int64).max
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-# A place is packed in one long: 21 bits of the text's digest, 31 of the position, 11 of the lengths.
-def packed(digest: np.ndarray | int, start: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.asarray(digest, np.int64) << 42 | start.astype(np.int64) << 11 | low.astype(np.int64)
+# A text is told by its key (doc) and its digest. A place in it is packed in one long: 31 bits of the position, 11 of the lengths.
+def packed(start: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 11 | low.astype(np.int64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, whole, doc, place) of every stretch, from (doc, digest, text)."""
+    """(gram, whole, doc, digest, place) of every stretch, from (doc, digest, text)."""
     for batch in batches:
         docs = batch.column(0).to_numpy()
         digests = batch.column(1).to_numpy()
@@ -103,7 +103,7 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ends[i + 1] - ends[i] < SPAN:
                 continue
             gram, whole, at, left, right = stretches(data[ends[i] : ends[i + 1]])
-            rows.append((gram.view(np.int64), whole.view(np.int64), np.full(len(at), docs[i]), packed(digests[i], at, left << 6 | right)))
+            rows.append((gram.view(np.int64), whole.view(np.int64), np.full(len(at), docs[i]), np.full(len(at), digests[i]), packed(at, left << 6 | right)))
             held += len(at)
             if held > 200_000:
                 yield table_of(rows)
@@ -113,28 +113,32 @@ def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table_of(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["gram", "whole", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["gram", "whole", "doc", "digest", "place"])
 
 
 def settled_and_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (border, gram, doc, place), from stretches sorted by (gram, whole, doc).
+    """Rows (border, gram, doc, digest, place), from stretches sorted by (gram, whole, doc, digest, place).
 
     A stretch seen in a smaller document is settled. Of the rest, those whose minimizer has another content
-    elsewhere are borders. What waits for the next batch is one document's stretches of one content.
+    elsewhere are borders. Repeated rows of one text count once. What waits for the next batch is one document's
+    stretches of one content.
     """
-    gram = whole = low = None
+    gram = whole = low = last = None
     several = False
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def out(border: bool, grams: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(docs), border)), pa.array(grams), pa.array(docs), pa.array(places)], names=["border", "gram", "doc", "place"]
-        )
+    def out(border: bool, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(columns[0]), border), *columns)], names=["border", "gram", "doc", "digest", "place"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        g, w, d, p = (batch.column(i).to_numpy() for i in range(4))
+        columns = [batch.column(i).to_numpy() for i in range(5)]
+        fresh = np.append(last is None or last != tuple(c[0] for c in columns), np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        last = tuple(c[-1] for c in columns)
+        g, w, d, t, p = (c[fresh] for c in columns)
+        if not len(g):
+            continue
         new_gram = np.append(gram is None or g[0] != gram, g[1:] != g[:-1])
         new_whole = new_gram | np.append(whole is None or w[0] != whole, w[1:] != w[:-1])
         lows = np.where(new_whole, d, 0)
@@ -142,24 +146,24 @@ def settled_and_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         lows = np.where(start >= 0, d[start], low if low is not None else 0)
         later = d > lows
         if later.any():
-            yield out(False, g[later], d[later], p[later])
+            yield out(False, g[later], d[later], t[later], p[later])
         group = np.cumsum(new_gram)  # 0: the run that goes on from the last batch
         second = new_whole & ~new_gram
         many = np.zeros(group[-1] + 1, bool)
         many[group[second]] = True
         many[0] |= several
         if many[0] and held:
-            yield out(True, np.full(sum(len(x) for x, _ in held), gram), *map(np.concatenate, zip(*held)))
+            yield out(True, np.full(sum(len(x) for x, *_ in held), gram), *map(np.concatenate, zip(*held)))
             held = []
         if group[-1] > 0:
             held = []
         border = ~later & many[group]
         if border.any():
-            yield out(True, g[border], d[border], p[border])
+            yield out(True, g[border], d[border], t[border], p[border])
         gram, whole, low, several = g[-1], w[-1], lows[-1], bool(many[-1])
         open_rows = ~later & (group == group[-1])
         if not several and open_rows.any():
-            held.append((d[open_rows], p[open_rows]))
+            held.append((d[open_rows], t[open_rows], p[open_rows]))
 
 
 class Extensions:
@@ -285,9 +289,9 @@ def covered_windows(data: np.ndarray, start: np.ndarray, left: np.ndarray, right
 
 
 def border_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, place) of removed ranges, from borders (gram, doc, place, context) sorted by gram."""
+    """(doc, digest, place) of removed ranges, from borders (gram, doc, digest, place, context) sorted by gram."""
     for run in in_groups(batches, ["gram"]):
-        gram, doc, place = (run[name].to_numpy() for name in ("gram", "doc", "place"))
+        gram, doc, digest, place = (run[name].to_numpy() for name in ("gram", "doc", "digest", "place"))
         data, ends = bytes_of(run["context"].combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
         left, right = place >> 6 & 31, place & 63
         covered = covered_windows(data.copy(), ends[:-1], left, right, gram, doc)
@@ -299,14 +303,24 @@ def border_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(row)) - 1
         own = place[row[begin]]
-        position = (own >> 11) & ((1 << 31) - 1)
-        out = packed(own >> 42, position - l[end], l[end] - l[begin] + SPAN)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[row[begin]]), pa.array(out)], names=["doc", "place"])
+        out = packed((own >> 11) - l[end], l[end] - l[begin] + SPAN)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row[begin]], digest[row[begin]], out)], names=["doc", "digest", "place"])
 
 
 def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, doc, place, context) of borders, from (doc, digest, text, borders as structs of gram and place)."""
+    """(gram, doc, digest, place, context) of borders, from (doc, digest, text, borders as structs of gram and place).
+
+    Neighbouring rows of one text are fetched once.
+    """
+    last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy() for i in (0, 1)]
+        fresh = np.append(last != tuple(k[0] for k in keys), np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        last = tuple(k[-1] for k in keys)
+        if not fresh.all():
+            batch = batch.filter(pa.array(fresh))
         data, ends = bytes_of(batch.column(2))
         lists = batch.column(3)
         grams, places = (lists.flatten().field(i).to_numpy() for i in (0, 1))
@@ -314,11 +328,7 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.repeat(batch.column(0).to_numpy(), lengths)
         digest = np.repeat(batch.column(1).to_numpy(), lengths)
         base = np.repeat(ends[:-1], lengths)
-        mine = np.flatnonzero(places >> 42 == digest)
-        if not len(mine):
-            continue
-        grams, places, docs, base = grams[mine], places[mine], docs[mine], base[mine]
-        start = base + (places >> 11 & ((1 << 31) - 1)) - (places >> 6 & 31)
+        start = base + (places >> 11) - (places >> 6 & 31)
         size = (places >> 6 & 31) + (places & 63)
         for i in range(0, len(start), 100_000):
             part = slice(i, i + 100_000)
@@ -328,25 +338,23 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.large_binary(), len(total), [None, pa.py_buffer(np.append(0, total).astype(np.int64)), pa.py_buffer(bytes_)]
             ).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[part]), pa.array(docs[part]), pa.array(places[part]), contexts], names=["gram", "doc", "place", "context"]
+                [*(pa.array(x[part]) for x in (grams, docs, digest, places)), contexts], names=["gram", "doc", "digest", "place", "context"]
             )
 
 
-def removed(batches: Iterator[pa.RecordBatch], text: int, digest: int, ranges: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The batch's columns but digest and ranges, the maximal removed runs, the bytes that stay and the text of them."""
+def removed(batches: Iterator[pa.RecordBatch], text: int, ranges: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch's columns but the ranges, the maximal removed runs, the bytes that stay and the text of them."""
     for batch in batches:
         data, ends = bytes_of(batch.column(text))
-        digests = batch.column(digest).to_numpy()
         spans, kept = [], []
         for i, found in enumerate(batch.column(ranges)):
             own = data[ends[i] : ends[i + 1]]
             places = found.values.to_numpy() if found.is_valid else np.zeros(0, np.int64)
-            places = places[places >> 42 == digests[i]]
             if not len(places):
                 spans.append([])
                 kept.append(own.tobytes())
                 continue
-            start = places >> 11 & ((1 << 31) - 1)
+            start = places >> 11
             edge = np.zeros(len(own) + 1, np.int32)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + (places & 2047), -1)
@@ -354,7 +362,7 @@ def removed(batches: Iterator[pa.RecordBatch], text: int, digest: int, ranges: i
             turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
             spans.append([{"start": a, "end": b} for a, b in turn.tolist()])
             kept.append(own[~gone].tobytes())
-        columns = [c for i, c in enumerate(batch.columns) if i not in (digest, ranges)]
+        columns = [c for i, c in enumerate(batch.columns) if i != ranges]
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pair), pa.array(kept, pa.binary()), texts], names=names)
@@ -371,40 +379,44 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.drop("spans", "kept", "kept_text")
     spark = docs.sparkSession
     own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    digest = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 43)
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
     narrow = docs.select(own.alias("doc"), digest.alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
-    order = ["gram", "whole", "doc"]
-    dealt = narrow.mapInArrow(stretch_rows, "gram long, whole long, doc long, place long").repartition("gram").sortWithinPartitions(*order)
-    marks = shared_table(dealt.mapInArrow(settled_and_borders, "border boolean, gram long, doc long, place long"), "marks")
-
-    borders = marks.where("border").groupBy("doc").agg(F.collect_list(F.struct("gram", "place")).alias("borders"))
-    contexts = narrow.join(borders, "doc").select("doc", "digest", "text", "borders")
-    contexts = shared_table(contexts.mapInArrow(fetched, "gram long, doc long, place long, context binary"), "borders")
+    one = ["doc", "digest"]
+    order = ["gram", "whole", *one, "place"]
+    dealt = narrow.mapInArrow(stretch_rows, "gram long, whole long, doc long, digest long, place long").repartition("gram").sortWithinPartitions(*order)
+    marks = shared_table(dealt.mapInArrow(settled_and_borders, "border boolean, gram long, doc long, digest long, place long"), "marks")
+
+    borders = marks.where("border").groupBy(*one).agg(F.collect_list(F.struct("gram", "place")).alias("borders"))
+    contexts = narrow.join(borders, one).select(*one, "text", "borders")
+    contexts = shared_table(contexts.mapInArrow(fetched, "gram long, doc long, digest long, place long, context binary"), "borders")
     frequent = contexts.groupBy("gram").count().where(F.col("count") > MOST_BORDERS).select("gram")
     few = contexts.join(frequent, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    ranges = few.mapInArrow(border_ranges, "doc long, place long")
+    ranges = few.mapInArrow(border_ranges, "doc long, digest long, place long")
 
     many = contexts.join(frequent, "gram", "left_semi")
     left, right = F.shiftright("place", 6).bitwiseAND(F.lit(31)), F.col("place").bitwiseAND(F.lit(63))
     starts = F.posexplode(F.sequence(F.lit(1).cast("long"), left + right - (SPAN - 1))).alias("step", "at")
-    windows = many.select("doc", "place", left.alias("left"), "context", starts)
-    windows = windows.select("doc", "place", "left", "step", F.expr(f"substring(context, int(at), {SPAN})").alias("window"))
+    windows = many.select(*one, "place", left.alias("left"), "context", starts)
+    windows = windows.select(*one, "place", "left", "step", F.expr(f"substring(context, int(at), {SPAN})").alias("window"))
     lowest = windows.groupBy("window").agg(F.min("doc").alias("low"))
     found = windows.join(lowest, "window").where("doc > low")
-    at = F.shiftright("place", 11).bitwiseAND(F.lit((1 << 31) - 1)) - F.col("left") + F.col("step")
-    place = F.shiftleft(F.shiftright("place", 42), 42).bitwiseOR(F.shiftleft(at, 11)).bitwiseOR(F.lit(SPAN).cast("long"))
-    ranges = ranges.unionByName(found.select("doc", place.alias("place")))
+    at = F.shiftright("place", 11) - F.col("left") + F.col("step")
+    place = F.shiftleft(at, 11).bitwiseOR(F.lit(SPAN).cast("long"))
+    ranges = ranges.unionByName(found.select(*one, place.alias("place")))
 
-    start = F.shiftright("place", 11).bitwiseAND(F.lit((1 << 31) - 1)) - left
-    settled = F.shiftleft(F.shiftright("place", 42), 42).bitwiseOR(F.shiftleft(start, 11)).bitwiseOR(left + right)
-    ranges = marks.where("not border").select("doc", settled.alias("place")).unionByName(ranges)
-    by_doc = ranges.groupBy("doc").agg(F.collect_list("place").alias("ranges"))
+    start = F.shiftright("place", 11) - left
+    settled = F.shiftleft(start, 11).bitwiseOR(left + right)
+    ranges = marks.where("not border").select(*one, settled.alias("place")).unionByName(ranges)
+    # As a set, so that many rows of one text do not gather its ranges as often.
+    by_text = ranges.groupBy(*one).agg(F.collect_set("place").alias("ranges"))
 
     column = f"own_{uuid.uuid4().hex[:8]}"
-    joined = docs.withColumn(column, own).join(by_doc.withColumnRenamed("doc", f"{column}_doc"), F.col(column) == F.col(f"{column}_doc"), "left")
-    joined = joined.select(*[joined[c] for c in docs.columns], digest.alias(f"{column}_digest"), F.col("ranges").alias(f"{column}_ranges"))
+    by_text = by_text.select(F.col("doc").alias(f"{column}_doc"), F.col("digest").alias(f"{column}_text"), F.col("ranges").alias(f"{column}_ranges"))
+    named = docs.withColumn(column, own).withColumn(f"{column}_digest", digest)
+    same = (F.col(column) == F.col(f"{column}_doc")) & (F.col(f"{column}_digest") == F.col(f"{column}_text"))
+    joined = named.join(by_text, same, "left").select(*[named[c] for c in docs.columns], f"{column}_ranges")
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [T.StructField("spans", pair, False), T.StructField("kept", T.BinaryType(), False), T.StructField("kept_text", T.StringType(), False)]
     schema = T.StructType([*docs.schema.fields, *made])
-    places = docs.columns.index(text), len(docs.columns), len(docs.columns) + 1
+    places = docs.columns.index(text), len(docs.columns)
     return joined.mapInArrow(lambda batches: removed(batches, *places, schema.names), schema)

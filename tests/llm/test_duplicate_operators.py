@@ -193,6 +193,22 @@ def test_removed_ranges_equal_brute_force(spark, monkeypatch, most):
     assert sorted(found, key=repr) == plain_removal(docs)
 
 
+def test_texts_of_one_key_stay_apart(spark):
+    r = random.Random(13)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(r.randrange(50, 160))) for _ in range(8000)]
+    seen, alike = {}, []
+    for text in texts:
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) >> 43, text)
+        alike += [(other, text)] * (other != text)
+    assert len(alike) > 3
+    docs = [(1, a + a[::-1]) for a, _ in alike] + [(key, text) for pair in alike for text in pair for key in (None, None, 7)]
+    found = [
+        (r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+        for r in repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    ]
+    assert sorted(found, key=repr) == plain_removal(docs)
+
+
 def test_long_text_and_empty_table(spark):
     r = random.Random(12)
     long = "".join(r.choice("abcdefghij ") for _ in range(300_000))
