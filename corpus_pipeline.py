@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that of the smallest id; documents without an id stay."""
+    """One document of each group of linked fingerprints, that of the smallest id; documents without an id come last."""
     return simhash.without_near_duplicates(docs.select(COLUMNS)).select(COLUMNS)
 
 

@@ -11,6 +11,7 @@ forest of its links, never its pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillon.llm.common import bytes_of, components, in_groups, needs, star_forest
+from quillon.llm.common import bytes_of, components, in_groups, needs, shared_table, star_forest
 from quillon.session import checkpointed
 
 SHINGLE = 4
@@ -155,6 +156,12 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(bucket_links, "a long, b long")
 
 
+def rooted_fingerprints(classes: DataFrame) -> DataFrame:
+    """`classes`, which has one row per fingerprint `fp`, with `root`: the same for all fingerprints joined by links."""
+    roots = components(fingerprint_links(classes.select("fp")))
+    return checkpointed(classes.join(roots, classes["fp"] == roots["node"], "left").select(*[classes[c] for c in classes.columns], F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) for every row; component_id is the smallest key reachable by links.
 
@@ -163,15 +170,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prints = checkpointed(fingerprints(docs, key, text))
     classes = prints.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(fingerprint_links(classes.select("fp")))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
+    rooted = rooted_fingerprints(classes)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of `docs` whose key is the smallest of its group, and rows without a key."""
-    found = near_duplicates(docs, key, text).where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+    """One row of `docs` for each group of linked fingerprints: that of the smallest key, rows without a key last.
+
+    Rows of one key go by a digest of their texts. Equal rows are told apart by numbers in a table in the shared folder.
+    """
+    needs(docs, key, text)
+    number = f"row_{uuid.uuid4().hex[:8]}"
+    numbered = shared_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    rank = F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), digest.alias("digest"), F.col(number).alias("row"))
+    prints = checkpointed(fingerprints(numbered.select(rank.alias("rank"), text), "rank", text))
+    rooted = rooted_fingerprints(prints.groupBy("fp").agg(F.min("rank").alias("first")))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
+    return numbered.join(first, number, "left_semi").select(*docs.columns)

@@ -103,6 +103,18 @@ def test_documents_without_a_key(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c"), (None, "A b c"), (4, "x y z w"), (4, "x y z w"), (None, "x y z w"), (5, "X y z w"), (None, "alone"), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert found == [(0, "a b c"), (0, "alone"), (4, "x y z w"), (6, "")]
+    apart = spark.createDataFrame([(1, "one text"), (1, "other text"), (1, "one text")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.without_near_duplicates(apart).collect()) == ["one text", "other text"]
+    assert simhash.without_near_duplicates(docs.limit(0)).collect() == []
+
+
 # --- vectors
 
 
