@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import archives, bpe, chat, extraction, langid, mixing, quality, repeats, simhash, vectors
+from quillon.llm import archives, bpe, chat, extraction, infill, langid, mixing, quality, repeats, resampling, simhash, urls, vectors
 from quillon.llm.common import drop_folder, shared_folder
 from quillon.session import checkpointed
 
@@ -179,3 +179,129 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = checkpointed(archives.page_records(archives.read_warc(spark, f"{work}/warc")))
     drop_folder(spark, work)
     return found
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS unit, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (
+  SELECT doc_id, text, unit, len(unit) AS n, ('0x' || h[1:8])::BIGINT % (len(unit) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(unit) + 1) AS b,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain, ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm FROM d),
+p AS (
+  SELECT *, array_to_string(unit[1:least(a, b)], '') AS prefix, array_to_string(unit[least(a, b) + 1:greatest(a, b)], '') AS middle,
+         array_to_string(unit[greatest(a, b) + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    work = shared_folder(spark, "frames")
+    store = infill.framed(table(spark, folder, "documents"))
+    store.write.parquet(work)
+    found = checkpointed(infill.digests(infill.arranged(spark.read.schema(store.schema).parquet(work))))
+    drop_folder(spark, work)
+    return found
+
+
+# CRC-32 by its table, one byte of all distinct features at a time.
+OP12_SQL = """
+WITH RECURSIVE e AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM e WHERE k < 8),
+z AS (
+  SELECT list(c ORDER BY i) AS tab FROM e WHERE k = 8),
+w AS (
+  SELECT 0 AS kind, doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS word FROM documents
+  UNION ALL
+  SELECT 1, NULL, -row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') FROM benchmark),
+f AS (
+  SELECT kind, row, unnest(list_transform(range(1, len(word) - size + 2), lambda i: array_to_string(word[i:i + size - 1], ' '))) AS feature FROM w, range(1, 4) s(size)),
+u AS (
+  SELECT feature, encode(feature) AS raw, octet_length(encode(feature)) AS n FROM (SELECT DISTINCT feature FROM f)),
+x AS (
+  SELECT feature, hex(raw) AS hex, n FROM u),
+b AS (
+  SELECT feature, xor(list_reduce(list_transform(range(n), lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT),
+         lambda c, v: xor(c >> 8, z.tab[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM x, z),
+o AS (
+  SELECT f.kind, f.row, b.bucket, count(*) AS n FROM f JOIN b USING (feature) GROUP BY ALL),
+t AS (
+  SELECT i AS bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM range(10000) r(i) LEFT JOIN o ON o.bucket = i GROUP BY i),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM t),
+d AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM o JOIN g USING (bucket) WHERE kind = 0 GROUP BY row),
+r AS (
+  SELECT doc_id, w.row, len(word) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN d USING (row) WHERE kind = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, row) AS place, count(*) OVER (PARTITION BY n_words >= 20) * 5 // 100 AS k FROM r)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= k THEN place END AS rank FROM p
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _words_sql(group: int, place: str) -> str:
+    part = f"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', {group})"
+    plain = f"regexp_replace(translate({part}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')"
+    return f"list_transform(regexp_extract_all({plain}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: '{place}:' || x)"
+
+
+OP13_SQL = f"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS row, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+         list_sort(list_distinct(list_concat({_words_sql(1, 'host')}, {_words_sql(2, 'path')}, {_words_sql(3, 'query')}))) AS tokens FROM pages),
+l AS (
+  SELECT row_number() OVER () AS row, tokens, CASE WHEN quality = 0 OR toxic = 1 THEN 'block' ELSE 'allow' END AS verdict
+  FROM p JOIN labels ON page_id = doc_id WHERE quality = 0 OR toxic = 1 OR (quality <> 0 AND toxic <> 1)),
+a AS (
+  SELECT count(*) AS n, greatest(ceil(0.005::DOUBLE * count(*)), 20) AS least FROM l),
+t AS (
+  SELECT token, list_sort(list(row)) AS rows FROM (SELECT row, unnest(tokens) AS token FROM l) GROUP BY token HAVING count(*) >= (SELECT least FROM a)),
+i AS (
+  SELECT min(token) AS item, list_sort(list(token)) AS members, rows FROM t GROUP BY rows),
+k AS (
+  SELECT row, list_sort(list(item)) AS items FROM (SELECT item, unnest(rows) AS row FROM i) GROUP BY row),
+s AS (
+  SELECT l.row, verdict, list_filter(items, lambda x, j: (mask >> (j - 1)) & 1 = 1) AS plain FROM l JOIN k USING (row), unnest(range(1, 1 << len(items))) m(mask)),
+b AS (
+  SELECT plain, count(*) AS base FROM s GROUP BY plain),
+r AS (
+  SELECT plain, s.verdict, count(*) AS n, any_value(base) AS base, count(*)::DOUBLE / any_value(base) AS confidence FROM s JOIN b USING (plain)
+  GROUP BY plain, s.verdict HAVING count(*) >= (SELECT least FROM a)),
+g AS (
+  SELECT r.* FROM r JOIN (SELECT verdict, count(*) AS n FROM l GROUP BY verdict) v USING (verdict), a WHERE confidence >= 0.8::DOUBLE AND r.n * a.n > base * v.n),
+h AS (
+  SELECT plain, g.verdict, max(r.confidence) AS had FROM (SELECT plain, verdict, list_filter(plain, lambda x: x <> gone) AS shorter FROM g, unnest(plain) q(gone)) g
+  JOIN (SELECT plain AS shorter, verdict, confidence FROM r) r ON r.shorter = g.shorter AND r.verdict = g.verdict GROUP BY plain, g.verdict),
+u AS (
+  SELECT g.verdict, g.n, g.confidence, (SELECT list_sort(flatten(list(members))) FROM i WHERE list_contains(g.plain, item)) AS asked
+  FROM g LEFT JOIN h ON h.plain = g.plain AND h.verdict = g.verdict WHERE had IS NULL OR g.confidence > had),
+o AS (
+  SELECT tokens, max(row(confidence, n, len(asked), verdict = 'block', asked, verdict)) AS best FROM (SELECT DISTINCT tokens FROM p) JOIN u ON list_has_all(tokens, asked) GROUP BY tokens),
+c AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END ELSE coalesce(best[6], 'allow') END AS verdict,
+       CASE WHEN rule IS NULL THEN array_to_string(best[5], ' ') END AS reason, CASE WHEN rule IS NULL THEN best[1] END AS confidence
+FROM c LEFT JOIN o USING (tokens)
+"""
+
+
+@query("op13_url_filters", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rules = urls.mined(urls.labelled_urls(pages, table(spark, folder, "labels")))
+    return urls.judged(pages, rules)
