@@ -10,6 +10,8 @@ the rows is spread over all ranges.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -121,22 +123,88 @@ def value_at(value: str, index: Column) -> Column:
     return F.max(F.when(here, F.col(value)))
 
 
-def linear_quantile(value: str, share: float) -> Column:
-    """Aggregate: quantile with linear interpolation between the two neighbouring rows."""
+@dataclass(frozen=True)
+class Pick:
+    """An aggregate over the sorted rows of a group, and the 0-based positions of the rows that it reads."""
+
+    column: Column
+    positions: tuple[Column, ...]
+
+
+def at_position(value: str, index: Column) -> Pick:
+    """The row at a position, which may depend on `n_total`."""
+    return Pick(value_at(value, index), (index,))
+
+
+def linear_quantile(value: str, share: float) -> Pick:
+    """Quantile with linear interpolation between the two neighbouring rows."""
     position = (F.col("n_total") - 1) * F.lit(float(share))
-    low = value_at(value, F.floor(position))
-    high = value_at(value, F.ceil(position))
+    low, high = F.floor(position), F.ceil(position)
     weight = F.max(position - F.floor(position))
-    return low + weight * (high - low)
+    return Pick(value_at(value, low) + weight * (value_at(value, high) - value_at(value, low)), (low, high))
 
 
-def indexed_quantile(value: str, percent: float) -> Column:
-    """Aggregate: the row at `min(int(n * percent / 100), n - 1)` of the sorted rows."""
+def indexed_quantile(value: str, percent: float) -> Pick:
+    """The row at `min(int(n * percent / 100), n - 1)` of the sorted rows."""
     index = F.floor(F.col("n_total") * F.lit(float(percent)) / F.lit(100.0))
-    return value_at(value, F.least(index, F.col("n_total") - 1))
+    return at_position(value, F.least(index, F.col("n_total") - 1))
+
+
+#: Buckets of values within a factor of two.
+PER_OCTAVE = 64
+
+
+def bucket_of(value: Column) -> Column:
+    """A whole number that never falls while the value rises: sign, and the logarithm in steps of 1 / PER_OCTAVE.
+
+    It needs no look at the data, and gives few buckets however values spread. NaN comes last, as in sorting.
+    """
+    x = value.cast("double")
+    size = F.floor(F.least(F.log2(F.abs(x)) * PER_OCTAVE, F.lit(1e6))).cast("long") + 100_000
+    return F.when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """One row per key with the requested picks (see value_at and the two quantiles above)."""
-    ordered = ordered_counts(df, keys, value)
-    return ordered.groupBy(*keys).agg(*[pick.alias(name) for name, pick in picks.items()])
+def holding(positions: list[Column], before: str, n: str) -> Column:
+    """Whether one of the positions falls on the n rows after the first `before`."""
+    return reduce(lambda a, b: a | b, [(p >= F.col(before)) & (p < F.col(before) + F.col(n)) for p in positions])
+
+
+#: Parts of equal width into which a bucket's values are dealt.
+PARTS = 256
+
+
+def _matching(names: dict[str, str]) -> Column:
+    """Equality of columns, null equal to null."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, Pick]) -> DataFrame:
+    """One row per key with the requested picks.
+
+    Two scans. The first counts rows by bucket, which combines before the shuffle; the running counts of a key tell
+    which buckets hold a wanted position. The second reads only the values of those buckets and deals each bucket into
+    parts of equal width; only parts that hold a wanted position are ranked, so neither a hot key nor values that
+    all lie close together are sorted in one task.
+    """
+    positions = [p for pick in picks.values() for p in pick.positions]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, bucket_of(F.col(value)).alias("_range"))
+    number = F.col(value).cast("double")
+    counted = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    below = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).withColumn("n_total", F.sum("_n").over(whole))
+    held = {c: f"_k{at}" for at, c in enumerate([*keys, "_range"])}
+    wanted = placed.where(holding(positions, "_before", "_n"))
+    wanted = wanted.select(*[F.col(c).alias(k) for c, k in held.items()], "_before", "n_total", "_low", "_high")
+    part = F.when(F.col("_high") > F.col("_low"), F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * PARTS)).otherwise(0)
+    named = [*keys, "_range", "_part"]
+    values = rows.join(wanted, _matching(held)).withColumn("_part", part).groupBy(*named, value, "_before", "n_total").agg(F.count(F.lit(1)).alias("n"))
+
+    earlier = Window.partitionBy(*keys, "_range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = values.groupBy(*named, "_before", "n_total").agg(F.sum("n").alias("_n"))
+    parts = parts.withColumn("_shift", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(holding(positions, "_shift", "_n"))
+    held = {c: f"_k{at}" for at, c in enumerate(named)}
+    found = values.join(parts.select(*[F.col(c).alias(k) for c, k in held.items()], "_shift"), _matching(held))
+    within = Window.partitionBy(*named).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = found.withColumn("n_before", F.col("_shift") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return ordered.groupBy(*keys).agg(*[pick.column.alias(name) for name, pick in picks.items()])

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.ordering import ordered_counts, value_at
+from quillon.functions.ordering import at_position, ordered_counts, quantiles
 from quillon.functions.tails import chi_square_p, kolmogorov_p
 from quillon.session import checkpointed
 
@@ -38,12 +38,11 @@ def numeric_baseline(rows: DataFrame) -> DataFrame:
         F.max("_v").alias("max_val"),
         (F.avg(F.col("value").isNull().cast("double")) * 100).alias("null_percentage"),
     )
-    ordered = ordered_counts(numbers, ["feature_name"], "_v")
-    picks = [
-        value_at("_v", F.floor(F.lit(p / 100) * (F.col("n_total") - 1))).alias(f"p{p}") for p in BASELINE_PERCENTS
-    ]
-    ranks = ordered.groupBy("feature_name").agg(*picks, F.count(F.lit(1)).alias("unique_values"))
-    return moments.join(ranks, "feature_name", "left").na.fill(0, ["unique_values"])
+    picks = {f"p{p}": at_position("_v", F.floor(F.lit(p / 100) * (F.col("n_total") - 1))) for p in BASELINE_PERCENTS}
+    ranks = quantiles(numbers, ["feature_name"], "_v", picks)
+    unique = numbers.where(F.col("_v").isNotNull()).select("feature_name", "_v").distinct().groupBy("feature_name").agg(F.count(F.lit(1)).alias("unique_values"))
+    found = moments.join(ranks, "feature_name", "left").join(unique, "feature_name", "left")
+    return found.na.fill(0, ["unique_values"])
 
 
 def categorical_baseline(rows: DataFrame) -> DataFrame:

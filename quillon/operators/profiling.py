@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.ordering import linear_quantile, ordered_counts
+from quillon.functions.ordering import linear_quantile, quantiles
 from quillon.sources.files import TEXT_TIMES
 
 #: Characters of a text that travel with its digest.
@@ -181,12 +181,8 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     moments = _per_column(values.agg(*cells), columns, names)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     long_values = values.select(F.explode(pairs).alias("p")).select("p.*")
-    ordered = ordered_counts(long_values, ["column"], "value")
-    quartiles = ordered.groupBy("column").agg(
-        linear_quantile("value", 0.25).alias("q1"),
-        linear_quantile("value", 0.5).alias("median"),
-        linear_quantile("value", 0.75).alias("q3"),
-    )
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = quantiles(long_values, ["column"], "value", {name: linear_quantile("value", share) for name, share in shares.items()})
     # The fences of all columns become one row, so the outliers are one more wide aggregation.
     spread = F.col("q3") - F.col("q1")
     fence = lambda c, value: F.max(F.when(F.col("column") == c, value))

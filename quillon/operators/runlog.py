@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.functions.ordering import indexed_quantile, ordered_counts, value_at
+from quillon.functions.ordering import Pick, indexed_quantile, quantiles, value_at
 from quillon.functions.timeline import with_previous
 
 HOUR_US = 3_600_000_000
@@ -236,11 +236,9 @@ def latency_summary(df: DataFrame, latency: str, ok: str) -> DataFrame:
     spot = (n + 1) * 19
     at = F.greatest(F.lit(1), F.least(F.floor(spot / 20), n - 1))
     weight = spot - at * 20
-    ordered = ordered_counts(df, [], latency)
-    picks = ordered.agg(
-        ((value_at(latency, at - 1) * (20 - F.max(weight)) + value_at(latency, F.least(at, n - 1)) * F.max(weight)) / 20).alias("p95"),
-        indexed_quantile(latency, 99).alias("p99"),
-    )
+    low, high = at - 1, F.least(at, n - 1)
+    between = (value_at(latency, low) * (20 - F.max(weight)) + value_at(latency, high) * F.max(weight)) / 20
+    picks = quantiles(df, [], latency, {"p95": Pick(between, (low, high)), "p99": indexed_quantile(latency, 99)})
     rates = df.agg(
         F.coalesce(F.avg(latency), F.lit(0.0)).alias("avg_latency"),
         F.coalesce(F.avg(F.col(ok).cast("double")) * 100, F.lit(0.0)).alias("success_rate"),

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.operators import drift, experiments, runlog
 from quillon.operators.ingestion import ingest
-from quillon.operators.windows import Agg, Tumbling
+from quillon.operators.windows import Agg, Session, Sliding, Tumbling
 from quillon.plans.operations import END, RUNS, runs
 from quillon.plans.registry import query, rounded, table
 from quillon.session import checkpoint_folder
 from quillon.sources.files import read_file, write_file, write_report
+from quillon.streaming.alerts import STATE_STORE
 from quillon.streaming.features import feature_writer
 from quillon.streaming.windows import window_writers
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -95,6 +97,53 @@ def stream_closed_windows(spark, folder):
     return rounded(found.withColumns(ends), 4, "sum_value")
 
 
+EXACT = """
+WITH x AS (SELECT *, time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01') AS last_start FROM events),
+w AS (SELECT *, last_start - k * INTERVAL {slide} AS s FROM x, range(0, {many}) t(k)), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+r AS (SELECT *, row_number() OVER p - 1 AS i, count(*) OVER (PARTITION BY event_type, s) AS n FROM w, m WHERE s + INTERVAL {size} <= mark WINDOW p AS (PARTITION BY event_type, s ORDER BY value))
+SELECT event_type, s AS window_start, s + INTERVAL {size} AS window_end, count(*) AS count, count(DISTINCT user_id) AS distinct_count_user_id,
+  max(value) FILTER (i = least(floor(n * 90.0::DOUBLE / 100), n - 1)) AS p90, arg_max(props, (ts, event_id)) AS last_props FROM r GROUP BY ALL"""
+
+
+EXACTLY = [Agg("count"), Agg("distinct_count", "user_id"), Agg("percentile", "value", 90, "p90"), Agg("last", "props")]
+
+
+def closed_exactly(spark, folder, key, window, aggs) -> DataFrame:
+    """What a stream with a day's lateness has closed of a window after all events, with exact aggregations."""
+    work = work_folder(spark)
+    held = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, STATE_STORE)
+    try:
+        writers = window_writers(
+            event_stream(spark, folder), {"exact": (key, window, aggs)},
+            lambda name, df, n: df.write.mode("overwrite").parquet(f"{work}/{name}/batch={n}"), f"{work}/progress", lateness="1 day",
+        )
+        drained(writers["exact"])
+    finally:
+        spark.conf.set(STATE_PROVIDER, held) if held else spark.conf.unset(STATE_PROVIDER)
+    found = spark.read.parquet(f"{work}/exact").drop("batch")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("stream_exact_windows", EXACT.format(slide="7 DAY", many=1, size="7 DAY"))
+def stream_exact_windows(spark, folder):
+    return closed_exactly(spark, folder, "event_type", Tumbling(7 * 86_400_000), EXACTLY)
+
+
+@query("stream_exact_sliding", EXACT.format(slide="3 DAY", many=2, size="6 DAY"))
+def stream_exact_sliding(spark, folder):
+    return closed_exactly(spark, folder, "event_type", Sliding(6 * 86_400_000, 3 * 86_400_000), EXACTLY)
+
+
+@query("stream_exact_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 12 HOUR AS window_end, count(*) AS count, count(DISTINCT event_type) AS distinct_count_event_type FROM s
+GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_exact_sessions(spark, folder):
+    return closed_exactly(spark, folder, "user_id", Session(12 * 3_600_000), [Agg("count"), Agg("distinct_count", "event_type")])
+
+
 @query("run_search", RUNS + "SELECT run_id, workflow_name, status FROM runs WHERE status = 'failed' AND workflow_name = 'flow-2'")
 def run_search(spark, folder):
     found = runlog.search_runs(runs(spark, folder), "status = 'failed' AND workflow_name = 'flow-2'", ["start_time desc", "run_id"])

@@ -66,6 +66,31 @@ def sliding_aggregates(spark, folder):
     return rounded(window_aggregate(table(spark, folder, "events"), "user_id", Sliding(DAY, 8 * HOUR), aggs), 9, "avg_value")
 
 
+@query("sliding_wide", SLIDES.format(slide="15 MINUTE", many=1000) + """
+SELECT event_type, s AS window_start, s + INTERVAL 250 HOUR AS window_end, count(*) AS count, round(sum(value), 4) AS sum_value, min(value) AS min_value,
+  arg_min(user_id, (ts, event_id)) AS first_user_id FROM w GROUP BY ALL""")
+def sliding_wide(spark, folder):
+    """A thousand overlapping windows: blocks of slices, each read twice."""
+    aggs = [Agg("count"), Agg("sum", "value"), Agg("min", "value"), Agg("first", "user_id")]
+    made = window_aggregate(table(spark, folder, "events"), "event_type", Sliding(250 * HOUR, HOUR // 4), aggs)
+    return rounded(made, 4, "sum_value")
+
+
+@query("sliding_distinct", SLIDES.format(slide="1 HOUR", many=48) + """
+SELECT event_type, s AS window_start, s + INTERVAL 48 HOUR AS window_end, count(DISTINCT user_id) AS distinct_count_user_id FROM w GROUP BY ALL""")
+def sliding_distinct(spark, folder):
+    return window_aggregate(table(spark, folder, "events"), "event_type", Sliding(2 * DAY, HOUR), [Agg("distinct_count", "user_id")])
+
+
+@query("sliding_percentiles", SLIDES.format(slide="3 HOUR", many=16) + """
+, r AS (SELECT event_type, s, value, row_number() OVER p - 1 AS i, count(*) OVER (PARTITION BY event_type, s) AS n FROM w WINDOW p AS (PARTITION BY event_type, s ORDER BY value))
+SELECT event_type, s AS window_start, s + INTERVAL 48 HOUR AS window_end, max(value) FILTER (i = least(floor(n * 50.0::DOUBLE / 100), n - 1)) AS p50,
+  max(value) FILTER (i = least(floor(n * 99.0::DOUBLE / 100), n - 1)) AS p99 FROM r GROUP BY ALL""")
+def sliding_percentiles(spark, folder):
+    aggs = [Agg("percentile", "value", 50, "p50"), Agg("percentile", "value", 99, "p99")]
+    return window_aggregate(table(spark, folder, "events"), "event_type", Sliding(2 * DAY, 3 * HOUR), aggs)
+
+
 SESSIONS = """
 WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {gap} THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY {key} ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY ts) AS session FROM g)
@@ -87,6 +112,16 @@ def session_default_gap(spark, folder):
     return window_aggregate(table(spark, folder, "events"), "event_type", Session(), [Agg("count"), Agg("distinct_count", "user_id")])
 
 
+@query("session_one_key", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS session FROM g)
+SELECT 'all' AS everyone, min(ts) AS window_start, max(ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS count, round(sum(value), 4) AS sum_value FROM s GROUP BY session""")
+def session_one_key(spark, folder):
+    """All events under one key: ranges of time are put in order side by side."""
+    events = table(spark, folder, "events").withColumn("everyone", F.lit("all"))
+    return rounded(window_aggregate(events, "everyone", Session(60_000), [Agg("count"), Agg("sum", "value")]), 4, "sum_value")
+
+
 @query("global_window", """
 WITH r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value))
 SELECT user_id, count(*) AS count, round(avg(value), 9) AS avg_value, max(value) FILTER (i = least(floor(n * 90.0::DOUBLE / 100), n - 1)) AS p90 FROM r GROUP BY user_id""")

@@ -141,3 +141,51 @@ def test_alert_state_spans_batches(spark, tmp_path):
     ]
     batch = metric_alerts(spark.createDataFrame(data, schema), rules, "at", "id", slice_seconds=120)
     assert rows(batch.select("rule_name", F.minute("at"), "transition")) == sorted(seen)
+
+
+EXACT = [Agg("count"), Agg("distinct_count", "value"), Agg("percentile", "value", 50, "p50"), Agg("first", "value"), Agg("max", "value")]
+
+
+def closed(spark, tmp_path, files, window, aggs=EXACT, lateness="10 seconds"):
+    """Rows that a stream over the files closes, and the query's progress."""
+    for at_, data in enumerate(files):
+        put(spark, tmp_path / "in", f"{at_:02d}", data)
+    seen = []
+    writers = window_writers(
+        stream(spark, tmp_path / "in"), {"w": ("user", window, aggs)}, lambda name, df, n: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp"), lateness=lateness
+    )
+    query = drain(writers["w"])
+    return seen, query.recentProgress
+
+
+@pytest.mark.parametrize("window", [Tumbling(60_000), Sliding(180_000, 60_000), Session(30_000)])
+def test_exact_stream_aggregates_over_many_batches(spark, tmp_path, window):
+    """Values repeated between batches, events out of order, ties in time, a null key and null values."""
+    data = [
+        (i, [None, "a", "b"][i % 3], at((i * 7) % 20, i % 50), None if i % 11 == 0 else float(i % 4)) for i in range(60)
+    ] + [(100 + i, "a", at(5, 5), float(9 - i)) for i in range(5)]
+    files = [data[i::5] for i in range(5)] + [[(999, "end", at(59), 0.0)]]
+    seen, _ = closed(spark, tmp_path, files, window, lateness="30 minutes")
+    batch = window_aggregate(spark.createDataFrame(data, SCHEMA), "user", window, EXACT)
+    assert sorted((r for r in seen if r[0] != "end"), key=repr) == rows(batch)
+
+
+def test_exact_stream_state_holds_open_windows_only(spark, tmp_path):
+    files = [[(100 * minute + i, "u", at(minute, i), float(i)) for i in range(20)] for minute in range(12)]
+    seen, progress = closed(spark, tmp_path, files, Tumbling(60_000))
+    assert len(seen) == 11 and all(r[3:6] == (20, 20, 10.0) for r in seen)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    # One window open, one to be closed: counts of two fields, partials, span and timer of each.
+    assert max(sizes) <= 3 * (2 * 20 + 3 + 1 + 2) and sizes[-1] <= max(sizes)
+
+
+def test_exact_stream_drops_what_is_too_late(spark, tmp_path):
+    files = [[(1, "u", at(0), 1.0)], [(2, "u", at(10), 1.0)], [(3, "u", at(0, 30), 5.0), (4, "u", at(9, 59), 7.0)], [(5, "u", at(50), 1.0)]]
+    seen, _ = closed(spark, tmp_path, files, Tumbling(60_000))
+    assert [(r[1].minute, r[3]) for r in sorted(seen)] == [(0, 1), (9, 1), (10, 1)]
+
+
+def test_a_late_event_joins_two_open_sessions(spark, tmp_path):
+    files = [[(1, "u", at(0), 1.0)], [(2, "u", at(1, 20), 2.0)], [(3, "u", at(0, 40), 3.0)], [(4, "u", at(40), 4.0)]]
+    seen, _ = closed(spark, tmp_path, files, Session(50_000), lateness="5 minutes")
+    assert [(r[1].minute, r[2].minute, *r[3:]) for r in seen] == [(0, 2, 3, 3, 2.0, 1.0, 3.0)]
