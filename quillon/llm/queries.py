@@ -89,7 +89,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 OP6_SQL = """
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS own, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
@@ -107,20 +107,20 @@ o AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole,
          target - CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END * source_size AS open_words FROM t),
 r AS (
-  SELECT d.doc_id, d.source, d.size, o.source_size, o.target, o.whole, o.open_words,
-         (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, ''), ':17')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+  SELECT d.doc_id, d.source, d.size, d.own, o.source_size, o.target, o.whole, o.open_words,
+         (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, d.own), ':17')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
          o.open_words / o.source_size AS f, least(greatest(sqrt(d.size * o.n / o.source_size), 0.5::DOUBLE), 2.0::DOUBLE) AS favour
   FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source),
 k AS (
   SELECT *, CASE WHEN open_words > 0 AND f < 1 THEN (u / (1 - u)) / (f / (1 - f) * favour) END AS rank FROM r),
 c AS (
-  SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= open_words AS picked FROM k),
+  SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size, own ROWS UNBOUNDED PRECEDING) <= open_words AS picked FROM k),
 g AS (
   SELECT *, open_words - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
 e AS (
   SELECT *, NOT picked AND size > 0 AND rank IS NOT NULL AND abs(size - gap) < gap
          AND row_number() OVER (PARTITION BY source ORDER BY NOT picked AND size > 0 AND rank IS NOT NULL AND abs(size - gap) < gap DESC,
-                                abs(size - gap), rank, doc_id::VARCHAR) = 1 AS closes FROM g)
+                                abs(size - gap), rank, coalesce(doc_id::VARCHAR, ''), own) = 1 AS closes FROM g)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN picked OR closes THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import archives, chat, mixing
 from quillon.llm.common import shared_folder
-from quillon.llm.queries import vocabulary
+from quillon.llm.queries import ORACLES, QUERIES, vocabulary
 
 PIECES = ["<s>", "</s>", "[INST]", "[/INST]", "<", "s>", "[", "⁠", "|im_end|>", "<|im_end|>", "a", "\\", "\\n", "\n", "]", "<⁠/s>"]
 
@@ -170,3 +171,42 @@ def test_empty_pages(spark):
     archives.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), f"{work}/arc")
     archives.convert(spark, f"{work}/arc", f"{work}/warc")
     assert archives.read_warc(spark, f"{work}/warc").collect() == []
+
+
+def tied_documents(kind):
+    words = lambda n: " ".join(["word"] * n)
+    if kind == "one id":
+        return [(7, words(23), "a")] * 40 + [(8, words(500), "b"), (9, words(30), "c")]
+    if kind == "no ids":
+        return [(None, words(23), "a")] * 40 + [(None, words(23) + "x", "a")] * 3 + [(None, words(30 + i), "b") for i in range(30)]
+    if kind == "hot class":
+        return [(1, words(11), "a")] * 400 + [(i, words(5 + i % 17), "a") for i in range(2, 300)] + [(i, words(9), "b") for i in range(300)] + [(None, None, "b"), (None, "", None)]
+    return [(i % 13, words(3 + i % 5), "abc"[i % 3]) for i in range(200)]
+
+
+@pytest.mark.parametrize("kind", ["one id", "no ids", "hot class", "few ids"])
+def test_mix_on_ties_equals_sql(spark, tmp_path, kind):
+    """Repeated and missing ids: each row is taken for itself, as in the SQL, and nobody more than twice."""
+    rows = tied_documents(kind)
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted((tuple(r) for r in QUERIES["op6_mixing"](spark, str(tmp_path)).collect()), key=repr)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(db.execute(ORACLES["op6_mixing"]).fetchall(), key=repr)
+    assert [(a, b, c, round(d, 6), e) for a, b, c, d, e in found] == [(a, b, c, round(d, 6), e) for a, b, c, d, e in want]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    taken = {}
+    for r in mixing.mixture(docs).collect():
+        taken[tuple(r)] = taken.get(tuple(r), 0) + 1
+    of = {}
+    for r in rows:
+        of[r] = of.get(r, 0) + 1
+    assert all(n <= 2 * of[r] for r, n in taken.items())
+    words = {}
+    for (_, text, source), n in taken.items():
+        words[source] = words.get(source, 0) + n * len((text or "").split())
+    for source, target in {(r["source"], r["target"]) for r in mixing.mixed(mixing.sizes(docs)).collect()}:
+        largest = max(len((t or "").split()) for _, t, s in rows if s == source)
+        assert abs(words.get(source, 0) - target) <= largest
+    assert sum(words.values()) == sum(r[4] for r in found)
