@@ -145,8 +145,8 @@ def settled_and_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         start = np.maximum.accumulate(np.where(new_whole, np.arange(len(d)), -1))
         lows = np.where(start >= 0, d[start], low if low is not None else 0)
         later = d > lows
-        if later.any():
-            yield out(False, g[later], d[later], t[later], p[later])
+        if later.any():  # no later step reads their minimizer
+            yield out(False, np.zeros(int(later.sum()), np.int64), d[later], t[later], p[later])
         group = np.cumsum(new_gram)  # 0: the run that goes on from the last batch
         second = new_whole & ~new_gram
         many = np.zeros(group[-1] + 1, bool)
@@ -368,6 +368,22 @@ def removed(batches: Iterator[pa.RecordBatch], text: int, ranges: int, names: li
         yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pair), pa.array(kept, pa.binary()), texts], names=names)
 
 
+def told_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """`docs` with two new columns: the key (null comes last) and, beside it, the digest of the text; and the first's name.
+
+    Only texts of a key that several rows share need a digest, the others have 0: one number less to carry for each
+    stretch. Repeated keys are counted from the key column alone.
+    """
+    column = f"own_{uuid.uuid4().hex[:8]}"
+    named = docs.withColumn(column, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+    shared = shared_table(named.groupBy(column).count().where("count > 1").select(F.col(column).alias(f"{column}_shared")), "keys")
+    if shared.isEmpty():
+        return named.withColumn(f"{column}_digest", F.lit(0).cast("long")), column
+    known = named.join(shared, F.col(column) == F.col(f"{column}_shared"), "left")
+    digest = F.when(F.col(f"{column}_shared").isNotNull(), F.xxhash64(F.coalesce(text, F.lit("")))).otherwise(0).cast("long")
+    return known.withColumn(f"{column}_digest", digest).drop(f"{column}_shared"), column
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `spans` (maximal removed byte ranges), `kept` (the bytes that stay) and `kept_text` (those of whole characters).
 
@@ -378,9 +394,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     needs(docs, key, text)
     docs = docs.drop("spans", "kept", "kept_text")
     spark = docs.sparkSession
-    own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    digest = F.xxhash64(F.coalesce(text, F.lit("")))
-    narrow = docs.select(own.alias("doc"), digest.alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    named, column = told_apart(docs, key, text)
+    own, digest = F.col(column), F.col(f"{column}_digest")
+    narrow = named.select(own.alias("doc"), digest.alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
     one = ["doc", "digest"]
     order = ["gram", "whole", *one, "place"]
     dealt = narrow.mapInArrow(stretch_rows, "gram long, whole long, doc long, digest long, place long").repartition("gram").sortWithinPartitions(*order)
@@ -410,9 +426,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # As a set, so that many rows of one text do not gather its ranges as often.
     by_text = ranges.groupBy(*one).agg(F.collect_set("place").alias("ranges"))
 
-    column = f"own_{uuid.uuid4().hex[:8]}"
     by_text = by_text.select(F.col("doc").alias(f"{column}_doc"), F.col("digest").alias(f"{column}_text"), F.col("ranges").alias(f"{column}_ranges"))
-    named = docs.withColumn(column, own).withColumn(f"{column}_digest", digest)
     same = (F.col(column) == F.col(f"{column}_doc")) & (F.col(f"{column}_digest") == F.col(f"{column}_text"))
     joined = named.join(by_text, same, "left").select(*[named[c] for c in docs.columns], f"{column}_ranges")
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
