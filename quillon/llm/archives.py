@@ -16,6 +16,7 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,11 +34,13 @@ FIELDS = {
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: HTTP header that carries a record's order; ARC has no identifiers of its own.
 ORDER = "X-Archive-Order"
+#: Header of a revisit that keeps the size of the payload left out.
+LENGTH = "X-Payload-Length"
 NO_URL = "about:blank"
 RECORDS_PER_FILE = 20_000
 
 ARC_SCHEMA = (
-    "kind string, url string, ip string, date string, mime string, record_order long, head string, payload binary, payload_bytes long, payload_digest string"
+    "kind string, url string, ip string, date string, mime string, record_order long, head binary, payload binary, payload_bytes long, payload_digest string"
 )
 WARC_SCHEMA = (
     "record_id string, record_type string, date string, target_uri string, record_order long, payload binary, "
@@ -106,30 +109,73 @@ def whole_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
 
 
+def header_fields(line: bytes, version: int | None) -> dict[str, str] | None:
+    """The named fields of a record's header line, or None if it is none.
+
+    The fields after the URL hold no blanks and are counted from the right, so all that is left is the URL, blanks
+    included. Without a version block the number of fields that fit tells the version.
+    """
+    parts = line.decode("utf-8", "surrogateescape").rstrip("\r\n").split(" ")
+    for kind in (version,) if version else (2, 1):
+        names = FIELDS[kind]
+        if len(parts) < len(names):
+            continue
+        named = dict(zip(names[1:], parts[1 - len(names) :]))
+        url = " ".join(parts[: 1 - len(names)])
+        if url and named["Archive-length"].isascii() and named["Archive-length"].isdigit() and re.fullmatch(r"\d{4,14}", named["Archive-date"]):
+            return {"URL": url.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), **named}
+    return None
+
+
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of one ARC file, gzipped or not, cut by their declared lengths."""
+    """Records of one ARC file, gzipped or not, cut by their declared lengths.
+
+    What is no header line where one is due, up to the next one, and a record cut off by the end of the file come as one
+    row of kind `damaged` with those bytes; the records around them are read as ever.
+    """
     file = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    version = None
-    while line := file.readline():
-        if not line.strip():
-            continue
-        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if parts[0].startswith("filedesc:"):
-            body = file.read(int(parts[-1]))
-            version = int(body.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version} is not known")
-            yield {"kind": "filedesc", "url": parts[0], "ip": parts[1], "date": parts[2], "mime": parts[3], "body": body}
-            continue
-        if version is None:
-            raise ValueError("an ARC file has to begin with a version block")
-        if len(parts) != len(FIELDS[version]):
-            raise ValueError(f"header line with {len(parts)} fields in an ARC file of version {version}")
-        named = dict(zip(FIELDS[version], parts))
-        body = file.read(length := int(named["Archive-length"]))
+    version, lost = None, []
+
+    def damaged() -> dict:
+        body = b"".join(lost)
+        lost.clear()
+        return {"kind": "damaged", "url": None, "ip": None, "date": None, "mime": None, "body": body}
+
+    while True:
+        try:
+            line = file.readline()
+            if not line:
+                break
+            if not line.strip():
+                if lost:
+                    lost.append(line)
+                continue
+            named = header_fields(line, None if line.startswith(b"filedesc:") else version)
+            if not named:
+                lost.append(line)
+                continue
+            if lost:
+                yield damaged()
+            body = file.read(length := int(named["Archive-length"]))
+        except (EOFError, OSError, zlib.error) as error:  # the rest of the compressed file cannot be read
+            lost.append(str(error).encode())
+            break
         if len(body) != length:
-            raise ValueError("an ARC record ends before its declared length")
-        yield {"kind": "record", "url": named["URL"], "ip": named["IP-address"], "date": named["Archive-date"], "mime": named["Content-type"], "body": body}
+            lost += [line, body]
+            break
+        if line.startswith(b"filedesc:"):
+            declared = body.split(b" ", 1)[0]
+            version = int(declared) if declared.isdigit() and int(declared) in FIELDS else None
+            if version is None:  # an unknown version: its records are told by their fields, if by anything
+                lost += [line, body]
+                yield damaged()
+                continue
+        yield {
+            "kind": "filedesc" if line.startswith(b"filedesc:") else "record",
+            "url": named["URL"], "ip": named["IP-address"], "date": named["Archive-date"], "mime": named["Content-type"], "body": body,
+        }
+    if lost:
+        yield damaged()
 
 
 def http_parts(body: bytes) -> tuple[bytes | None, bytes]:
@@ -163,7 +209,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Rows of ARC_SCHEMA for all records and version blocks of the ARC files; without payloads it is an index."""
+    """Rows of ARC_SCHEMA for all records and version blocks of the ARC files, and for damaged parts; without payloads it is an index."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -172,8 +218,8 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
                     head, payload = http_parts(found.pop("body"))
                     order = http_header(head, ORDER)
                     yield found | {
-                        "record_order": int(order) if order else None,
-                        "head": None if head is None else head.decode("utf-8", "surrogateescape"),
+                        "record_order": int(order) if order and re.fullmatch(r"-?\d{1,18}", order) else None,
+                        "head": head,
                         "payload": payload if payloads else None,
                         "payload_bytes": len(payload),
                         "payload_digest": sha1_base32(payload),
@@ -183,6 +229,11 @@ def read_arc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
     return whole_files(spark, folder).mapInArrow(lambda batches: batches_of(rows(batches), schema), ARC_SCHEMA)
 
 
+def rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """(payload, payload_bytes): the bytes of ARC files that belong to no whole record."""
+    return read_arc(spark, folder).where("kind = 'damaged'").select(F.concat(F.coalesce("head", F.lit(b"")), "payload").alias("payload"), "payload_bytes")
+
+
 def iso_date(date: Column) -> Column:
     """ARC's digits as an ISO timestamp; missing digits are those of the period's start."""
     full = F.concat(date, F.substring(F.lit("00000101000000"), F.length(date) + 1, F.lit(14)))
@@ -199,18 +250,19 @@ def record_id(*parts: Column) -> Column:
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
     """WARC files (gzip) equivalent to the ARC files.
 
-    Version blocks become warcinfo, HTTP bodies response or revisit, other bodies resource. Payloads under
+    Version blocks become warcinfo, HTTP bodies response or revisit, other bodies resource. Damaged parts are left out:
+    `rejects` returns them. HTTP heads are bytes of any encoding and stay as they are. Payloads under
     `least_bytes` are always responses. Records without an order come after all others; equal orders are alike.
     """
     order = F.coalesce("record_order", F.lit((1 << 63) - 1))
-    records = read_arc(spark, arc_folder)
+    records = read_arc(spark, arc_folder).where("kind <> 'damaged'")
     index = read_arc(spark, arc_folder, payloads=False).where("kind = 'record' and head is not null")
     firsts = index.groupBy("payload_digest").agg(F.min(F.struct(order.alias("o"), F.col("url").alias("u"), F.col("date").alias("d"))).alias("first"))
     joined = records.join(firsts, "payload_digest", "left")
     http = (F.col("kind") == "record") & F.col("head").isNotNull()
     revisit = http & (F.col("payload_bytes") >= least_bytes) & (F.col("first.o") < order)
     kind = F.when(F.col("kind") == "filedesc", "warcinfo").when(revisit, "revisit").when(http, "response").otherwise("resource")
-    head = F.coalesce(F.col("head"), F.lit("")).cast("binary")
+    head = F.coalesce(F.col("head"), F.lit(b""))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload")))
     first_id = record_id(F.col("first.u"), F.col("first.d"), F.col("first.o"), F.col("payload_digest"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -229,6 +281,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, least_bytes:
                 line("WARC-Refers-To", F.concat(F.lit("<"), first_id, F.lit(">"))),
                 line("WARC-Refers-To-Target-URI", F.col("first.u")),
                 line("WARC-Refers-To-Date", iso_date(F.col("first.d"))),
+                line(LENGTH, F.col("payload_bytes").cast("string")),
             ),
         ).otherwise(""),
         line("Content-Type", F.when(http, "application/http; msgtype=response").when(kind == "warcinfo", "application/warc-fields").otherwise(F.col("mime"))),
@@ -274,8 +327,9 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     head, payload = http_parts(block)
                     declared = fields["warc-payload-digest"].removeprefix("sha1:")
                     order = http_header(head, ORDER)
+                    order = order if order and re.fullmatch(r"-?\d{1,18}", order) else None
                     if kind == "revisit":
-                        size, payload = int(http_header(head, "Content-Length")), None
+                        size, payload = int(fields[LENGTH.lower()]), None  # heads of old archives may declare none, or a wrong one
                     else:
                         size = len(payload)
                         if sha1_base32(payload) != declared:

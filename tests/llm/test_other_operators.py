@@ -155,9 +155,38 @@ def test_arc_versions(version):
         records = list(archives.parse_arc(source))
         assert [r["kind"] for r in records] == ["filedesc", "record", "record"]
         assert records[1]["body"] == body and archives.http_parts(body)[1].startswith(b"hello") and records[2]["body"] == b"abc"
-    for wrong in (data.replace(b"filedesc", b"nothing", 1), data[:-8], data.replace(b" 1.2.3.4 ", b" ", 1)):
-        with pytest.raises(ValueError):
-            list(archives.parse_arc(wrong))
+    cut = list(archives.parse_arc(data[:-3]))
+    assert [r["kind"] for r in cut] == ["filedesc", "record", "damaged"] and cut[2]["body"].endswith(b"\na")
+    missing = list(archives.parse_arc(data.replace(b" 1.2.3.4 ", b" ", 1)))
+    # The broken record goes as far as the next header, here the one that its own text imitates or the last.
+    assert [r["kind"] for r in missing][:2] == ["filedesc", "damaged"] and missing[-1]["body"] == b"abc"
+    assert missing[1]["body"].startswith(b"http://a/ 19990102030405")
+    assert [r["kind"] for r in archives.parse_arc(gzip.compress(data)[:-30])][-1] == "damaged"
+    unknown = list(archives.parse_arc(data.replace(b"\n%d 0 converter" % version, b"\n9 0 converter", 1)))
+    assert [r["kind"] for r in unknown] == ["damaged", "record", "record"] and unknown[1]["body"] == body
+    assert [r["kind"] for r in archives.parse_arc(b"no archive\n\nat all")] == ["damaged"] and list(archives.parse_arc(b"")) == []
+
+
+def test_odd_records_of_old_archives(spark):
+    """Heads in Latin-1 without a length, blanks in URLs, and a record cut off: what is whole is converted, the rest rejected."""
+    work = shared_folder(spark, "odd")
+    one = b"HTTP/1.0 200 OK\r\nServer: caf\xe9\r\nX-Archive-Order: 3\r\n\r\nsame"
+    two = b"HTTP/1.0 200 OK\r\nX-Archive-Order: 5\r\nServer: \xff\xfe\r\n\r\nsame"
+    three = b"HTTP/1.0 200 OK\r\nX-Archive-Order: none\r\n\r\nother"
+    data = archives.version_block(1, "a.arc", "1999010203") + b"\n"
+    for url, body in (("http://a/b c  d.html", one), ("http://a/é ü", two), ("http://a/x", three)):
+        data += archives.arc_header(1, url, "1.2.3.4", "19990102030405", "text/html", len(body)) + body + b"\n"
+    data += b"broken line\n" + archives.arc_header(1, "http://cut/", "1.2.3.4", "1999", "text/html", 1000) + b"short"
+    spark.createDataFrame([(bytearray(data),)], "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").text(f"{work}/arc")
+    archives.convert(spark, f"{work}/arc", f"{work}/warc")
+    found = {r["target_uri"]: r for r in archives.read_warc(spark, f"{work}/warc").collect()}
+    assert {k: (r["record_type"], r["record_order"], r["payload_bytes"]) for k, r in found.items()} == {
+        "http://a/b c  d.html": ("response", 3, 4), "http://a/é ü": ("revisit", 5, 4), "http://a/x": ("response", None, 5),
+    }
+    heads = {r["url"]: r["head"] for r in archives.read_arc(spark, f"{work}/arc").collect() if r["kind"] == "record"}
+    assert b"caf\xe9" in heads["http://a/b c  d.html"] and b"\xff\xfe" in heads["http://a/é ü"]
+    lost = [bytes(r["payload"]) for r in archives.rejects(spark, f"{work}/arc").collect()]
+    assert len(lost) == 2 and lost[0] == b"broken line\n" and lost[1].rstrip().endswith(b"short")
 
 
 def test_dates(spark):
