@@ -179,6 +179,20 @@ def shared_table(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_table_alone(df: DataFrame, purpose: str) -> DataFrame:
+    """`shared_table`, after which the shuffle files of the writing are gone: the table is all that later steps read."""
+    conf = df.sparkSession.conf
+    held = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return shared_table(df, purpose)
+    finally:
+        conf.set(CLEANUP, held) if held is not None else conf.unset(CLEANUP)
+
+
 def drop_folder(spark, folder: str) -> None:
     """Remove a folder of intermediate files, on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillon.llm.common import bytes_of, in_groups, needs, shared_table
+from quillon.llm.common import bytes_of, in_groups, needs, shared_table, shared_table_alone
 
 SPAN = 50
 GRAM = 20
@@ -400,11 +400,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = ["doc", "digest"]
     order = ["gram", "whole", *one, "place"]
     dealt = narrow.mapInArrow(stretch_rows, "gram long, whole long, doc long, digest long, place long").repartition("gram").sortWithinPartitions(*order)
-    marks = shared_table(dealt.mapInArrow(settled_and_borders, "border boolean, gram long, doc long, digest long, place long"), "marks")
+    marks = shared_table_alone(dealt.mapInArrow(settled_and_borders, "border boolean, gram long, doc long, digest long, place long"), "marks")
 
     borders = marks.where("border").groupBy(*one).agg(F.collect_list(F.struct("gram", "place")).alias("borders"))
     contexts = narrow.join(borders, one).select(*one, "text", "borders")
-    contexts = shared_table(contexts.mapInArrow(fetched, "gram long, doc long, digest long, place long, context binary"), "borders")
+    contexts = shared_table_alone(contexts.mapInArrow(fetched, "gram long, doc long, digest long, place long, context binary"), "borders")
     frequent = contexts.groupBy("gram").count().where(F.col("count") > MOST_BORDERS).select("gram")
     few = contexts.join(frequent, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     ranges = few.mapInArrow(border_ranges, "doc long, digest long, place long")
