@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.session import scratch, stored
+
 
 @dataclass(frozen=True)
 class QualityRule:
@@ -78,50 +77,20 @@ def quality_alerts(summaries: DataFrame, rules: list[QualityRule]) -> DataFrame:
 def with_cooldown(alerts: DataFrame, keys: list[str], time: str, cooldown_minutes: str, tie: str) -> DataFrame:
     """Add `emitted`: an alert is held back while the last *emitted* one of its key is too recent.
 
-    After a pause of at least the cooldown the next alert is always emitted, so the alerts of a
-    key fall into independent bursts, found from slices one cooldown wide. Only the distinct
-    times of a burst are read in order, one Arrow batch at a time, jumping from one emitted time
-    to the next. `tie` must be unique; it picks among alerts of equal time.
+    After a pause of at least the cooldown the next alert is always emitted and begins a burst. Within a burst each time
+    points to the first one a cooldown later; those that the pointers reach from its beginning are emitted. They are found
+    by doubling the pointers, so the rounds grow with the logarithm of the longest burst. Times are looked up inside
+    slices one cooldown wide, so a burst is spread over its slices. `tie` must be unique; it picks among equal times.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     width = F.greatest(F.col(cooldown_minutes), F.lit(0)).cast("long") * 60_000_000
     rows = alerts.withColumn("_us", micros).withColumn("_width", width)
-    held = rows.filter(F.col("_width") > 0).withColumn("_slice", F.floor(F.col("_us") / F.col("_width")))
-    times = held.groupBy(*keys, "_width", "_slice", "_us").agg(F.min(tie).alias("_tie"))
-    slices = times.groupBy(*keys, "_width", "_slice").agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
-    in_time = Window.partitionBy(*keys, "_width").orderBy("_slice")
-    starts = F.coalesce((F.col("_low") - F.lag("_high").over(in_time) >= F.col("_width")).cast("int"), F.lit(1))
-    bursts = slices.withColumn("_starts", starts).withColumn("_burst", F.sum("_starts").over(in_time))
-    place = [*keys, "_width", "_slice"]
-    placed = times.join(
-        bursts.select(*[F.col(n).alias(f"_b_{n}") for n in place], "_burst"), _same(place, "_b_")
-    ).select(F.xxhash64(*keys, "_width", "_burst").alias("_part"), *keys, "_width", "_burst", "_us", "_tie")
-    identity = [*keys, "_width", "_burst"]
-    ordered = placed.repartition(*identity).sortWithinPartitions("_part", *identity, "_us")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        burst, last = None, 0
-        for batch in batches:
-            moments, waits = batch["_us"].to_numpy(), batch["_width"].to_numpy()
-            codes = batch.groupby(identity, sort=False, dropna=False).ngroup().to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(batch)]
-            kept = []
-            for start, end in zip(edges, edges[1:]):
-                if start == end:
-                    continue
-                name = tuple(None if pd.isna(v) else v for v in batch.loc[batch.index[start], identity])
-                at = start
-                if name == burst:
-                    at = start + int(np.searchsorted(moments[start:end], last + waits[start]))
-                while at < end:
-                    kept.append(at)
-                    last = moments[at]
-                    at = start + int(np.searchsorted(moments[start:end], last + waits[start]))
-                burst = name
-            yield batch.iloc[kept]
-
-    chosen = ordered.mapInPandas(emitted, schema)
+    held = rows.filter(F.col("_width") > 0)
+    own = [*keys, "_width"]
+    with scratch(alerts.sparkSession, "cooldown") as keep:
+        slice_ = F.floor(F.col("_us") / F.col("_width"))
+        times = keep(held.groupBy(*own, "_us").agg(F.min(tie).alias("_tie")).withColumn("_slice", slice_))
+        chosen = stored(_emitted(times, own, keep), "emitted")
     mark = [*keys, "_us", "_tie"]
     marked = held.withColumn("_tie", F.col(tie)).join(
         chosen.select(*[F.col(n).alias(f"_e_{n}") for n in mark]), _same(mark, "_e_"), "left"
@@ -131,5 +100,51 @@ def with_cooldown(alerts: DataFrame, keys: list[str], time: str, cooldown_minute
     return flagged.unionByName(free.select(*alerts.columns, F.lit(True).alias("emitted")))
 
 
+def _emitted(times: DataFrame, own: list[str], keep) -> DataFrame:
+    """The rows of `times` (own, _slice, _us, _tie) that are a cooldown or more after the emitted one before them."""
+    by_slice = Window.partitionBy(*own).orderBy("_slice")
+    slices = times.groupBy(*own, "_slice").agg(F.min("_us").alias("_low"), F.max("_us").alias("_high"))
+    beside = {"_earlier": F.lag("_high"), "_later": F.lead("_slice"), "_later_low": F.lead("_low"), "_second_low": F.lead("_low", 2)}
+    slices = slices.select(*own, "_slice", *[value.over(by_slice).alias(name) for name, value in beside.items()])
+    place = [*own, "_slice"]
+    looked = times.join(slices.select(*[F.col(n).alias(f"_b_{n}") for n in place], *beside), _same(place, "_b_")).select(*times.columns, *beside)
+    inside = Window.partitionBy(*place).orderBy("_us")
+    before = F.coalesce(F.lag("_us").over(inside), "_earlier")
+    opens = F.coalesce(F.col("_us") - before >= F.col("_width"), F.lit(True))
+    looked = keep(looked.withColumn("_opens", opens))
+
+    # A cooldown later is in the next slice; if nothing there comes at or after it, the slice after that begins with it.
+    after = F.when(F.col("_later") == F.col("_slice") + 1, F.col("_second_low")).otherwise(F.col("_later_low"))
+    asks = looked.select(*own, (F.col("_slice") + 1).alias("_slice"), (F.col("_us") + F.col("_width")).alias("_at"), F.col("_us").alias("_from"), after.alias("_after"))
+    spots = looked.select(*place, F.col("_us").alias("_at"), F.lit(None).cast("long").alias("_from"), F.lit(None).cast("long").alias("_after"))
+    backwards = Window.partitionBy(*place).orderBy(F.desc("_at"), F.col("_from").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.last(F.when(F.col("_from").isNull(), F.col("_at")), ignorenulls=True).over(backwards)
+    pointers = spots.unionByName(asks).withColumn("_hit", F.coalesce(hit, "_after")).where("_from IS NOT NULL AND _hit IS NOT NULL").select(*own, "_from", "_hit")
+    first = looked.where("_opens").select(*[F.col(n).alias(f"_s_{n}") for n in own], F.col("_us").alias("_s_us"))
+    jumps = keep(pointers.join(first, _same(own, "_s_") & (F.col("_hit") == F.col("_s_us")), "left_anti"))
+
+    # A round knows what is reached in up to 4 ** k steps, and pointers of that length; it follows them up to three times.
+    reached = [looked.where("_opens").select(*own, "_us")]
+    while True:
+        named = lambda df, p: df.select(*[F.col(n).alias(f"{p}{n}") for n in own], F.col("_from").alias(f"{p}from"), F.col("_hit").alias(f"{p}hit"))
+        onward = lambda df: df.join(named(jumps, "_j_"), _same(own, "_j_") & (F.col("_hit") == F.col("_j_from"))).select(*own, "_from", F.col("_j_hit").alias("_hit"))
+        far = keep(jumps.withColumn("_times", F.lit(1)).unionAll(onward(jumps).withColumn("_times", F.lit(2))))
+        twice = far.where("_times = 2").drop("_times")
+        thrice = onward(twice).withColumn("_times", F.lit(3))
+        known = reduce(DataFrame.unionAll, reached)
+        steps = named(far.unionAll(thrice), "_s_")
+        found = keep(known.join(steps, _same(own, "_s_") & (F.col("_us") == F.col("_s_from"))).select(*own, F.col("_s_hit").alias("_us")))
+        if found.isEmpty():
+            break
+        reached.append(found)
+        again = named(twice, "_j_")
+        jumps = keep(twice.join(again, _same(own, "_j_") & (F.col("_hit") == F.col("_j_from"))).select(*own, "_from", F.col("_j_hit").alias("_hit")))
+        if jumps.isEmpty():
+            break
+    reached = reduce(DataFrame.unionAll, reached)
+    final = reached.select(*[F.col(n).alias(f"_r_{n}") for n in [*own, "_us"]])
+    return times.join(final, _same([*own, "_us"], "_r_"), "left_semi")
+
+
 def _same(names: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.ordering import ordered_counts, running_extreme
-from quillon.functions.tails import chi_square_p, normal_cdf, normal_p, normal_point, student_p, student_quantile
+from quillon.functions.tails import (
+    MOST_SUMS, SMALL_SIDE, chi_square_p, difference_posterior, normal_p, normal_point, rank_sum_p, student_p, student_quantile,
+)
 
 
 def two_group_moments(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
@@ -61,7 +64,11 @@ def t_test(moments: DataFrame, equal_var: bool = True, alpha: float = 0.05) -> D
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a, b, alpha: float = 0.05) -> DataFrame:
-    """U of group a, rank-biserial effect 1 - 2U/(n_a n_b), and the tie-corrected normal p-value."""
+    """U of group a, rank-biserial effect 1 - 2U/(n_a n_b), and the p-value.
+
+    Without ties and with a side of at most SMALL_SIDE rows the p-value is exact, else it is the tie-corrected normal one;
+    beyond MOST_SUMS possible sums even a small side gets that one.
+    """
     rows = df.filter(F.col(group).isin(a, b)).select(F.col(group), F.col(value).cast("double").alias("_v"))
     ordered = ordered_counts(
         rows,
@@ -81,13 +88,16 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b, alpha: float = 0.0
     n = n_a + n_b
     spread = F.sqrt(n_a * n_b / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     u = F.col("u_statistic")
+    exact = (F.least(n_a, n_b) <= SMALL_SIDE) & (F.least(n_a, n_b) > 0) & (F.col("_ties") == 0) & (n_a * n_b <= MOST_SUMS)
     return (
         sums.withColumn("u_statistic", F.col("_rank_sum") - n_a * (n_a + 1) / 2)
         .withColumn("effect_size", 1 - F.try_divide(2 * u, n_a * n_b))
         .withColumn("z", F.try_divide(F.greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5, spread))
-        .withColumn("p_value", normal_p(F.when(F.col("z") > 0, F.col("z")).when(F.col("z").isNotNull(), F.lit(0.0))))
+        .withColumn("_limit", normal_p(F.when(F.col("z") > 0, F.col("z")).when(F.col("z").isNotNull(), F.lit(0.0))))
+        .withColumn("_exact", rank_sum_p(F.when(exact, u), F.when(exact, n_a), F.when(exact, n_b)))
+        .withColumn("p_value", F.coalesce("_exact", "_limit"))
         .withColumn("is_significant", F.col("p_value") < alpha)
-        .drop("_rank_sum", "_ties")
+        .drop("_rank_sum", "_ties", "_limit", "_exact")
     )
 
 
@@ -224,29 +234,23 @@ def bayesian(
     prior_std: float = 1.0,
     rope: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Normal posterior of both means from n/m/v: chance that b is better, losses, interval, ROPE.
+    """Posterior of the difference of means from n/m/v: chance that b is better, losses, interval, ROPE.
 
-    A closed-form approximation: the sample variance stands for the true one.
+    The means have a normal prior and the unknown deviations a half-normal one of scale 1. Both deviations are integrated
+    out by quadrature (see deviation_nodes), so nothing is sampled. A side with fewer than two rows gives null.
     """
-
-    def posterior(side: str) -> tuple[Column, Column]:
-        weight = over(F.col(f"n_{side}"), F.col(f"v_{side}"))
-        variance = 1 / (1 / F.lit(prior_std**2) + weight)
-        return variance * (F.lit(prior_mean / prior_std**2) + weight * F.col(f"m_{side}")), variance
-
-    (mean_a, var_a), (mean_b, var_b) = posterior("a"), posterior("b")
-    base = moments.withColumn("_d", mean_b - mean_a).withColumn("_s", F.sqrt(var_a + var_b))
-    base = base.withColumn("_z", F.col("_d") / F.col("_s")).withColumn("probability_b_better", normal_cdf("_z"))
-    density = F.exp(-F.col("_z") ** 2 / 2) / F.sqrt(2 * F.pi())
-    base = (
-        base.withColumn("probability_a_better", 1 - F.col("probability_b_better"))
-        .withColumn("expected_loss_a", F.col("_d") * F.col("probability_b_better") + F.col("_s") * density)
-        .withColumn("expected_loss_b", F.col("expected_loss_a") - F.col("_d"))
-        .withColumn("ci_lower", F.col("_d") - normal_point(0.975) * F.col("_s"))
-        .withColumn("ci_upper", F.col("_d") + normal_point(0.975) * F.col("_s"))
-    )
-    if rope is not None:
-        low, high = rope
-        inside = normal_cdf((F.lit(high) - F.col("_d")) / F.col("_s")) - normal_cdf((F.lit(low) - F.col("_d")) / F.col("_s"))
-        base = base.withColumn("rope_probability", inside)
-    return base.drop("_d", "_s", "_z")
+    low, high = rope or (0.0, 0.0)
+    names = ["probability_b_better", "expected_loss_a", "expected_loss_b", "ci_lower", "ci_upper", "rope_probability"]
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in names))
+    def posterior(*columns: pd.Series) -> pd.DataFrame:
+        found = []
+        for row in zip(*columns):
+            known = not any(pd.isna(x) for x in row)
+            found.append(difference_posterior(row[:3], row[3:], (prior_mean, prior_std), (low, high)) if known else (None,) * len(names))
+        return pd.DataFrame(found, columns=names, dtype="float64")
+
+    sides = [F.col(f"{what}_{side}").cast("double") for side in ("a", "b") for what in ("n", "m", "v")]
+    found = moments.withColumn("_p", posterior(*sides)).select(*moments.columns, "_p.*")
+    found = found.withColumn("probability_a_better", 1 - F.col("probability_b_better"))
+    return found if rope is not None else found.drop("rope_probability")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.ordering import at_position, ordered_counts, quantiles
-from quillon.functions.tails import chi_square_p, kolmogorov_p
+from quillon.functions.tails import kolmogorov_exact_p, chi_square_p, kolmogorov_p
 from quillon.session import checkpointed
 
 EPSILON = 1e-6
@@ -183,10 +183,10 @@ def _ordered_sides(reference: DataFrame, current: DataFrame) -> DataFrame:
     return ordered_counts(_sided(reference, current), ["feature_name"], "value", counts)
 
 
-def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, min_rows: int = 5) -> DataFrame:
-    """Largest gap of the two distribution functions per feature, with the limit p-value.
+def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, min_rows: int = 5, exact_up_to: int = 10_000) -> DataFrame:
+    """Largest gap of the two distribution functions per feature, with its p-value.
 
-    Too few rows give (0, 1); two different constants give (1, 0).
+    The p-value is exact while neither side has more than `exact_up_to` rows, and that of the limit beyond. Too few rows give (0, 1); two different constants give (1, 0).
     """
     ordered = _ordered_sides(reference, current)
     up_to = lambda side: F.try_divide((F.col(f"{side}_before") + F.col(side)).cast("double"), F.col(f"{side}_total"))
@@ -201,7 +201,9 @@ def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, min_rows: int =
     few = (n < min_rows) | (m < min_rows)
     constants = (F.col("_ref_values") == 1) & (F.col("_cur_values") == 1)
     gap = F.when(few, F.lit(0.0)).otherwise(F.col("gap"))
-    tail = kolmogorov_p(F.col("statistic") * F.sqrt(n * m / (n + m)))
+    exact = F.greatest(n, m) <= exact_up_to
+    spot = lambda column: F.when(exact & ~few & ~constants, column)
+    tail = F.coalesce(kolmogorov_exact_p(spot(F.col("statistic")), spot(n), spot(m)), kolmogorov_p(F.col("statistic") * F.sqrt(n * m / (n + m))))
     return (
         sums.withColumn("statistic", gap)
         .withColumn("_tail", tail)
@@ -339,8 +341,9 @@ def input_drift(
     threshold: float = 0.05,
     min_samples: int = 100,
     min_values: int = 10,
+    exact_up_to: int = 10_000,
 ) -> DataFrame:
-    """Drift of every feature with severity and recommended action.
+    """Drift of every feature with severity and recommended action. `exact_up_to` is that of kolmogorov_smirnov.
 
     `status` is `checked`, or says why a feature was not: the current data has fewer than `min_samples`
     rows, or a side fewer than `min_values` values. Such rows carry no drift figures.
@@ -350,7 +353,7 @@ def input_drift(
     parts = []
     if numeric:
         sides = long_features(reference, numeric), long_features(current, numeric)
-        parts.append(kolmogorov_smirnov(*sides) if method == "ks_test" else numeric_psi(*sides))
+        parts.append(kolmogorov_smirnov(*sides, exact_up_to=exact_up_to) if method == "ks_test" else numeric_psi(*sides))
     if categorical:
         sides = long_features(reference, categorical), long_features(current, categorical)
         parts.append(categorical_chi_square(*sides).drop("degrees_of_freedom") if method == "ks_test" else categorical_psi(*sides))

@@ -1,25 +1,17 @@
-"""Graphs as edge tables (source, target, ...): reach, paths, impact and integrity.
+"""Graphs as edge tables (source, target, ...): reach, paths, cycles, impact and integrity.
 
-Every step is one join of a frontier with the edges. The frontier is checkpointed after each
-step, which bounds the plan, and no set of nodes ever reaches the driver.
+Rounds join tables of the shared folder, which bounds the plan, and no set of nodes ever reaches the driver. Long chains
+take few rounds: reach doubles its stride while that does not make more links than the graph has, and cycles are looked for
+after chains were contracted by pointer jumping.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quillon.session import checkpointed
-
-
-#: Steps after which what has been visited is rewritten as one table.
-COMPACT = 8
-
-
-def _walked(frontier: DataFrame, links: DataFrame) -> DataFrame:
-    """Frontier rows joined with the links that leave their nodes; adaptive execution picks the join by measured size."""
-    return links.join(frontier, links["_from"] == frontier["node"])
+from quillon.session import scratch, stored
 
 
 def _links(edges: DataFrame, direction: str) -> DataFrame:
@@ -35,61 +27,79 @@ def _links(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"unknown direction {direction}")
 
 
-def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+#: A stride is doubled only while its links are at most this many times those of the graph.
+GROWTH = 2
+#: Depth limits up to which steps are taken one by one.
+SHALLOW = 16
+
+
+def _doubled(stride: DataFrame, links: int, keep) -> DataFrame | None:
+    """Links of twice the stride, or None if there might be more of them than GROWTH times the graph's links."""
+    enter = stride.groupBy(F.col("_to").alias("middle")).agg(F.count(F.lit(1)).alias("enter"))
+    leave = stride.groupBy(F.col("_from").alias("middle")).agg(F.count(F.lit(1)).alias("leave"))
+    size = enter.join(leave, "middle").agg(F.sum(F.col("enter").cast("double") * F.col("leave"))).first()[0] or 0
+    if size > GROWTH * links:
+        return None
+    return keep(stride.join(stride.select(F.col("_from").alias("_to"), F.col("_to").alias("_end")), "_to").select("_from", F.col("_end").alias("_to")).distinct())
+
+
+def reach(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_depth: int | None = None, until=None) -> DataFrame:
     """(root, node, depth): the nodes reached from each root, by least depth; all of them, or those within `max_depth` steps.
 
-    A root itself appears only when a cycle leads back to it. A step joins the newest level with the links and drops
-    what was visited before.
+    A root itself appears only when a cycle leads back to it. With all depths up to L known, a round joins those of the
+    last `stride` depths with the links of that stride, and knows all up to L + stride. Unless the limit is small, the
+    stride doubles each round, so a long chain takes few rounds; where hubs make the doubled links too many, it stays.
+    `until` ends the search with the round that reaches that node.
     """
-    links = checkpointed(_links(edges, direction))
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
-    levels: list[DataFrame] = []
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        found = _walked(frontier, links).select("root", F.col("_to").alias("node")).distinct()
-        if levels:
-            found = found.join(reduce(DataFrame.unionAll, levels).select("root", "node"), ["root", "node"], "left_anti")
-        step = checkpointed(found.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
-            break
-        levels.append(step)
-        if len(levels) > COMPACT:
-            levels = [checkpointed(reduce(DataFrame.unionAll, levels))]
-        frontier = step.select("root", "node")
-    if not levels:
-        return frontier.withColumn("depth", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionAll, levels)
+    spark = edges.sparkSession
+    with scratch(spark, "reach") as keep:
+        links = keep(_links(edges, direction))
+        size = links.count() if max_depth is None or max_depth > SHALLOW else 0
+        start = roots.select(F.col("node").alias("root"), F.col("node").alias("_from")).distinct()
+        found = keep(links.join(start, "_from").select("root", F.col("_to").alias("node"), F.lit(1).alias("depth")).distinct())
+        known, depth, stride, strided = found, 1, 1, links
+        levels = [found]
+        while (max_depth is None or depth < max_depth) and not found.isEmpty():
+            if until is not None and not found.where(F.col("node") == F.lit(until)).isEmpty():
+                break
+            if size and depth >= 2 * stride:
+                twice = _doubled(strided, size, keep)
+                strided, stride, size = (strided, stride, 0) if twice is None else (twice, 2 * stride, size)
+            band = known.where(F.col("depth") > depth - stride)
+            step = strided.join(band, strided["_from"] == band["node"]).groupBy("root", F.col("_to").alias("node")).agg((F.min("depth") + stride).alias("depth"))
+            if max_depth is not None:
+                step = step.where(F.col("depth") <= max_depth)
+            found = keep(step.join(known.select("root", "node"), ["root", "node"], "left_anti"))
+            levels.append(found)
+            known = reduce(DataFrame.unionAll, levels)
+            depth += stride
+        return stored(known, "reached")
 
 
 def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None) -> DataFrame:
-    """One row with the least-step path as an array, the smallest one among equals; else no row."""
-    links = checkpointed(_links(edges, "downstream"))
+    """One row with the least-step path as an array, the smallest one among equals; else no row.
+
+    Depths from the source, up to the target's, leave the links that lead one step deeper; those on a way to the target
+    are found from its end. Each node then points to its smallest next one, and the pointers are followed from the source.
+    """
     spark = edges.sparkSession
     kind = edges.schema["source"].dataType.simpleString()
-    frontier = spark.range(1).select(F.lit(source).cast(kind).alias("node")).withColumn("path", F.array("node"))
+    one = lambda name: spark.range(1).select(F.lit(name).cast(kind).alias("node"))
     if source == target:
-        return frontier.select("path")
-    seen = [frontier.select("node")]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = (
-            _walked(frontier, links)
-            .select(F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"))
-            .groupBy("node")
-            .agg(F.min("path").alias("path"))
-            .join(reduce(DataFrame.unionAll, seen), "node", "left_anti")
-        )
-        frontier = checkpointed(step)
-        found = frontier.filter(F.col("node") == F.lit(target))
-        counts = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("node") == F.lit(target))).first()
-        if not counts[0] or counts[1]:
-            return found.select("path")
-        seen.append(frontier.select("node"))
-        if len(seen) > COMPACT:
-            seen = [checkpointed(reduce(DataFrame.unionAll, seen))]
-    return frontier.limit(0).select("path")
+        return one(source).select(F.array("node").alias("path"))
+    ahead = reach(edges, one(source), "downstream", max_depth, until=target).where(F.col("node") != F.lit(source))
+    ends = ahead.where(F.col("node") == F.lit(target)).first()
+    if ends is None:
+        return spark.createDataFrame([], f"path array<{kind}>")
+    depths = ahead.select("node", "depth").unionAll(one(source).withColumn("depth", F.lit(0))).where(F.col("depth") <= ends["depth"])
+    named = lambda side: depths.select(F.col("node").alias(side), F.col("depth").alias(f"_{side}"))
+    deeper = edges.select("source", "target").distinct().join(named("source"), "source").join(named("target"), "target").where("_target = _source + 1")
+    deeper = stored(deeper.select("source", "target"), "deeper")
+    behind = reach(deeper, one(target), "upstream").select(F.col("node").alias("target")).unionAll(one(target).select(F.col("node").alias("target")))
+    pointers = deeper.join(behind, "target", "left_semi").groupBy("source").agg(F.min("target").alias("target"))
+    steps = reach(pointers, one(source), "downstream").select("node", "depth").unionAll(one(source).withColumn("depth", F.lit(0)))
+    ordered = F.array_sort(F.collect_list(F.struct("depth", "node")))
+    return steps.agg(F.transform(ordered, lambda step: step["node"]).alias("path"))
 
 
 def impact_by_type(reached: DataFrame, assets: DataFrame) -> DataFrame:
@@ -138,31 +148,129 @@ def dangling_edges(edges: DataFrame, assets: DataFrame, transformations: DataFra
     return reduce(DataFrame.unionAll, found)
 
 
+def _ends(pointers: DataFrame, keep, rings: bool = False) -> DataFrame:
+    """(node, end, low): where following (node, end) leads, by pointer jumping; `low` is the smallest node passed.
+
+    Where the pointers end, `end` has none itself. Pointers into a ring never end: they are those left when a round ends
+    no others. With `rings` the jumps then go on until `low` is the smallest node of a ring for all its nodes.
+    """
+    jumps = keep(pointers.select("node", "end", F.least("node", "end").alias("low")))
+    unended = lambda: jumps.join(jumps.select(F.col("node").alias("end")), "end", "left_semi").count()
+    left, rounds = unended(), 0
+    while left:
+        onward = jumps.select(F.col("node").alias("end"), F.col("end").alias("_next"), F.col("low").alias("_low"))
+        jumps = keep(jumps.join(onward, "end", "left").select("node", F.coalesce("_next", "end").alias("end"), F.least("low", "_low").alias("low")))
+        rounds, before, left = rounds + 1, left, unended()
+        if left == before and (not rings or 1 << rounds >= left):
+            break
+    return jumps
+
+
 def circular_assets(edges: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Assets from which a cycle can be reached.
 
-    A node whose outgoing edges all lead to removed nodes is removed, beginning with nodes that have none. A round
-    touches only the edges into the nodes that the round before removed; whatever is never removed leads to a cycle.
+    A node with one link shares the fate of where its chain of single links ends, which pointer jumping finds in rounds
+    that grow with the logarithm of the chain; a chain into a ring leads to a cycle. Links into nodes without
+    links are dropped, and so on until nothing changes.
     """
-    links = checkpointed(_links(edges, "downstream"))
-    degrees = checkpointed(links.groupBy("_from").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("_from", "node"))
-    removed = checkpointed(links.select(F.col("_to").alias("node")).distinct().join(degrees, "node", "left_anti"))
-    dropped: list[DataFrame] = []
-    gone: list[DataFrame] = []
-    while not removed.isEmpty():
-        lost = links.join(removed, links["_to"] == removed["node"]).groupBy("_from").agg(F.count(F.lit(1)).alias("lost"))
-        dropped.append(checkpointed(lost.select(F.col("_from").alias("node"), "lost")))
-        touched = dropped[-1].select("node")
-        total = reduce(DataFrame.unionAll, dropped).join(touched, "node", "left_semi").groupBy("node").agg(F.sum("lost").alias("lost"))
-        removed = checkpointed(total.join(degrees, "node").filter(F.col("lost") == F.col("degree")).select("node"))
-        gone.append(removed)
-        if len(gone) > COMPACT:
-            gone = [checkpointed(reduce(DataFrame.unionAll, gone))]
-            dropped = [checkpointed(reduce(DataFrame.unionAll, dropped).groupBy("node").agg(F.sum("lost").alias("lost")))]
-    nodes = degrees.select("node")
-    if gone:
-        nodes = nodes.join(reduce(DataFrame.unionAll, gone), "node", "left_anti")
-    return nodes if assets is None else nodes.join(assets.select("node"), "node", "left_semi")
+    with scratch(edges.sparkSession, "circular") as keep:
+        links = keep(_links(edges, "downstream"))
+        bound: list[tuple[DataFrame, DataFrame]] = []
+        cyclic = links.where("_from = _to").select(F.col("_from").alias("node"))
+        while True:
+            out = links.groupBy("_from").agg(F.count(F.lit(1)).alias("n"), F.min("_to").alias("end"))
+            jumps = _ends(out.where(F.col("n") == 1).select(F.col("_from").alias("node"), "end"), keep)
+            single = jumps.select("node")
+            ringed = keep(jumps.join(single.withColumnRenamed("node", "end"), "end", "left_semi").select("node"))
+            cyclic = keep(cyclic.unionAll(ringed).distinct())
+            bound.append((jumps, cyclic))
+            # Links to a single node go to its end; a node that leads to a cycle needs no links any more.
+            moved = links.join(single.withColumnRenamed("node", "_from"), "_from", "left_anti").join(jumps.select(F.col("node").alias("_to"), "end"), "_to", "left")
+            moved = keep(moved.select("_from", F.coalesce("end", "_to").alias("_to")).distinct())
+            met = moved.join(cyclic.withColumnRenamed("node", "_to"), "_to", "left_semi").select(F.col("_from").alias("node"))
+            cyclic = keep(cyclic.unionAll(met).distinct())
+            rest = moved.join(cyclic.withColumnRenamed("node", "_from"), "_from", "left_anti")
+            alive = rest.select(F.col("_from").alias("_to")).unionAll(cyclic.select(F.col("node").alias("_to")))
+            rest = keep(rest.join(alive, "_to", "left_semi"))
+            if rest.isEmpty() or (rest.count() == links.count() and ringed.isEmpty()):
+                # What still has links after a round that dropped none leads to a cycle.
+                cyclic = keep(cyclic.unionAll(rest.select(F.col("_from").alias("node"))).distinct())
+                break
+            links = rest
+        for jumps, _ in reversed(bound):
+            led = jumps.join(cyclic.withColumnRenamed("node", "end"), "end", "left_semi").select("node")
+            cyclic = keep(cyclic.unionAll(led).distinct())
+        if assets is not None:
+            cyclic = cyclic.join(assets.select("node"), "node", "left_semi")
+        return stored(cyclic, "circular")
+
+
+def _trimmed(links: DataFrame, keep) -> DataFrame:
+    """Links without those from a node that none enters or to one that none leaves."""
+    enters = links.select(F.col("_to").alias("_from"))
+    leaves = links.select(F.col("_from").alias("_to"))
+    return keep(links.join(enters, "_from", "left_semi").join(leaves, "_to", "left_semi"))
+
+
+def _spread(links: DataFrame, marks: DataFrame, keep) -> DataFrame:
+    """(node, mark): the largest mark that reaches each node along the links, its own included."""
+    while True:
+        sent = links.join(marks, links["_from"] == marks["node"]).select(F.col("_to").alias("node"), "mark")
+        grown = keep(sent.unionAll(marks).groupBy("node").agg(F.max("mark").alias("mark")))
+        if grown.exceptAll(marks).isEmpty():
+            return grown
+        marks = grown
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of every node on a cycle: its strongly connected component by its smallest node.
+
+    Nodes that nothing enters or leaves are on no cycle. Inner nodes of chains are set aside, their ends linked, and share
+    the component of the two ends if it is the same. What is left is coloured by the largest node that reaches it; the
+    nodes of a colour that lead back to that node are one component, and only links inside a colour go on.
+    """
+    spark = edges.sparkSession
+    with scratch(spark, "components") as keep:
+        links = keep(_links(edges, "downstream"))
+        loops = links.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component"))
+        links = keep(links.where("_from <> _to"))
+        alone, found, aside = [keep(loops)], [], []
+        while not links.isEmpty():
+            size = links.count()
+            links = _trimmed(links, keep)
+            enter = links.groupBy(F.col("_to").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("_from").alias("before"))
+            leave = links.groupBy(F.col("_from").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("_to").alias("after"))
+            inner = keep(enter.join(leave, "node").where("n_in = 1 AND n_out = 1").select("node", "before", "after"))
+            if not inner.isEmpty():
+                onward, back = (_ends(inner.select("node", F.col(side).alias("end")), keep, rings=True) for side in ("after", "before"))
+                rings = onward.join(inner.select(F.col("node").alias("end")), "end", "left_semi").select("node", F.col("low").alias("component"))
+                found.append(keep(rings))
+                chains = onward.join(found[-1].select("node"), "node", "left_anti").select("node", F.col("end").alias("after"))
+                aside.append(keep(chains.join(back.select("node", F.col("end").alias("before")), "node")))
+                kept = links.join(inner.select(F.col("node").alias("_from")), "_from", "left_anti").join(inner.select(F.col("node").alias("_to")), "_to", "left_anti")
+                joined = aside[-1].select(F.col("before").alias("_from"), F.col("after").alias("_to"))
+                # A chain that comes back to where it left closes a cycle at its end, which may be part of a larger one.
+                alone.append(keep(joined.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component")).distinct()))
+                links = keep(kept.unionAll(joined).where("_from <> _to").distinct())
+            if links.count() < size:
+                continue
+            nodes = links.select(F.explode(F.array("_from", "_to")).alias("node")).distinct()
+            colours = _spread(links, keep(nodes.withColumn("mark", F.col("node"))), keep)
+            own = lambda side: colours.select(F.col("node").alias(side), F.col("mark").alias(f"mark{side}"))
+            same = keep(links.join(own("_from"), "_from").join(own("_to"), "_to").where("mark_from = mark_to").select("_from", "_to"))
+            turned = same.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+            back = _spread(turned, keep(colours.where("node = mark")), keep).select("node", F.col("mark").alias("component"))
+            found.append(keep(back))
+            links = keep(same.join(back.select(F.col("node").alias("_from")), "_from", "left_anti").join(back.select(F.col("node").alias("_to")), "_to", "left_anti"))
+        merged = reduce(DataFrame.unionAll, [loops.limit(0), *found])
+        merged = keep(merged.unionAll(reduce(DataFrame.unionAll, alone).distinct().join(merged.select("node"), "node", "left_anti")))
+        for chains in reversed(aside):
+            ends = lambda side: merged.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+            # An end that is on no cycle so far still closes one if both ends are the same node.
+            shared = chains.join(ends("before"), "before").join(ends("after"), "after").where("c_before = c_after")
+            merged = keep(merged.unionAll(shared.select("node", F.col("c_before").alias("component"))))
+        sizes = merged.groupBy("component").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("size"))
+        return stored(merged.join(sizes, "component").select("node", F.col("name").alias("component"), "size"), "cycles")
 
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both") -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import drift, models
 from quillon.plans.features import CATEGORIES, HALVES, _categories, halves
 from quillon.plans.registry import query, rounded, table
+from quillon.plans.trials import chi_square_tail_sql
 
 
 def _by_type(df):
@@ -20,18 +21,39 @@ def _two_halves(spark, folder):
 @query("ks_per_feature", HALVES + """
 , x AS (SELECT event_type AS f, value AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY ALL),
 c AS (SELECT f, abs(sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p) AS gap, sum(a) OVER p AS na, sum(b) OVER p AS nb FROM x WINDOW w AS (PARTITION BY f ORDER BY v), p AS (PARTITION BY f))
-SELECT f AS feature_name, round(max(gap), 8) AS statistic, max(na)::BIGINT AS reference_samples, max(nb)::BIGINT AS current_samples FROM c GROUP BY f""")
+, g AS (SELECT f, max(gap) AS gap, max(na)::BIGINT AS na, max(nb)::BIGINT AS nb, max(gap) * sqrt(max(na) * max(nb) / (max(na) + max(nb))) AS x FROM c GROUP BY f)
+SELECT f AS feature_name, round(gap, 8) AS statistic, na AS reference_samples, nb AS current_samples,
+  round(CASE WHEN x < 0.2 THEN 1 ELSE least(1, 2 * list_sum([(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x) FOR k IN range(1, 100)])) END, 7) AS p_value FROM g""")
 def ks_per_feature(spark, folder):
-    made = drift.kolmogorov_smirnov(*_two_halves(spark, folder)).drop("p_value")
-    return rounded(made, 8, "statistic")
+    made = drift.kolmogorov_smirnov(*_two_halves(spark, folder), exact_up_to=0)
+    return rounded(rounded(made, 8, "statistic"), 7, "p_value")
+
+
+@query("ks_exact", """
+WITH RECURSIVE d AS (SELECT n_name AS f, c_acctbal AS v, true AS r FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, s_acctbal, false FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x AS (SELECT f, v, count(*) FILTER (r) AS a, count(*) FILTER (NOT r) AS b FROM d GROUP BY ALL),
+c AS (SELECT f, abs(sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p) AS gap, sum(a) OVER p AS m, sum(b) OVER p AS n FROM x WINDOW w AS (PARTITION BY f ORDER BY v), p AS (PARTITION BY f)),
+g AS (SELECT f, max(gap) AS gap, max(m)::BIGINT AS m, max(n)::BIGINT AS n, (floor(max(gap) * max(m) * max(n) - 1e-7) + 0.5) / (max(m) * max(n)) AS most FROM c GROUP BY f HAVING max(m) >= 5 AND max(n) >= 5),
+l AS (SELECT f, m, n, most, 0::BIGINT AS i, [CASE WHEN j / n > most THEN 0.0::DOUBLE ELSE 1.0 END FOR j IN range(0, n + 1)] AS u FROM g
+  UNION ALL SELECT f, m, n, most, i + 1, [CASE WHEN abs((i + 1) / m - j / n) > most THEN 0.0::DOUBLE
+    ELSE coalesce(list_sum([u[k + 1] * (i + 1) / (i + 1 + n) FOR k IN range(0, j + 1) IF abs((i + 1) / m - k / n) <= most]), 0.0) END FOR j IN range(0, n + 1)] FROM l WHERE i < m)
+SELECT g.f AS feature_name, round(gap, 8) AS statistic, g.m AS reference_samples, g.n AS current_samples, round(greatest(0, least(1, 1 - u[g.n + 1])), 8) AS p_value FROM g JOIN l ON l.f = g.f AND l.i = g.m""")
+def ks_exact(spark, folder):
+    """Balances of customers against suppliers, nation by nation, with every path counted."""
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("feature_name"))
+    side = lambda name, key, value: table(spark, folder, name).join(nation, F.col(key) == F.col("n_nationkey")).select("feature_name", F.col(value).alias("value"))
+    made = drift.kolmogorov_smirnov(side("customer", "c_nationkey", "c_acctbal"), side("supplier", "s_nationkey", "s_acctbal"))
+    made = made.where((F.col("reference_samples") >= 5) & (F.col("current_samples") >= 5))
+    return rounded(made, 8, "statistic", "p_value")
 
 
 @query("categorical_chi_square", CATEGORIES + """
-SELECT f AS feature_name, round(sum((xn - pb * tn) ** 2 / (pb * tn)), 6) AS statistic, (count(*) - 1)::DOUBLE AS degrees_of_freedom,
-  max(tb)::BIGINT AS reference_samples, max(tn)::BIGINT AS current_samples FROM p GROUP BY f""")
+, q AS (SELECT f, sum((xn - pb * tn) ** 2 / (pb * tn)) AS x, (count(*) - 1)::DOUBLE AS df, max(tb)::BIGINT AS tb, max(tn)::BIGINT AS tn FROM p GROUP BY f)
+SELECT f AS feature_name, round(x, 6) AS statistic, df AS degrees_of_freedom, tb AS reference_samples, tn AS current_samples,
+  round(CASE WHEN df < 1 OR x <= 0 THEN 1 ELSE """ + chi_square_tail_sql("x", "df") + """ END, 7) AS p_value FROM q""")
 def categorical_chi_square(spark, folder):
-    made = drift.categorical_chi_square(*[_categories(df) for df in halves(spark, folder)]).drop("p_value")
-    return rounded(made, 6, "statistic")
+    made = drift.categorical_chi_square(*[_categories(df) for df in halves(spark, folder)])
+    return rounded(rounded(made, 6, "statistic"), 7, "p_value")
 
 
 @query("psi_numeric", HALVES + """
@@ -70,7 +92,7 @@ SELECT f AS feature_name, round(s, 8) AS statistic, round(p, 8) AS p_value, na A
   CASE WHEN p < 0.05 THEN CASE WHEN s >= 0.25 THEN 'Immediate retraining recommended' WHEN s >= 0.1 THEN 'Monitor closely, consider retraining' ELSE 'Continue monitoring' END END AS recommended_action, 'checked' AS status FROM every""")
 def input_drift_ks(spark, folder):
     base, now = [df.withColumn("k", F.get_json_object("props", "$.k").cast("double")) for df in halves(spark, folder)]
-    made = drift.input_drift(base, now, ["value", "k"], ["event_type"]).drop("detection_method", "drift_magnitude")
+    made = drift.input_drift(base, now, ["value", "k"], ["event_type"], exact_up_to=0).drop("detection_method", "drift_magnitude")
     return rounded(made, 8, "statistic", "p_value")
 
 

@@ -101,12 +101,17 @@ def variant_stats(spark, folder):
     return rounded(rounded(rounded(stats(spark, folder), 9, "mean"), 6, "std", "median"), 4, "var")
 
 
+def with_large_purchases(spark, folder):
+    """All events; purchases over 120 are a type of their own, as nearly every user has some purchase."""
+    large = (F.col("event_type") == "purchase") & (F.col("value") > 120)
+    return table(spark, folder, "events").withColumn("event_type", F.when(large, "large purchase").otherwise(F.col("event_type")))
+
+
 @query("user_conversions", ASSIGNED + """
 SELECT variant, count(*) AS users, sum(CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 120) THEN 1 ELSE 0 END)::BIGINT AS converted
 FROM a WHERE variant IS NOT NULL GROUP BY variant""")
 def user_conversions(spark, folder):
-    events = table(spark, folder, "events").filter(F.col("value") > 120)
-    made = experiments.user_conversions(assigned(spark, folder), events, "user_id", "purchase")
+    made = experiments.user_conversions(assigned(spark, folder), with_large_purchases(spark, folder), "user_id", "large purchase")
     return made.groupBy("variant").agg(F.count(F.lit(1)).alias("users"), F.sum("value").cast("long").alias("converted"))
 
 
@@ -141,47 +146,86 @@ def normal_cdf_sql(z: str) -> str:
     return f"(0.5 + sign({z}) / sqrt(2 * pi()) * list_sum([{term} FOR k IN range(0, 300)]))"
 
 
+def student_point_sql(df: str, z: float = 1.959963984540054) -> str:
+    """The 97.5 % point of Student's t by its expansion around the normal point, for many degrees of freedom."""
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    terms.append((79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return f"({z!r}::DOUBLE + " + " + ".join(f"{t!r}::DOUBLE / ({df}) ** {k + 1}" for k, t in enumerate(terms)) + ")"
+
+
+def chi_square_tail_sql(x: str, df: str) -> str:
+    """Upper tail of chi-square: one less the series of the lower incomplete gamma function."""
+    term = f"exp(({df} / 2 + k) * ln({x} / 2) - {x} / 2 - lgamma({df} / 2 + k + 1))"
+    return f"(1 - list_sum([{term} FOR k IN range(0, 3000)]))"
+
+
+REACH_SQL = student_point_sql("{df}") + " * sqrt(v_a / n_a + v_b / n_b)"
+INTERVAL_SQL = "round(m_b - m_a - {reach}, 6) AS ci_lower, round(m_b - m_a + {reach}, 6) AS ci_upper"
+
+
 @query("variant_t_tests", PAIRS + """
 SELECT variant_a, variant_b, n_a, n_b, round((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)), 6) AS statistic, (n_a + n_b - 2)::DOUBLE AS degrees_of_freedom,
   round((m_b - m_a) / pooled, 6) AS cohens_d, round((m_b - m_a) / pooled * (1 - 3 / (4 * (n_a + n_b) - 9)), 6) AS hedges_g,
+  """ + INTERVAL_SQL.format(reach=REACH_SQL.format(df="(n_a + n_b - 2)")) + """,
   round(""" + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """, 7) AS p_value FROM p""")
 def variant_t_tests(spark, folder):
-    made = tests(spark, folder).select("variant_a", "variant_b", "n_a", "n_b", "statistic", "degrees_of_freedom", "cohens_d", "hedges_g", "p_value")
-    return rounded(rounded(made, 6, "statistic", "cohens_d", "hedges_g"), 7, "p_value")
+    columns = ["variant_a", "variant_b", "n_a", "n_b", "statistic", "degrees_of_freedom", "cohens_d", "hedges_g", "ci_lower", "ci_upper", "p_value"]
+    made = tests(spark, folder).select(*columns)
+    return rounded(rounded(made, 6, "statistic", "cohens_d", "hedges_g", "ci_lower", "ci_upper"), 7, "p_value")
+
+
+WELCH_DF = "((v_a / n_a + v_b / n_b) ** 2 / ((v_a / n_a) ** 2 / (n_a - 1) + (v_b / n_b) ** 2 / (n_b - 1)))"
 
 
 @query("variant_welch_tests", PAIRS + """
 SELECT variant_a, variant_b, round((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b), 6) AS statistic,
-  round((v_a / n_a + v_b / n_b) ** 2 / ((v_a / n_a) ** 2 / (n_a - 1) + (v_b / n_b) ** 2 / (n_b - 1)), 4) AS degrees_of_freedom FROM p""")
+  round(""" + WELCH_DF + """, 4) AS degrees_of_freedom, """ + INTERVAL_SQL.format(reach=REACH_SQL.format(df=WELCH_DF)) + """,
+  round(""" + student_p_sql("((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b))", WELCH_DF) + """, 7) AS p_value FROM p""")
 def variant_welch_tests(spark, folder):
     pairs = experiments.variant_pairs(moments(spark, folder), NAMES)
-    made = comparison.t_test(pairs, equal_var=False).select("variant_a", "variant_b", "statistic", "degrees_of_freedom")
-    return rounded(rounded(made, 6, "statistic"), 4, "degrees_of_freedom")
+    made = comparison.t_test(pairs, equal_var=False).select("variant_a", "variant_b", "statistic", "degrees_of_freedom", "ci_lower", "ci_upper", "p_value")
+    return rounded(rounded(rounded(made, 6, "statistic", "ci_lower", "ci_upper"), 4, "degrees_of_freedom"), 7, "p_value")
 
 
 @query("variant_tests_corrected", PAIRS + """
-, pv AS (SELECT variant_a, variant_b, round(""" + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """, 7) AS p_value FROM p),
-r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS i, count(*) OVER () AS m FROM pv),
-c AS (SELECT *, least(max(p_value * (m - i + 1)) OVER (ORDER BY i), 1.0) AS corrected FROM r)
-SELECT variant_a, variant_b, p_value, round(corrected, 6) AS corrected_p_value, corrected <= 0.05 AS reject_null FROM c""")
+, r AS (SELECT variant_a, variant_b, m_a, m_b, v_a, v_b, n_a, n_b, """ + student_p_sql("((m_a - m_b) / (pooled * sqrt(1 / n_a + 1 / n_b)))", "(n_a + n_b - 2)") + """ AS p FROM p),
+i AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM r),
+c AS (SELECT *, least(min(p * m / i) OVER (ORDER BY i DESC), 1.0) AS corrected FROM i)
+SELECT variant_a, variant_b, round(p, 7) AS p_value, round(corrected, 6) AS corrected_p_value, corrected <= 0.05 AS reject_null,
+  """ + INTERVAL_SQL.format(reach=REACH_SQL.format(df="(n_a + n_b - 2)")) + """ FROM c""")
 def variant_tests_corrected(spark, folder):
     family = tests(spark, folder).withColumn("family", F.lit("checkout"))
-    made = comparison.corrected_p(rounded(family, 7, "p_value"), "family", "holm")
-    return rounded(made.select("variant_a", "variant_b", "p_value", "corrected_p_value", "reject_null"), 6, "corrected_p_value")
+    made = comparison.corrected_p(family, "family").select("variant_a", "variant_b", "p_value", "corrected_p_value", "reject_null", "ci_lower", "ci_upper")
+    return rounded(rounded(made, 7, "p_value"), 6, "corrected_p_value", "ci_lower", "ci_upper")
 
 
 @query("rank_sum_test", """
 WITH g AS (SELECT o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
 x AS (SELECT v, count(*) AS n, count(*) FILTER (g = 'F') AS a, count(*) FILTER (g = 'O') AS b FROM g GROUP BY v),
 r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM x),
-s AS (SELECT sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * rank) AS ra, sum(n::DOUBLE ** 3 - n) AS ties FROM r)
+s AS (SELECT sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(a * rank) AS ra, sum(n::DOUBLE ** 3 - n) AS ties FROM r),
+z AS (SELECT *, (greatest(ra - n_a * (n_a + 1) / 2, n_a * n_b - (ra - n_a * (n_a + 1) / 2)) - n_a * n_b / 2 - 0.5)
+    / sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z FROM s)
 SELECT n_a, n_b, (ra - n_a * (n_a + 1) / 2)::DOUBLE AS u_statistic, round(1 - 2 * (ra - n_a * (n_a + 1) / 2) / (n_a * n_b), 8) AS effect_size,
-  round((greatest(ra - n_a * (n_a + 1) / 2, n_a * n_b - (ra - n_a * (n_a + 1) / 2)) - n_a * n_b / 2 - 0.5)
-    / sqrt(n_a * n_b / 12 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))), 6) AS z FROM s""")
+  round(z, 6) AS z, round(2 * (1 - """ + normal_cdf_sql("greatest(z, 1e-9)") + """), 7) AS p_value FROM z""")
 def rank_sum_test(spark, folder):
     rows = table(spark, folder, "orders").withColumn("v", F.col("o_totalprice"))
     made = comparison.mann_whitney(rows, "o_orderstatus", "v", "F", "O")
-    return rounded(rounded(made.select("n_a", "n_b", "u_statistic", "effect_size", "z"), 8, "effect_size"), 6, "z")
+    made = made.select("n_a", "n_b", "u_statistic", "effect_size", "z", "p_value")
+    return rounded(rounded(rounded(made, 8, "effect_size"), 6, "z"), 7, "p_value")
+
+
+@query("rank_sum_exact", """
+WITH g AS (SELECT n_nationkey AS k, n_regionkey = 0 AS own, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY v) AS rank, count(*) OVER () AS n FROM g),
+s AS (SELECT count(*) FILTER (own) AS n_a, count(*) FILTER (NOT own) AS n_b, sum(rank) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2 AS u FROM r),
+w AS (SELECT a.rank + b.rank + c.rank + d.rank + e.rank - 15 AS u FROM r a JOIN r b ON a.rank < b.rank JOIN r c ON b.rank < c.rank JOIN r d ON c.rank < d.rank JOIN r e ON d.rank < e.rank)
+SELECT n_a, n_b, u::DOUBLE AS u_statistic, round(least(1, 2 * (SELECT count(*) FILTER (w.u <= least(s.u, n_a * n_b - s.u)) / count(*) FROM w)), 9) AS p_value FROM s""")
+def rank_sum_exact(spark, folder):
+    """Mean balances of the nations of one region against all others: five against twenty, all orders counted."""
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_regionkey") == 0).cast("string").alias("own"))
+    means = table(spark, folder, "customer").join(nations, "c_nationkey").groupBy("c_nationkey", "own").agg(F.avg("c_acctbal").alias("v"))
+    return rounded(comparison.mann_whitney(means, "own", "v", "true", "false").select("n_a", "n_b", "u_statistic", "p_value"), 9, "p_value")
 
 
 CONVERTED = ASSIGNED + """
@@ -194,10 +238,10 @@ c AS (SELECT count(*) FILTER (variant = 'control') AS ta, count(*) FILTER (varia
 SELECT sa AS successes_a, ta AS trials_a, sb AS successes_b, tb AS trials_b,
   round((sa / ta - sb / tb) / sqrt((sa + sb) / (ta + tb) * (1 - (sa + sb) / (ta + tb)) * (1 / ta + 1 / tb)), 6) AS statistic, round(sb / tb - sa / ta, 8) AS effect_size,
   round(sb / tb - sa / ta - 1.959963984540054 * sqrt((sa + sb) / (ta + tb) * (1 - (sa + sb) / (ta + tb)) * (1 / ta + 1 / tb)), 8) AS ci_lower,
-  round(sb / tb - sa / ta + 1.959963984540054 * sqrt((sa + sb) / (ta + tb) * (1 - (sa + sb) / (ta + tb)) * (1 / ta + 1 / tb)), 8) AS ci_upper FROM c""")
+  round(sb / tb - sa / ta + 1.959963984540054 * sqrt((sa + sb) / (ta + tb) * (1 - (sa + sb) / (ta + tb)) * (1 / ta + 1 / tb)), 8) AS ci_upper,
+  round(2 * (1 - """ + normal_cdf_sql("abs(z)") + """), 7) AS p_value FROM (SELECT *, (sa / ta - sb / tb) / sqrt((sa + sb) / (ta + tb) * (1 - (sa + sb) / (ta + tb)) * (1 / ta + 1 / tb)) AS z FROM c)""")
 def proportion_test(spark, folder):
-    events = table(spark, folder, "events").filter(F.col("value") > 120)
-    made = experiments.user_conversions(assigned(spark, folder), events, "user_id", "purchase")
+    made = experiments.user_conversions(assigned(spark, folder), with_large_purchases(spark, folder), "user_id", "large purchase")
     side = lambda name: F.col("variant") == name
     counts = made.agg(
         F.count_if(side("control") & (F.col("value") > 0)).alias("successes_a"),
@@ -205,29 +249,31 @@ def proportion_test(spark, folder):
         F.count_if(side("green") & (F.col("value") > 0)).alias("successes_b"),
         F.count_if(side("green")).alias("trials_b"),
     )
-    result = comparison.proportion_test(counts).drop("p_value", "is_significant")
-    return rounded(rounded(result, 6, "statistic"), 8, "effect_size", "ci_lower", "ci_upper")
+    result = comparison.proportion_test(counts).drop("is_significant")
+    return rounded(rounded(rounded(result, 6, "statistic"), 8, "effect_size", "ci_lower", "ci_upper"), 7, "p_value")
 
 
 @query("chi_square_test", """
 WITH c AS (SELECT p_brand, p_type, count(*) AS o FROM part GROUP BY ALL), n AS (SELECT sum(o) AS n FROM c),
 r AS (SELECT p_brand, sum(o) AS r FROM c GROUP BY ALL), k AS (SELECT p_type, sum(o) AS c FROM c GROUP BY ALL),
-x AS (SELECT r * k.c / n AS e, coalesce(o, 0) AS o, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c USING (p_brand, p_type))
-SELECT max(n)::DOUBLE AS n, round(sum((o - e) ** 2 / e), 6) AS statistic, (((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1))::DOUBLE AS degrees_of_freedom,
-  round(sqrt(sum((o - e) ** 2 / e) / (max(n) * (least((SELECT count(*) FROM r), (SELECT count(*) FROM k)) - 1))), 8) AS cramers_v FROM x""")
+x AS (SELECT r * k.c / n AS e, coalesce(o, 0) AS o, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c USING (p_brand, p_type)),
+y AS (SELECT max(n)::DOUBLE AS n, sum((o - e) ** 2 / e) AS x, (((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1))::DOUBLE AS df,
+  sqrt(sum((o - e) ** 2 / e) / (max(n) * (least((SELECT count(*) FROM r), (SELECT count(*) FROM k)) - 1))) AS cramers_v FROM x)
+SELECT n, round(x, 6) AS statistic, df AS degrees_of_freedom, round(cramers_v, 8) AS cramers_v, round(""" + chi_square_tail_sql("x", "df") + """, 7) AS p_value FROM y""")
 def chi_square_test(spark, folder):
-    made = comparison.chi_square(table(spark, folder, "part"), "p_brand", "p_type").select("n", "statistic", "degrees_of_freedom", "cramers_v")
-    return rounded(rounded(made, 6, "statistic"), 8, "cramers_v")
+    made = comparison.chi_square(table(spark, folder, "part"), "p_brand", "p_type").select("n", "statistic", "degrees_of_freedom", "cramers_v", "p_value")
+    return rounded(rounded(rounded(made, 6, "statistic"), 8, "cramers_v"), 7, "p_value")
 
 
 @query("chi_square_two_by_two", """
 WITH c AS (SELECT quality, toxic, count(*) AS o FROM labels GROUP BY ALL), n AS (SELECT sum(o) AS n FROM c),
 r AS (SELECT quality, sum(o) AS r FROM c GROUP BY ALL), k AS (SELECT toxic, sum(o) AS c FROM c GROUP BY ALL),
-x AS (SELECT r * k.c / n AS e, coalesce(o, 0) AS o, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c USING (quality, toxic))
-SELECT max(n)::DOUBLE AS n, round(sum(greatest(abs(o - e) - 0.5, 0) ** 2 / e), 6) AS statistic, 1.0::DOUBLE AS degrees_of_freedom FROM x""")
+x AS (SELECT r * k.c / n AS e, coalesce(o, 0) AS o, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c USING (quality, toxic)),
+y AS (SELECT max(n)::DOUBLE AS n, sum(greatest(abs(o - e) - 0.5, 0) ** 2 / e) AS x FROM x)
+SELECT n, round(x, 6) AS statistic, 1.0::DOUBLE AS degrees_of_freedom, round(CASE WHEN x > 0 THEN """ + chi_square_tail_sql("x", "1.0::DOUBLE") + """ ELSE 1 END, 7) AS p_value FROM y""")
 def chi_square_two_by_two(spark, folder):
-    made = comparison.chi_square(table(spark, folder, "labels"), "quality", "toxic").select("n", "statistic", "degrees_of_freedom")
-    return rounded(made, 6, "statistic")
+    made = comparison.chi_square(table(spark, folder, "labels"), "quality", "toxic").select("n", "statistic", "degrees_of_freedom", "p_value")
+    return rounded(rounded(made, 6, "statistic"), 7, "p_value")
 
 
 SEQUENTIAL = """
@@ -251,16 +297,28 @@ def sequential_test(spark, folder):
     return rounded(rounded(made, 6, "test_statistic", "information"), 8, "upper_boundary", "lower_boundary")
 
 
-BAYES_D = "(1 / (1 / 400.0::DOUBLE + n / vb) * (30 / 400.0::DOUBLE + n / vb * mb) - 1 / (1 / 400.0::DOUBLE + n / va) * (30 / 400.0::DOUBLE + n / va * ma))"
-BAYES_S = "sqrt(1 / (1 / 400.0::DOUBLE + n / vb) + 1 / (1 / 400.0::DOUBLE + n / va))"
-
-
-@query("bayesian_comparison", SEQUENTIAL + f"""
-, d AS (SELECT {BAYES_D} AS d, {BAYES_S} AS s FROM s),
-q AS (SELECT d, s, {normal_cdf_sql("d / s")} AS better, {normal_cdf_sql("(0.5 - d) / s")} - {normal_cdf_sql("(-0.5 - d) / s")} AS rope FROM d)
-SELECT round(better, 7) AS probability_b_better, round(1 - better, 7) AS probability_a_better, round(d - 1.959963984540054 * s, 6) AS ci_lower, round(d + 1.959963984540054 * s, 6) AS ci_upper,
-  round(d * better + s * exp(0 - (d / s) ** 2 / 2) / sqrt(2 * pi()), 6) AS expected_loss_a, round(d * better + s * exp(0 - (d / s) ** 2 / 2) / sqrt(2 * pi()) - d, 6) AS expected_loss_b,
-  round(rope, 7) AS rope_probability FROM q""")
+def _nodes_sql(side: str) -> str:
+    """Weights, means and variances of one side's posterior at 41 values of its unknown deviation."""
+    log = f"-(n - 1) * ln(s) - q / (2 * s * s) - s * s / 2 - ln(400 + s * s / n) / 2 - (m - 30) ** 2 / (2 * (400 + s * s / n))"
+    return f"""
+{side}0 AS (SELECT n::DOUBLE AS n, m{side} AS m, (n - 1) * v{side} AS q FROM s),
+{side}1 AS (SELECT *, sqrt((sqrt(n * n + 4 * q) - n) / 2) AS peak FROM {side}0),
+{side}2 AS (SELECT *, peak + k * 7.5::DOUBLE / 20 / sqrt(3 * q / peak ** 4 - n / peak ** 2 + 1) AS s FROM {side}1, range(-20, 21) t(k)),
+{side}3 AS (SELECT *, {log} AS log FROM {side}2 WHERE s > 0),
+{side} AS (SELECT exp(log - max(log) OVER ()) / sum(exp(log - (SELECT max(log) FROM {side}3))) OVER () AS w, 1 / (1 / 400.0::DOUBLE + n / (s * s)) AS v,
+  1 / (1 / 400.0::DOUBLE + n / (s * s)) * (30 / 400.0::DOUBLE + m * n / (s * s)) AS c FROM {side}3)"""
+
+
+@query("bayesian_comparison", SEQUENTIAL.replace("WITH g", "WITH RECURSIVE g") + f""", {_nodes_sql("a")}, {_nodes_sql("b")},
+d AS (SELECT a.w * b.w AS w, b.c - a.c AS d, sqrt(a.v + b.v) AS s FROM a, b),
+q AS (SELECT sum(w * {normal_cdf_sql("d / s")}) AS better, sum(w * ({normal_cdf_sql("(0.5 - d) / s")} - {normal_cdf_sql("(-0.5 - d) / s")})) AS rope,
+  sum(w * (d * {normal_cdf_sql("d / s")} + s * exp(0 - (d / s) ** 2 / 2) / sqrt(2 * pi()))) AS loss, sum(w * d) AS mean, max(s) AS wide FROM d),
+i AS (SELECT 0 AS step, p, mean - 8 * wide AS low, mean + 8 * wide AS high FROM q, (VALUES (0.025::DOUBLE), (0.975)) t(p)
+  UNION ALL SELECT step + 1, p, CASE WHEN below < p THEN (low + high) / 2 ELSE low END, CASE WHEN below < p THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *, (SELECT sum(w * {normal_cdf_sql("((low + high) / 2 - d) / s")}) FROM d) AS below FROM i) WHERE step < 40),
+c AS (SELECT max(low) FILTER (p < 0.5) AS ci_lower, max(low) FILTER (p > 0.5) AS ci_upper FROM i WHERE step = 40)
+SELECT round(better, 7) AS probability_b_better, round(1 - better, 7) AS probability_a_better, round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper,
+  round(loss, 6) AS expected_loss_a, round(loss - mean, 6) AS expected_loss_b, round(rope, 7) AS rope_probability FROM q, c""")
 def bayesian_comparison(spark, folder):
     made = comparison.bayesian(_two_groups(spark, folder), prior_mean=30.0, prior_std=20.0, rope=(-0.5, 0.5))
     chances = ["probability_a_better", "probability_b_better", "rope_probability"]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,26 @@ def stored_for_a_while(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
         dropped(df.sparkSession, folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession, purpose: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a DataFrame as a table of one shared folder and reads it again; the folder goes at the end.
+
+    A written table cuts the lineage as a checkpoint does, in one job, and its size is known to the planner.
+    """
+    folder = f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    number = count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        dropped(spark, folder)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written as a compressed table in the shared folder, and read again."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
