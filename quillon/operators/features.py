@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.expressions import feature_column
 from quillon.functions.paths import nested
+from quillon.session import dropped, scratch
 
 
 # -- expressions and extraction ---------------------------------------------------------------
@@ -283,6 +284,34 @@ def retained(values: DataFrame, now: dt.datetime | str, days: int = 90, column:
     return values.filter(F.col(column) >= _stamp(now) - F.make_dt_interval(days=F.lit(days)))
 
 
+def stored_by_day(values: DataFrame, folder: str, column: str = "created_at") -> None:
+    """Appends values to a store with one folder per day of `column`, which retention can then apply to."""
+    values.withColumn("day", F.to_date(column)).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def apply_retention(spark: SparkSession, folder: str, now: dt.datetime | str, days: int = 90, column: str = "created_at") -> int:
+    """Removes the values older than `days` from a store by day, and returns how many there were.
+
+    Folders of days that are wholly too old go. The one day that the limit falls in is rewritten with what it keeps, by
+    an overwrite of that folder alone; no file of a later day, or of values without a time, is touched.
+    """
+    limit = _stamp(now) - F.make_dt_interval(days=F.lit(days))
+    edge = spark.range(1).select(F.to_date(limit)).first()[0]
+    store = spark.read.parquet(folder)
+    old = store.where(F.col("day") <= F.lit(edge))
+    removed = old.where(F.col(column) < limit).count()
+    gone = [row[0] for row in old.where(F.col("day") < F.lit(edge)).select("day").distinct().collect()]
+    with scratch(spark, "retention") as keep:
+        kept = keep(old.where((F.col("day") == F.lit(edge)) & (F.col(column) >= limit)))
+        if not kept.isEmpty():
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+        elif not old.where(F.col("day") == F.lit(edge)).isEmpty():
+            gone.append(edge)
+    for day in gone:
+        dropped(spark, f"{folder}/day={day}")
+    return removed
+
+
 def freshness(values: DataFrame, now: dt.datetime | str, max_age_seconds: int, column: str = "timestamp") -> DataFrame:
     """Age of the newest value per feature and entity, and whether it is fresh."""
     newest = values.groupBy("feature_name", "entity_id").agg(F.max(column).alias("newest"))

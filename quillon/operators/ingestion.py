@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators.profiling import column_profile, table_profile
-from quillon.operators.quality import common_expectations, run_suite
+from quillon.operators.quality import common_expectations, observed_suite
 from quillon.session import stored_for_a_while
 from quillon.sources.files import read_file, write_file
 
@@ -37,19 +37,22 @@ def ingest(
 ) -> Ingested:
     """Load a file, run its suite, profile it, note the lineage edge and write it to `target`.
 
-    The source is read once, into the shared folder, where checks and write read it. With
-    `fail_on_error` nothing is written to the target when a check fails.
+    The source is read once: while it is written to the shared folder its rows and what the checks count are observed.
+    Then it is published from there. With `fail_on_error` nothing is published when a check fails.
     """
-    with stored_for_a_while(read_file(spark, source, schema), "ingest") as df:
+    loaded = read_file(spark, source, schema)
+    watched, results = observed_suite(loaded, expectations or common_expectations(loaded.columns))
+    with stored_for_a_while(watched, "ingest") as df:
+        suite, rows = results(df)
         # One row per expectation.
-        checks = [row.asDict() for row in run_suite(df, expectations or common_expectations(df.columns)).collect()]
-        done = Ingested("success", df.count(), checks)
+        checks = [row.asDict() for row in suite.collect()]
+        done = Ingested("success", rows, checks)
         if not all(check["success"] for check in checks):
             if fail_on_error:
                 done.status = "failed"
-                done.errors.append("Data validation failed")
+                done.errors.append(f"{sum(not check['success'] for check in checks)} checks failed, nothing was stored")
                 return done
-            done.warnings.append("Data validation warnings detected")
+            done.warnings.append(f"{sum(not check['success'] for check in checks)} checks failed")
         write_file(df, target, mode)
     stored = read_file(spark, target, df.schema)
     if with_profile:

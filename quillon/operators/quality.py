@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 RESULT = "check_no int, expectation_type string, column string, success boolean, observed double, detail string"
 
@@ -40,12 +41,37 @@ def run_suite(df: DataFrame, expectations: list[dict[str, Any]]) -> DataFrame:
 
     `observed` is the row count, null count, duplicate count or count of unexpected values.
     """
+    needed, rows = _planned(df, expectations)
+    return _judged(df.agg(*[expression.alias(f"_{name}") for name, expression in needed.items()]), rows)
+
+
+def observed_suite(df: DataFrame, expectations: list[dict[str, Any]]) -> tuple[DataFrame, Callable[[DataFrame], tuple[DataFrame, int]]]:
+    """`df` whose next write also counts what the suite needs, and a function to call after it.
+
+    That function takes the written table and returns the result rows of run_suite and the number of rows. Only the
+    distinct counts of uniqueness checks, which cannot be observed in passing, are read from the written table.
+    """
+    needed, rows = _planned(df, expectations)
+    passing = {name: expression for name, expression in needed.items() if not name.startswith("distinct_")}
+    seen = Observation()
+
+    def results(written: DataFrame) -> tuple[DataFrame, int]:
+        values = {name: seen.get[f"_{name}"] for name in passing}
+        later = [expression.alias(name) for name, expression in needed.items() if name not in passing]
+        values |= written.agg(*later).first().asDict() if later else {}
+        counted = df.sparkSession.createDataFrame([tuple(values[name] for name in needed)], ", ".join(f"`_{name}` long" for name in needed))
+        return _judged(counted, rows), values["rows"]
+
+    return df.observe(seen, *[expression.alias(f"_{name}") for name, expression in passing.items()]), results
+
+
+def _planned(df: DataFrame, expectations: list[dict[str, Any]]) -> tuple[dict[str, Column], Column]:
+    """The aggregations that a suite needs, and its result rows as an array over them."""
     # Casting a count to double inside the struct keeps one result type for all checks.
     needed: dict[str, Column] = {"rows": F.count(F.lit(1))}
     plans = []
     for at, expectation in enumerate(expectations):
         plans.append(_plan(df, at, expectation["expectation_type"], expectation.get("kwargs", {}), needed))
-    counted = df.agg(*[expression.alias(f"_{name}") for name, expression in needed.items()])
     rows = F.array(
         *[
             F.struct(
@@ -59,6 +85,10 @@ def run_suite(df: DataFrame, expectations: list[dict[str, Any]]) -> DataFrame:
             for at, (expectation, (success, observed, detail)) in enumerate(zip(expectations, plans))
         ]
     )
+    return needed, rows
+
+
+def _judged(counted: DataFrame, rows: Column) -> DataFrame:
     return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillon.functions.paths import matches, nested, numeric
 from quillon.operators import drift, features
 from quillon.plans.joins import feature_values
 from quillon.plans.registry import query, rounded, table
+from quillon.session import checkpoint_folder
 from quillon.sources import catalog
 
 
@@ -242,6 +245,17 @@ def feature_retention(spark, folder):
     return kept.select("entity_id", "feature_name", "created_at")
 
 
+@query("feature_retention_applied", """
+SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS feature_name, ts AS created_at, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 10 DAY) AS removed
+FROM events WHERE ts >= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 10 DAY""")
+def feature_retention_applied(spark, folder):
+    """The values of a store by day after retention; its limit falls into the middle of a day."""
+    store = f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
+    features.stored_by_day(feature_values(spark, folder).select("entity_id", "feature_name", "created_at"), store)
+    removed = features.apply_retention(spark, store, "2024-01-31 12:00:00", 10)
+    return spark.read.parquet(store).select("entity_id", "feature_name", "created_at", F.lit(removed).cast("long").alias("removed"))
+
+
 @query("feature_freshness", """
 SELECT event_type AS feature_name, CAST(user_id AS VARCHAR) AS entity_id, max(ts) AS newest,
   (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 1000000.0 AS age_seconds,

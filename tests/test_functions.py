@@ -1,6 +1,7 @@
 """Expressions, paths, hashing, exact ranks and tails."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -134,3 +135,75 @@ def test_tails_against_published_tables():
     assert tails.kolmogorov_tail(1.6276) == pytest.approx(0.01, abs=1e-4)
     assert tails.beta_share(2, 3, 0.5) == pytest.approx(0.6875)
     assert math.isclose(tails.chi_square_tail(400, 300), 9.6e-05, rel_tol=0.2)
+
+
+def all_orders(m, n):
+    return itertools.combinations(range(m + n), m)
+
+
+@pytest.mark.parametrize("m, n", [(3, 4), (5, 5), (2, 7), (7, 2), (1, 6)])
+def test_exact_tails_against_all_orders(m, n):
+    sums, gaps = [], []
+    for chosen in all_orders(m, n):
+        own, i, j, gap = set(chosen), 0, 0, 0
+        for k in range(m + n):
+            i, j = (i + 1, j) if k in own else (i, j + 1)
+            gap = max(gap, abs(i * n - j * m))
+        gaps.append(gap)
+        sums.append(sum(chosen) - m * (m - 1) // 2)
+    for k in range(1, m * n + 1):
+        assert tails.kolmogorov_exact(k / (m * n), m, n) == pytest.approx(sum(g >= k for g in gaps) / len(gaps), abs=1e-12)
+    for u in range(m * n + 1):
+        low = sum(s <= min(u, m * n - u) for s in sums)
+        assert tails.rank_sum_exact(u, m, n) == pytest.approx(min(1.0, 2 * low / len(sums)), abs=1e-12)
+
+
+def plain_kolmogorov(gap, m, n):
+    """Paths counted in whole numbers, row by row."""
+    inside = [int(abs(j * m) < round(gap * m * n)) for j in range(n + 1)]
+    for i in range(1, m + 1):
+        row, before = [], 0
+        for j in range(n + 1):
+            before = (inside[j] + before) if abs(i * n - j * m) < round(gap * m * n) else 0
+            row.append(before)
+        inside = row
+    return 1 - inside[n] / math.comb(m + n, n)
+
+
+@pytest.mark.parametrize("m, n, gap", [(20, 30, 17 / 60), (500, 700, 0.08), (700, 500, 0.08), (60, 45, 0.5), (50, 50, 1.0)])
+def test_exact_kolmogorov_tail_of_larger_samples(m, n, gap):
+    k = round(gap * m * n)
+    assert tails.kolmogorov_exact(k / (m * n), m, n) == pytest.approx(plain_kolmogorov(k / (m * n), m, n), abs=1e-11)
+
+
+def test_exact_tails_agree_with_their_limits():
+    assert tails.kolmogorov_exact(0.02, 10_000, 10_000) == pytest.approx(tails.kolmogorov_tail(0.02 * 5000**0.5), rel=1e-3)
+    m, n = 8, 4000  # eight values among many: U nearly is a sum of eight uniform numbers, which is nearly normal
+    u = m * n / 2 - 1.5 * (m * n * (m + n + 1) / 12) ** 0.5
+    assert tails.rank_sum_exact(u, m, n) == pytest.approx(tails.normal_two_sided(1.5), rel=0.03)
+
+
+def test_posterior_against_plain_sums():
+    """Chances of the difference from sums over a fine grid of both means and both deviations."""
+    prior, a, b = (1.0, 2.0), (12, 0.5, 1.3), (9, 1.1, 0.7)
+    means, deviations = [-3 + 0.02 * k for k in range(400)], [0.02 + 0.02 * k for k in range(250)]
+
+    def marginal(n, m, v):
+        out = []
+        for mean in means:
+            total = 0.0
+            for s in deviations:
+                total += math.exp(-n * math.log(s) - ((n - 1) * v + n * (m - mean) ** 2) / (2 * s * s) - s * s / 2)
+            out.append(total * math.exp(-((mean - prior[0]) ** 2) / (2 * prior[1] ** 2)))
+        return [x / sum(out) for x in out]
+
+    pa, pb = marginal(*a), marginal(*b)
+    better, loss, inside = 0.0, 0.0, 0.0
+    for x, p in zip(means, pa):
+        for y, q in zip(means, pb):
+            better += p * q * ((y > x) + 0.5 * (y == x))
+            loss += p * q * max(y - x, 0)
+            inside += p * q * (abs(y - x) <= 0.5)
+    got = tails.difference_posterior(a, b, prior, (-0.5, 0.5))
+    assert got[0] == pytest.approx(better, abs=2e-3) and got[1] == pytest.approx(loss, abs=5e-3) and got[5] == pytest.approx(inside, abs=0.02)
+    assert got[3] < got[1] - got[2] < got[4]
