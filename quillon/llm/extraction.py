@@ -62,6 +62,8 @@ BOILERPLATE = frozenset(
 PATH_SIZE, WORD_BUCKETS, WORD_SIZE, HIDDEN = 48, 64, 12, 24
 INPUT = PATH_SIZE + WORD_SIZE + 6
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 50_000
+#: Steps of all pages whose gates are made at a time when blocks are labelled.
+STEPS = 2048
 #: Marks the main texts of a training layout while it is built.
 OWN = "\ue000"
 
@@ -110,7 +112,7 @@ def leaf_blocks(source: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
             if text:
                 linked = sum(len(t) for t, in_link in pieces if in_link)
-                blocks.append(Block(text, tuple(name for _, names in stack for name in names), min(linked, len(text))))
+                blocks.append(Block(text, stack[-1][1] if stack else (), min(linked, len(text))))
             pieces.clear()
 
     def pop_to(place: int) -> None:
@@ -177,7 +179,11 @@ def leaf_blocks(source: str) -> list[Block]:
             for parts in NAMES.findall(attributes):
                 names += NAME_PARTS.findall("".join(parts).lower())
         links += tag == "a"
-        stack.append((tag, tuple(names)))
+        # A path names each name once, the innermost last, and nested elements that add none share it.
+        path = stack[-1][1] if stack else ()
+        if not (path and path[-1] == names[-1] and set(names) <= set(path)):
+            path = (*(name for name in dict.fromkeys([*path, *names]) if name != names[-1]), names[-1])
+        stack.append((tag, path))
     pieces.append((source[position:], links > 0))
     flush()
     return blocks
@@ -260,20 +266,26 @@ class Labeller:
             self.p[f"{way}h"] = random.normal(size=(HIDDEN, 4 * HIDDEN)) / np.sqrt(HIDDEN)
             self.p[f"{way}c"] = np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)
 
-    def run(self, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states (b, t, h) and what the backward pass needs. Steps beyond a page's end leave its state as it is."""
+    def run(self, way: str, x: np.ndarray, mask: np.ndarray, taped: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states (b, t, h) and, if taped, what the backward pass needs. Steps beyond a page's end leave its state as it is.
+
+        Without a tape the gates are made for some steps at a time, so memory follows the inputs and states alone.
+        """
         b, t, _ = x.shape
-        gates = x @ self.p[f"{way}x"] + self.p[f"{way}c"]
+        some = t if taped else STEPS
         h, c = np.zeros((b, HIDDEN)), np.zeros((b, HIDDEN))
         out, tape = np.zeros((b, t, HIDDEN)), []
         for i in range(t):
-            z = gates[:, i] + h @ self.p[f"{way}h"]
+            if i % max(some, 1) == 0:
+                gates = x[:, i : i + some] @ self.p[f"{way}x"] + self.p[f"{way}c"]
+            z = gates[:, i % some] + h @ self.p[f"{way}h"]
             s = sigmoid(z[:, : 3 * HIDDEN])
             put, keep, show, new = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             m = mask[:, i : i + 1]
             cell = keep * c + put * new
             squashed = np.tanh(cell)
-            tape.append((h, c, put, keep, show, new, squashed, m))
+            if taped:
+                tape.append((h, c, put, keep, show, new, squashed, m))
             h, c = np.where(m, show * squashed, h), np.where(m, cell, c)
             out[:, i] = h
         return out, tape
@@ -303,11 +315,11 @@ class Labeller:
         at = np.where(steps < lengths[:, None], lengths[:, None] - 1 - steps, steps)
         return np.take_along_axis(x, at[:, :, None], 1)
 
-    def scores(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def scores(self, x: np.ndarray, lengths: np.ndarray, taped: bool = True) -> tuple[np.ndarray, tuple]:
         mask = np.arange(x.shape[1])[None, :] < lengths[:, None]
         turned = self.reverse(x, lengths)
-        forward, tape_f = self.run("f", x, mask)
-        backward, tape_b = self.run("b", turned, mask)
+        forward, tape_f = self.run("f", x, mask, taped)
+        backward, tape_b = self.run("b", turned, mask, taped)
         both = np.concatenate([forward, self.reverse(backward, lengths)], 2)
         return sigmoid(both @ self.p["out"] + self.p["bias"]), (x, turned, tape_f, tape_b, both, mask)
 
@@ -353,7 +365,7 @@ class Labeller:
             size = lengths[own]
             steps = np.arange(size.max())[None, :]
             at = starts[own][:, None] + np.minimum(steps, size[:, None] - 1)
-            guess, (*_, mask) = self.scores(x[at], size)
+            guess, (*_, mask) = self.scores(x[at], size, taped=False)
             out[at[mask]] = guess[mask]
         return out
 

@@ -224,3 +224,19 @@ def test_merges_need_all_bytes():
     with pytest.raises(ValueError):
         bpe.Vocabulary.from_ranks({b"a": 0}, "a")
     assert base64.b64encode(b"a") == b"YQ=="
+
+
+def test_deep_and_long_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    deep = extraction.leaf_blocks("<div class=a>x " * 50_000)
+    assert len(deep) == 50_000 and all(b.path == ("div", "a") for b in deep)
+    assert [b.path for b in extraction.leaf_blocks("<main><div class='a b'><p>x<div class=a>y</div></div>")] == [("main", "div", "a", "b", "p"), ("main", "div", "b", "a")]
+    labeller, random_ = extraction.Labeller(), np.random.default_rng(1)
+    x = random_.normal(size=(30_000, extraction.INPUT))
+    taped = labeller.scores(x[None], np.array([30_000]))[0][0]
+    tracemalloc.start()
+    found = labeller.label(x, np.array([30_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(found, taped) and peak < 4 * x.nbytes + (1 << 24)
