@@ -67,7 +67,7 @@ OP5_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (
-  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
 l AS (
   SELECT a.row AS a, b.row AS b, a.vec_id AS own, b.vec_id AS other FROM u a JOIN u b ON a.row <> b.row AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) >= 0.95::DOUBLE * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),

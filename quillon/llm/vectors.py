@@ -333,18 +333,20 @@ def comparable(vector: str) -> Column:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
-    n_links counts the other rows linked directly, equal vectors included; component_id is the smallest key reachable.
-    Vectors that are not comparable link with nothing, nor do rows without a key, whose component is null. Vectors of
-    different length never link. Repeated rows are vectors of their own. An empty table gives an empty one.
+    n_links counts the other rows linked directly, equal vectors included; component_id is the smallest key reachable,
+    null if only rows without a key are. Vectors that are not comparable link with nothing. Vectors of different length
+    never link. Rows of one key are vectors of their own: classes of equal vectors go by numbers, and by their smallest
+    key only in the result. An empty table gives an empty one.
     """
     needs(vectors, key, vector)
     rows = vectors.select(key, F.col(vector).alias("vector"))
-    usable = comparable("vector") & F.col(key).isNotNull()
-    classes = rows.where(usable).groupBy("vector").agg(F.min(key).cast("long").alias("id"), F.count("*").alias("copies"))
+    usable = comparable("vector")
+    classes = rows.where(usable).groupBy("vector").agg(F.min(key).cast("long").alias("low"), F.count("*").alias("copies"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
     classes = shared_table(classes.withColumn("draw", F.xxhash64("vector")).withColumn("dim", F.size("vector")), "vectors")
     n = classes.count()
     shards, parts = max(SHARDS, -(-n // PER_SHARD)), max(PARTS, -(-n // PER_SHARD))
-    dealt = classes.withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int")).drop("draw")
+    dealt = classes.select("vector", "id", "copies", "dim", F.pmod("draw", F.lit(shards)).cast("int").alias("shard"))
     fields = "id long, copies long, dim int, shard int"
     kind = vectors.schema[vector].dataType.simpleString()
     graphs = dealt.groupBy("dim", "shard").applyInArrow(built, f"vector {kind}, {fields}, node long, links array<array<int>>")
@@ -353,7 +355,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     index = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("asks", F.lit(False))
     queries = (
         classes.withColumn("part", F.pmod(F.shiftright("draw", 20), F.lit(parts)).cast("int"))
-        .drop("draw")
+        .drop("draw", "low")
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         .withColumns({"asks": F.lit(True), "node": F.lit(None).cast("long"), "links": F.lit(None).cast("array<array<int>>")})
     )
@@ -364,14 +366,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("n is null").select("a", "b"))
     named = (
-        classes.select("vector", "id", "copies")
+        classes.select("vector", "id", "low", "copies")
         .join(counts, F.col("id") == F.col("a"), "left")
         .join(roots, F.col("id") == F.col("node"), "left")
-        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"), "low")
     )
+    lows = named.groupBy("root").agg(F.min("low").alias("smallest"))
+    named = named.join(lows, "root").select("vector", "n_links", "smallest", F.lit(True).alias("linked"))
     joined = rows.withColumn("usable", usable).join(named, "vector", "left")
-    alone = ~F.col("usable") | F.col("root").isNull()
-    component = F.when(alone, F.col(key).cast("long")).otherwise(F.col("root"))
+    alone = ~F.col("usable") | F.col("linked").isNull()
+    component = F.when(alone, F.col(key).cast("long")).otherwise(F.col("smallest"))
     return joined.select(
         key,
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),

@@ -3,12 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from quillon.llm import repeats, simhash, vectors
 from quillon.llm.common import components, star_forest
+from quillon.llm.queries import ORACLES, QUERIES
 
 
 def groups(nodes, linked):
@@ -126,13 +128,15 @@ def test_vectors_equal_brute_force(spark):
     rows += [rows[3], rows[3], [2 * x for x in rows[5]], [0.0] * 16, None, [], [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0]]
     table = spark.createDataFrame([(i, v, 1, True) for i, v in enumerate(rows)] + [(None, rows[0], 1, False)], "vec_id long, embedding array<double>, n_links int, kept boolean")
     found = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_duplicates(table).collect()}
-    good = {i: np.array(v, float) for i, v in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    keyless = len(rows)  # it links like any other, but names no component
+    good = {i: np.array(v, float) for i, v in enumerate([*rows, rows[0]]) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     linked = [
         (a, b) for a in good for b in good
         if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.95 * np.linalg.norm(good[a]) * np.linalg.norm(good[b])
     ]
-    low = groups(range(len(rows)), linked)
-    want = {i: (sum(i in pair for pair in linked), low[i], low[i] == i) for i in range(len(rows))} | {None: (0, None, False)}
+    low = groups(range(len(rows) + 1), linked)
+    want = {i: (sum(i in pair for pair in linked), low[i], low[i] == i) for i in range(len(rows))}
+    want[None] = (sum(keyless in pair for pair in linked), low[keyless], False)
     assert found == want
     assert vectors.near_duplicates(table.limit(0)).collect() == []
 
@@ -241,3 +245,18 @@ def test_suffix_order_is_sorted():
     order = repeats.suffix_order(ext, at, size, np.zeros(len(at), np.int64), count)
     texts = [bytes(data[a : a + n]) for a, n in zip(at, size)]
     assert [texts[i] for i in order] == sorted(texts)
+
+
+def test_rows_of_one_key_link_with_each_other_as_in_sql(spark, tmp_path):
+    """Different vectors under one repeated key, copies under several keys, and rows without a key."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(6, 16))
+    near = lambda i: (base[i] + 0.01 * r.normal(size=16)).tolist()
+    rows = [(1, near(0)), (1, near(0)), (5, near(0)), (7, near(1)), (7, near(1)), (9, base[2].tolist()), (3, base[2].tolist()), (3, base[2].tolist()), (None, near(3)), (None, near(3))]
+    rows += [(None, near(1)), (8, near(4)), (8, near(5)), (11, None), (11, [0.0] * 16), (None, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = sorted((tuple(x) for x in QUERIES["op5_embedding_near_dedup"](spark, str(tmp_path)).collect()), key=repr)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert found == sorted(db.execute(ORACLES["op5_embedding_near_dedup"]).fetchall(), key=repr)
+    assert (1, 2, 1, True) in found and (7, 2, 7, True) in found and (None, 1, None, False) in found
