@@ -234,7 +234,8 @@ def cycle_components(edges: DataFrame) -> DataFrame:
         links = keep(_links(edges, "downstream"))
         loops = links.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component"))
         links = keep(links.where("_from <> _to"))
-        alone, found, aside = [keep(loops)], [], []
+        loops = keep(loops)
+        found, aside = [], []
         while not links.isEmpty():
             size = links.count()
             links = _trimmed(links, keep)
@@ -246,11 +247,12 @@ def cycle_components(edges: DataFrame) -> DataFrame:
                 rings = onward.join(inner.select(F.col("node").alias("end")), "end", "left_semi").select("node", F.col("low").alias("component"))
                 found.append(keep(rings))
                 chains = onward.join(found[-1].select("node"), "node", "left_anti").select("node", F.col("end").alias("after"))
-                aside.append(keep(chains.join(back.select("node", F.col("end").alias("before")), "node")))
+                chains = keep(chains.join(back.select("node", F.col("end").alias("before")), "node"))
                 kept = links.join(inner.select(F.col("node").alias("_from")), "_from", "left_anti").join(inner.select(F.col("node").alias("_to")), "_to", "left_anti")
-                joined = aside[-1].select(F.col("before").alias("_from"), F.col("after").alias("_to"))
+                joined = chains.select(F.col("before").alias("_from"), F.col("after").alias("_to"))
                 # A chain that comes back to where it left closes a cycle at its end, which may be part of a larger one.
-                alone.append(keep(joined.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component")).distinct()))
+                closed = joined.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component")).distinct()
+                aside.append((chains, keep(closed)))
                 links = keep(kept.unionAll(joined).where("_from <> _to").distinct())
             if links.count() < size:
                 continue
@@ -260,15 +262,19 @@ def cycle_components(edges: DataFrame) -> DataFrame:
             same = keep(links.join(own("_from"), "_from").join(own("_to"), "_to").where("mark_from = mark_to").select("_from", "_to"))
             turned = same.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
             back = _spread(turned, keep(colours.where("node = mark")), keep).select("node", F.col("mark").alias("component"))
-            found.append(keep(back))
+            back = keep(back)
+            several = back.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+            found.append(keep(back.join(several, "component").select("node", "component")))
             links = keep(same.join(back.select(F.col("node").alias("_from")), "_from", "left_anti").join(back.select(F.col("node").alias("_to")), "_to", "left_anti"))
-        merged = reduce(DataFrame.unionAll, [loops.limit(0), *found])
-        merged = keep(merged.unionAll(reduce(DataFrame.unionAll, alone).distinct().join(merged.select("node"), "node", "left_anti")))
-        for chains in reversed(aside):
+        merged = keep(reduce(DataFrame.unionAll, [loops.limit(0), *found]))
+        with_alone = lambda known, own: known.unionAll(own.join(known.select("node"), "node", "left_anti"))
+        # What was set aside last comes back first, so the ends of a chain are settled before it.
+        for chains, closed in reversed(aside):
+            merged = keep(with_alone(merged, closed))
             ends = lambda side: merged.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-            # An end that is on no cycle so far still closes one if both ends are the same node.
             shared = chains.join(ends("before"), "before").join(ends("after"), "after").where("c_before = c_after")
             merged = keep(merged.unionAll(shared.select("node", F.col("c_before").alias("component"))))
+        merged = keep(with_alone(merged, loops))
         sizes = merged.groupBy("component").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("size"))
         return stored(merged.join(sizes, "component").select("node", F.col("name").alias("component"), "size"), "cycles")
 
