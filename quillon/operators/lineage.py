@@ -148,20 +148,19 @@ def dangling_edges(edges: DataFrame, assets: DataFrame, transformations: DataFra
     return reduce(DataFrame.unionAll, found)
 
 
-def _ends(pointers: DataFrame, keep, rings: bool = False) -> DataFrame:
-    """(node, end, low): where following (node, end) leads, by pointer jumping; `low` is the smallest node passed.
+def _ends(pointers: DataFrame, keep) -> DataFrame:
+    """(node, end): where following the pointers leads, by pointer jumping.
 
-    Where the pointers end, `end` has none itself. Pointers into a ring never end: they are those left when a round ends
-    no others. With `rings` the jumps then go on until `low` is the smallest node of a ring for all its nodes.
+    Where they end, `end` has none itself. Pointers into a ring never end: they are those left when a round ends no others.
     """
-    jumps = keep(pointers.select("node", "end", F.least("node", "end").alias("low")))
+    jumps = keep(pointers.select("node", "end"))
     unended = lambda: jumps.join(jumps.select(F.col("node").alias("end")), "end", "left_semi").count()
-    left, rounds = unended(), 0
+    left = unended()
     while left:
-        onward = jumps.select(F.col("node").alias("end"), F.col("end").alias("_next"), F.col("low").alias("_low"))
-        jumps = keep(jumps.join(onward, "end", "left").select("node", F.coalesce("_next", "end").alias("end"), F.least("low", "_low").alias("low")))
-        rounds, before, left = rounds + 1, left, unended()
-        if left == before and (not rings or 1 << rounds >= left):
+        onward = jumps.select(F.col("node").alias("end"), F.col("end").alias("_next"))
+        jumps = keep(jumps.join(onward, "end", "left").select("node", F.coalesce("_next", "end").alias("end")))
+        before, left = left, unended()
+        if left == before:
             break
     return jumps
 
@@ -205,80 +204,6 @@ def circular_assets(edges: DataFrame, assets: DataFrame | None = None) -> DataFr
         return stored(cyclic, "circular")
 
 
-def _trimmed(links: DataFrame, keep) -> DataFrame:
-    """Links without those from a node that none enters or to one that none leaves."""
-    enters = links.select(F.col("_to").alias("_from"))
-    leaves = links.select(F.col("_from").alias("_to"))
-    return keep(links.join(enters, "_from", "left_semi").join(leaves, "_to", "left_semi"))
-
-
-def _spread(links: DataFrame, marks: DataFrame, keep) -> DataFrame:
-    """(node, mark): the largest mark that reaches each node along the links, its own included."""
-    while True:
-        sent = links.join(marks, links["_from"] == marks["node"]).select(F.col("_to").alias("node"), "mark")
-        grown = keep(sent.unionAll(marks).groupBy("node").agg(F.max("mark").alias("mark")))
-        if grown.exceptAll(marks).isEmpty():
-            return grown
-        marks = grown
-
-
-def cycle_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of every node on a cycle: its strongly connected component by its smallest node.
-
-    Nodes that nothing enters or leaves are on no cycle. Inner nodes of chains are set aside, their ends linked, and share
-    the component of the two ends if it is the same. What is left is coloured by the largest node that reaches it; the
-    nodes of a colour that lead back to that node are one component, and only links inside a colour go on.
-    """
-    spark = edges.sparkSession
-    with scratch(spark, "components") as keep:
-        links = keep(_links(edges, "downstream"))
-        loops = links.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component"))
-        links = keep(links.where("_from <> _to"))
-        loops = keep(loops)
-        found, aside = [], []
-        while not links.isEmpty():
-            size = links.count()
-            links = _trimmed(links, keep)
-            enter = links.groupBy(F.col("_to").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("_from").alias("before"))
-            leave = links.groupBy(F.col("_from").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("_to").alias("after"))
-            inner = keep(enter.join(leave, "node").where("n_in = 1 AND n_out = 1").select("node", "before", "after"))
-            if not inner.isEmpty():
-                onward, back = (_ends(inner.select("node", F.col(side).alias("end")), keep, rings=True) for side in ("after", "before"))
-                rings = onward.join(inner.select(F.col("node").alias("end")), "end", "left_semi").select("node", F.col("low").alias("component"))
-                found.append(keep(rings))
-                chains = onward.join(found[-1].select("node"), "node", "left_anti").select("node", F.col("end").alias("after"))
-                chains = keep(chains.join(back.select("node", F.col("end").alias("before")), "node"))
-                kept = links.join(inner.select(F.col("node").alias("_from")), "_from", "left_anti").join(inner.select(F.col("node").alias("_to")), "_to", "left_anti")
-                joined = chains.select(F.col("before").alias("_from"), F.col("after").alias("_to"))
-                # A chain that comes back to where it left closes a cycle at its end, which may be part of a larger one.
-                closed = joined.where("_from = _to").select(F.col("_from").alias("node"), F.col("_from").alias("component")).distinct()
-                aside.append((chains, keep(closed)))
-                links = keep(kept.unionAll(joined).where("_from <> _to").distinct())
-            if links.count() < size:
-                continue
-            nodes = links.select(F.explode(F.array("_from", "_to")).alias("node")).distinct()
-            colours = _spread(links, keep(nodes.withColumn("mark", F.col("node"))), keep)
-            own = lambda side: colours.select(F.col("node").alias(side), F.col("mark").alias(f"mark{side}"))
-            same = keep(links.join(own("_from"), "_from").join(own("_to"), "_to").where("mark_from = mark_to").select("_from", "_to"))
-            turned = same.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
-            back = _spread(turned, keep(colours.where("node = mark")), keep).select("node", F.col("mark").alias("component"))
-            back = keep(back)
-            several = back.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-            found.append(keep(back.join(several, "component").select("node", "component")))
-            links = keep(same.join(back.select(F.col("node").alias("_from")), "_from", "left_anti").join(back.select(F.col("node").alias("_to")), "_to", "left_anti"))
-        merged = keep(reduce(DataFrame.unionAll, [loops.limit(0), *found]))
-        with_alone = lambda known, own: known.unionAll(own.join(known.select("node"), "node", "left_anti"))
-        # What was set aside last comes back first, so the ends of a chain are settled before it.
-        for chains, closed in reversed(aside):
-            merged = keep(with_alone(merged, closed))
-            ends = lambda side: merged.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-            shared = chains.join(ends("before"), "before").join(ends("after"), "after").where("c_before = c_after")
-            merged = keep(merged.unionAll(shared.select("node", F.col("c_before").alias("component"))))
-        merged = keep(with_alone(merged, loops))
-        sizes = merged.groupBy("component").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("size"))
-        return stored(merged.join(sizes, "component").select("node", F.col("name").alias("component"), "size"), "cycles")
-
-
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """Nodes up to `depth` steps away (root included) and the edges walked between them."""
     around = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()

@@ -137,22 +137,6 @@ def lineage_circular(spark, folder):
     return lineage.circular_assets(place_edges(spark, folder))
 
 
-@query("lineage_components", """
-WITH RECURSIVE ring AS (SELECT c_custkey AS k, c_custkey // 10 AS own FROM customer),
-e AS (SELECT k AS a, own * 10 + (k + 1) % 10 AS b FROM ring UNION ALL SELECT k, k + 10 FROM ring WHERE k % 10 = 0),
-e2 AS (SELECT * FROM e WHERE b IN (SELECT k FROM ring)),
-w AS (SELECT a, b FROM e2 UNION SELECT w.a, e2.b FROM w JOIN e2 ON w.b = e2.a AND w.a // 10 = e2.b // 10)
-SELECT 'customer:' || x.a AS node, min('customer:' || x.b) AS component, count(*) AS size FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
-def lineage_components(spark, folder):
-    """Customers in rings of ten that hang on a long chain: the rings are the components."""
-    key = F.col("c_custkey")
-    own = table(spark, folder, "customer").select(key)
-    ring = own.select(key.alias("a"), (F.floor(key / 10) * 10 + (key + 1) % 10).alias("b"))
-    chain = own.where(key % 10 == 0).select(key.alias("a"), (key + 10).alias("b"))
-    known = ring.unionAll(chain).join(own.select(key.alias("b")), "b", "left_semi")
-    return lineage.cycle_components(known.select(_node("customer", F.col("a")).alias("source"), _node("customer", F.col("b")).alias("target")))
-
-
 NEAR = """
 near AS (SELECT 'customer:13' AS root, 'customer:13' AS node, 0 AS depth
   UNION SELECT root, CASE WHEN node = source THEN target ELSE source END, depth + 1 FROM near JOIN edges ON node IN (source, target) WHERE depth < 2),
