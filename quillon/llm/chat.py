@@ -73,17 +73,17 @@ class Turn:
 
 
 class Windows:
-    """Cuts one conversation, given turn by turn."""
+    """Cuts one conversation, given turn by turn. A system turn of more than `repeated` tokens is a turn like any other."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, repeated: int):
+        self.budget, self.history, self.repeated = budget, history, repeated
         self.system: Turn | None = None
         self.past: list[Turn] = []
         self.turns: list[Turn] = []
         self.waiting = self.number = self.seen = 0
 
     def add(self, turn: Turn) -> Iterator[tuple]:
-        if not self.seen and turn.role == "system":
+        if not self.seen and turn.role == "system" and turn.tokens <= self.repeated:
             self.system = turn
         self.seen += 1
         self.turns.append(turn)
@@ -131,10 +131,19 @@ class Windows:
 
 
 def formatted(
-    conversations: DataFrame, vocabulary: Vocabulary, budget: int = 2048, history: int = 512, key: str = "conv_id", turn: str = "turn"
+    conversations: DataFrame,
+    vocabulary: Vocabulary,
+    budget: int = 2048,
+    history: int = 512,
+    key: str = "conv_id",
+    turn: str = "turn",
+    repeated: int = 1024,
 ) -> DataFrame:
     """One row per window: key, number, text, tokens, turns of context and new turns, target spans in code points.
 
+    Windows after the first repeat the system turn if it has at most `repeated` tokens (half of the usual budget); a longer
+    one would crowd out the turns, so it stands in its own place alone, in a window of its own once it is over the budget.
+
     Null text is empty, a null role is the empty role, a null turn sorts first; turns of equal number are ordered
     by role and text, and repeated rows are repeated turns. Rows without a key form one conversation. Other columns are not
     read. The windows of a conversation follow each other in one partition.
@@ -165,7 +174,7 @@ def formatted(
                     if conv != own or state is None:
                         if state is not None:
                             out += [(own, w) for w in state.cut()]
-                        own, state = conv, Windows(budget, history)
+                        own, state = conv, Windows(budget, history, repeated)
                     out += [(own, w) for w in state.add(Turn(role, text, begin, n))]
                     held += len(text)
                     if held > 1 << 22 and out:

@@ -62,6 +62,20 @@ def test_windows_keep_every_turn_and_target_once(spark, budget, history):
     assert chat.read_back(chat.formatted(table.limit(0), vocabulary())).collect() == []
 
 
+def test_long_system_turn_is_not_repeated(spark):
+    said = " ".join(f"rule {i}" for i in range(5000))
+    turns = [(1, 0, "system", said)] + [(1, i, ["assistant", "user"][i % 2], f"short turn {i}") for i in range(1, 201)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat.formatted(table, vocabulary()).orderBy("window").collect()
+    assert windows[0]["n_new"] == 1 and windows[0]["n_tokens"] > 10_000
+    assert all(w["n_tokens"] <= 2048 for w in windows[1:])
+    assert sum(len(w["text"]) for w in windows) < 2 * sum(len(t[3]) + 30 for t in turns)
+    new = [t for w in windows for t in chat.parse_turns(w["text"])[w["n_context"] :]]
+    assert new == [(role, text) for _, _, role, text in turns]
+    repeated = chat.formatted(table, vocabulary(), repeated=20_000).where("window > 0").collect()
+    assert all(chat.parse_turns(w["text"])[0] == ("system", said) for w in repeated)
+
+
 # --- mixing
 
 
