@@ -127,6 +127,23 @@ def test_language_rows(spark, language_model):
     assert {r["lang_pred"] for r in langid.identified(docs, langid.train([])).collect()} == {"und"}
 
 
+def test_every_language_is_drawn(spark):
+    """Many languages, one of long texts only, one frequent one, rows without a key."""
+    rows = [(i, f"wort{i} text", f"l{i % 300:03d}", 1, "x", None) for i in range(900)]
+    rows += [(i, f"und{i} der die", "de", 1, "x", None) for i in range(1000, 3000)] + [(None, "aa bb", "de", 1, "x", None)] * 50
+    rows += [(5000 + i, f"langes{i} " * 4000, "lang", 1, "x", None) for i in range(6)] + [(6000, None, "none", 1, "x", None), (6003, "", "none", 1, "x", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    able = {r[2] for r in rows if r[1] and zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 3 != 1}
+    sample = langid.training_sample(docs, most=600)
+    drawn = Counter(label for label, _ in sample)
+    assert set(drawn) == able and len(sample) <= 600 and max(drawn.values()) == 600 // len(able)
+    assert set(Counter(label for label, _ in langid.training_sample(docs, most=10)).values()) == {1}
+    long = next(text for label, text in sample if label == "lang")
+    assert len(long) <= langid.SAMPLE_CHARS and len(set(long.split())) == 1 and len(long.split()) > 1500
+    pieces = langid.sequences([(k, ["w"] * (4000 if k else 1)) for k in range(3)], np.random.default_rng(0), most=20)
+    assert {label for _, labels in pieces for label in labels} == {0, 1, 2}
+
+
 # --- pages
 
 
