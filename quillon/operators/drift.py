@@ -109,24 +109,31 @@ def categorical_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def _as_categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    return long_features(df, columns).withColumn("value", F.col("value").cast("string"))
+
+
+def category_changes(baseline: DataFrame, current: DataFrame, categorical: list[str]) -> DataFrame:
+    """(feature_name, category, change): each category of the named columns that is new or missing, a row for each."""
+    shares = category_shares(_as_categories(baseline, categorical), _as_categories(current, categorical))
+    change = F.when(F.col("n_base") == 0, "new").when(F.col("n_now") == 0, "missing")
+    return shares.select("feature_name", "category", change.alias("change")).where(F.col("change").isNotNull())
+
+
 def feature_drift(baseline: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Drift of the named columns of two tables, each by its kind, with status, alert level and category names.
+    """Drift of the named columns of two tables, each by its kind, with status, alert level and changed categories.
 
-    (feature_name, kind, drift_score, new_categories, missing_categories, drift_status, alert_level); the category
-    lists are sorted and empty for numbers.
+    (feature_name, kind, drift_score, new_categories, missing_categories, drift_status, alert_level); the last but two
+    are counts, 0 for numbers. `category_changes` names the categories.
     """
     parts = []
-    nothing = F.array().cast("array<string>")
     if numeric:
         sides = [numeric_baseline(long_features(df, numeric)) for df in (baseline, current)]
-        parts.append(numeric_drift(*sides).select("feature_name", F.lit("numeric").alias("kind"), "drift_score", nothing.alias("new_categories"), nothing.alias("missing_categories")))
+        none = [F.lit(0).cast("long").alias(c) for c in ("new_categories", "missing_categories")]
+        parts.append(numeric_drift(*sides).select("feature_name", F.lit("numeric").alias("kind"), "drift_score", *none))
     if categorical:
-        sides = [long_features(df, categorical).withColumn("value", F.col("value").cast("string")) for df in (baseline, current)]
-        shares = category_shares(*sides)
-        names = lambda absent: F.array_sort(F.collect_list(F.when(F.col(absent) == 0, F.col("category"))))
-        lists = shares.groupBy("feature_name").agg(names("n_base").alias("new_categories"), names("n_now").alias("missing_categories"))
-        scores = categorical_drift(*sides).select("feature_name", F.lit("categorical").alias("kind"), "drift_score")
-        parts.append(scores.join(lists, "feature_name"))
+        scores = categorical_drift(_as_categories(baseline, categorical), _as_categories(current, categorical))
+        parts.append(scores.withColumn("kind", F.lit("categorical")))
     return with_drift_status(reduce(DataFrame.unionByName, parts))
 
 

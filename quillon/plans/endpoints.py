@@ -174,15 +174,31 @@ def metric_history(spark, folder):
     return experiments.metric_history(run_steps(spark, folder), 3, "view")
 
 
-@query("feature_drift", """
+FINISHED = """c AS (SELECT CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '5-LOW' THEN o_orderpriority ELSE 'to ' || o_orderpriority END AS v, o_orderstatus = 'F' AS base FROM orders),
+s AS (SELECT v, count(*) FILTER (base) AS n_base, count(*) FILTER (NOT base) AS n_now FROM c GROUP BY v)"""
+
+
+def finished_and_open(spark, folder):
+    """Finished orders and the others, whose priorities but the lowest are renamed."""
+    orders = table(spark, folder, "orders").withColumn("done", F.col("o_orderstatus") == "F")
+    same = F.col("done") | (F.col("o_orderpriority") == "5-LOW")
+    rows = orders.withColumn("priority", F.when(same, F.col("o_orderpriority")).otherwise(F.concat(F.lit("to "), "o_orderpriority")))
+    return rows.filter("done"), rows.filter(~F.col("done"))
+
+
+@query("feature_drift", f"""
 WITH n AS (SELECT avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (o_orderstatus <> 'F') AS b, stddev_samp(o_totalprice) FILTER (o_orderstatus = 'F') AS s, stddev_samp(o_totalprice) FILTER (o_orderstatus <> 'F') AS r FROM orders),
-c AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'to ' || o_orderpriority END AS v, o_orderstatus = 'F' AS base FROM orders)
-SELECT 'o_totalprice' AS feature_name, 'numeric' AS kind, round(least((abs(b - a) + abs(r - s)) / (2 * s), 1.0), 6) AS drift_score, '' AS new_categories, '' AS missing_categories FROM n
-UNION ALL SELECT 'priority', 'categorical', 1.0, (SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM c WHERE NOT base), (SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM c WHERE base)""")
+{FINISHED},
+p AS (SELECT *, greatest(n_base / sum(n_base) OVER (), 1e-6) AS b, greatest(n_now / sum(n_now) OVER (), 1e-6) AS w FROM s)
+SELECT 'o_totalprice' AS feature_name, 'numeric' AS kind, round(least((abs(b - a) + abs(r - s)) / (2 * s), 1.0), 6) AS drift_score, 0::BIGINT AS new_categories, 0::BIGINT AS missing_categories FROM n
+UNION ALL SELECT 'priority', 'categorical', round(least(sum((w - b) * ln(w / b)), 1.0), 6), count(*) FILTER (n_base = 0), count(*) FILTER (n_now = 0) FROM p""")
 def feature_drift(spark, folder):
-    """Finished orders against the others, whose priorities are renamed."""
-    orders = table(spark, folder, "orders").withColumn("done", F.col("o_orderstatus") == "F")
-    rows = orders.withColumn("priority", F.when(F.col("done"), F.col("o_orderpriority")).otherwise(F.concat(F.lit("to "), "o_orderpriority")))
-    made = drift.feature_drift(rows.filter("done"), rows.filter(~F.col("done")), ["o_totalprice"], ["priority"])
-    names = {c: F.array_join(c, ",") for c in ("new_categories", "missing_categories")}
-    return rounded(made.withColumns(names), 6, "drift_score").select("feature_name", "kind", "drift_score", *names)
+    made = drift.feature_drift(*finished_and_open(spark, folder), ["o_totalprice"], ["priority"])
+    return rounded(made, 6, "drift_score").select("feature_name", "kind", "drift_score", "new_categories", "missing_categories")
+
+
+@query("feature_drift_categories", f"""
+WITH {FINISHED}
+SELECT 'priority' AS feature_name, v AS category, CASE WHEN n_base = 0 THEN 'new' ELSE 'missing' END AS change FROM s WHERE n_base = 0 OR n_now = 0""")
+def feature_drift_categories(spark, folder):
+    return drift.category_changes(*finished_and_open(spark, folder), ["priority"])
