@@ -110,10 +110,14 @@ def retraining_due(
 
 
 def scored_rows(model, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions and confidences (not a number where the model has none)."""
+    """Predictions and confidences (not a number where the model has none), one of each a row, or an error."""
     matrix = np.array(vectors.tolist(), dtype="float64")
+    if matrix.ndim != 2:  # missing vectors make a row of their own, which a model as wide would take
+        raise ValueError("no vector")
     prediction = np.asarray(model.predict(matrix), dtype="float64")
     confidence = np.max(model.predict_proba(matrix), axis=1) if hasattr(model, "predict_proba") else np.full(len(vectors), np.nan)
+    if np.shape(prediction)[:1] != (len(vectors),) or np.shape(confidence)[:1] != (len(vectors),):
+        raise ValueError("not one prediction a vector")
     return prediction, confidence
 
 

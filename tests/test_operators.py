@@ -570,6 +570,12 @@ def test_scoring_keeps_one_bad_vector_to_itself(spark):
     assert all(got[i]["status"].startswith("error: ") for i in (6, 7, 8))
 
 
+def test_as_many_missing_vectors_as_a_model_has_weights_are_errors(spark):
+    df = spark.createDataFrame([(i, None if i < 2 else [1.0, 2.0], "ok") for i in range(4)], "id int, features array<double>, model string").coalesce(1)
+    got = models.score(df, "id", "features", "model", {"ok": models.LinearModel([1.0, 2.0], 0.5)})
+    assert rows(got, "id", "prediction", "status") == [(0, None, "error: no vector"), (1, None, "error: no vector"), (2, 5.5, "success"), (3, 5.5, "success")]
+
+
 # -- features -----------------------------------------------------------------------------------
 
 
