@@ -120,11 +120,17 @@ def category_changes(baseline: DataFrame, current: DataFrame, categorical: list[
     return shares.select("feature_name", "category", change.alias("change")).where(F.col("change").isNotNull())
 
 
+def changed_names(changes: DataFrame) -> DataFrame:
+    """(feature_name, new_categories, missing_categories): the names of `category_changes` as one sorted list of each kind."""
+    names = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("category"))))
+    return changes.groupBy("feature_name").agg(names("new").alias("new_categories"), names("missing").alias("missing_categories"))
+
+
 def feature_drift(baseline: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Drift of the named columns of two tables, each by its kind, with status, alert level and changed categories.
 
     (feature_name, kind, drift_score, new_categories, missing_categories, drift_status, alert_level); the last but two
-    are counts, 0 for numbers. `category_changes` names the categories.
+    are counts, 0 for numbers. `category_changes` names the categories, `changed_names` in one row.
     """
     parts = []
     if numeric:

@@ -17,6 +17,7 @@ from quillon.operators.events import check_events, split_events
 from quillon.operators.ingestion import ingest
 from quillon.operators.olap import Cube, CubeQuery, CubeSchema, Dimension, Level, Measure
 from quillon.operators.windows import Agg, Everything, Session, Sliding, Tumbling, window_aggregate
+from quillon.plans.catalogue import QUERIES
 from quillon.sources import catalog, files
 
 
@@ -525,6 +526,16 @@ def test_categorical_drift_and_status(spark):
     assert [r["drift_status"] for r in drift.with_drift_status(scores).collect()] == ["no_drift", "low_drift", "medium_drift", "high_drift"]
 
 
+def test_changed_categories_are_named_in_a_row(spark, sf):
+    mark = lambda names: spark.createDataFrame([(n,) for n in names], "kind string")
+    named = drift.changed_names(drift.category_changes(mark(["a", "b", "c"]), mark(["a", "z", "y", None]), ["kind"]))
+    assert rows(named) == [("kind", ["y", "z"], ["b", "c"])]
+    got = {r["feature_name"]: r for r in QUERIES["feature_drift"](spark, sf).collect()}
+    gone = got["priority"]["missing_categories"].split(",")
+    assert len(gone) == 5 and got["priority"]["new_categories"].split(",") == [f"to {name}" for name in gone]
+    assert (got["o_totalprice"]["new_categories"], got["o_totalprice"]["missing_categories"]) == ("", "")
+
+
 def test_chi_square_scales_and_flags_new_categories(spark):
     text = lambda **n: spark.createDataFrame([("f", k) for k, c in n.items() for _ in range(c)], "feature_name string, value string")
     same = drift.categorical_chi_square(text(a=50, b=50), text(a=20, b=20)).first()
