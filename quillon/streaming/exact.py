@@ -1,15 +1,21 @@
 """Exact distinct counts and percentiles over stream windows, by state and timers.
 
-Spark's own stream aggregations only have approximate forms of both. Here the state of a window is a map
-from value to count for each such aggregation, and one row of partial results for the others. A timer at the
-window's end reads the state, emits the row and clears it, so the state holds the open windows only.
+Spark's own stream aggregations only have approximate forms of both. Here the state of a window is
+chunks: for each piece of input the values of each such aggregation, repeated ones once with their count, and one partial
+result for each other. A piece of input costs a few calls of the state, however many values it has. A timer at the window's
+end reads the chunks one by one, emits the row and clears them, so the state holds the open windows only; more than HELD
+values are never in memory together, but compared part by part over several readings.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,33 +24,36 @@ from quillon.operators.windows import Agg, Session, Tumbling, _prepared, _starts
 
 COUNTED = {"distinct_count", "percentile"}
 NUMBERS = {"sum", "avg", "min", "max", "percentile"}
-#: What a window keeps of an aggregation that is not counted by value.
-PARTIAL = "n long, total double, at long, tie string, value string, number double"
+#: The fields of a partial result: rows, total, time, tie, value as text, number.
 NONE = (0, 0.0, None, None, None, None)
+#: Values that are compared in memory at once.
+HELD = 1 << 20
 
 
-def _present(values: pd.Series) -> pd.Series:
-    return values[values.notna()]
+def _counts(kind: str, values: np.ndarray) -> tuple:
+    """Values and how often each occurs, in built-in types: texts, or numbers as bytes of doubles."""
+    if kind == "percentile":
+        number, n = np.unique(values[~np.isnan(values)] + 0.0, return_counts=True)
+        return number.tobytes(), n.astype("int64").tobytes()
+    return tuple(set(map(str, values[~pd.isna(values)].tolist()))), None
 
 
-def _partial(kind: str, rows: pd.DataFrame, column: str) -> tuple:
-    """One batch's part of an aggregation, in the fields of PARTIAL."""
+def _partial(kind: str, values: np.ndarray, times: np.ndarray, ties: np.ndarray) -> tuple:
+    """One batch's part of an aggregation, in the fields of a partial result."""
     if kind == "count":
-        return (len(rows), *NONE[1:])
-    kept = rows[rows[column].notna()]
+        return (len(times), *NONE[1:])
+    kept = np.flatnonzero(~pd.isna(values))
     if not len(kept):
         return NONE
-    values = kept[column]
     if kind in ("sum", "avg"):
-        return (len(values), float(values.sum()), *NONE[2:])
+        return (len(kept), float(values[kept].sum()), *NONE[2:])
     if kind in ("min", "max"):
-        return (len(values), *NONE[1:5], float(values.min() if kind == "min" else values.max()))
-    times = kept["us"]
-    edge = kept[times == (times.min() if kind == "first" else times.max())]
-    ties = edge["tie"].tolist()
+        return (len(kept), *NONE[1:5], float(values[kept].min() if kind == "min" else values[kept].max()))
+    pick = min if kind == "first" else max
+    at = times[kept].min() if kind == "first" else times[kept].max()
     # Ties sort as in a batch: numbers by size, null first.
-    place = (min if kind == "first" else max)(range(len(ties)), key=lambda i: _order(ties[i], edge[column].iloc[i]))
-    return (len(kept), 0.0, int(edge["us"].iloc[place]), ties[place], str(edge[column].iloc[place]), None)
+    tie, value = pick(((None if pd.isna(ties[i]) else ties[i], values[i]) for i in kept[times[kept] == at]), key=lambda p: _order(*p))
+    return (len(kept), 0.0, int(at), tie, str(value), None)
 
 
 def _order(tie: str | None, value: object) -> tuple:
@@ -80,58 +89,126 @@ def _result(kind: str, part: tuple):
     return part[4]
 
 
+def _buckets(numbers: np.ndarray, shift: int) -> np.ndarray:
+    """The leading bits of doubles as unsigned numbers that sort as they do."""
+    bits = numbers.view("uint64")
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top) >> np.uint64(shift)
+
+
+def _distinct(texts: Callable[[], Iterator[tuple]], size: int) -> int:
+    """How many texts differ, by as many readings as their number needs to be compared a part at a time."""
+    parts = 1 + size // HELD
+    if parts == 1:
+        return len({text for some in texts() for text in some})
+    return sum(len({text for some in texts() for text in some if zlib.crc32(text.encode()) % parts == part}) for part in range(parts))
+
+
+def _indexed(counts: Callable[[], Iterator[tuple]], size: int, percent: float) -> float | None:
+    """The value at min(int(n * percent / 100), n - 1) of the sorted values, by a histogram a reading until what is left fits."""
+    arrays = lambda: ((np.frombuffer(v, "float64"), np.frombuffer(n, "int64")) for v, n in counts())
+    total = int(sum(n.sum() for _, n in arrays()))
+    if not total:
+        return None
+    index, shift, inside = min(math.floor(total * percent / 100.0), total - 1), 64, None
+    while size > HELD and shift:
+        shift -= 16
+        seen, entries = np.zeros(1 << 16, "int64"), np.zeros(1 << 16, "int64")
+        for numbers, n in arrays():
+            bucket = _buckets(numbers, shift)
+            if inside is not None:
+                own = bucket >> np.uint64(16) == inside
+                bucket, n = bucket[own], n[own]
+            low = (bucket & np.uint64(0xFFFF)).astype("int64")
+            np.add.at(seen, low, n)
+            np.add.at(entries, low, 1)
+        place = int(np.searchsorted(np.cumsum(seen), index, "right"))
+        index -= int(seen[:place].sum())
+        size, inside = int(entries[place]), np.uint64(((int(inside) if inside is not None else 0) << 16) + place)
+    if not shift:  # all bits are known: one value is left
+        key = int(inside)
+        return float(np.array([key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)], "uint64").view("float64")[0])
+    if inside is None:
+        kept = list(arrays())
+    else:
+        kept = [(numbers[own], n[own]) for numbers, n in arrays() if (own := _buckets(numbers, shift) == inside).any()]
+    numbers, n = (np.concatenate(part) for part in zip(*kept))
+    order = np.argsort(numbers, kind="stable")
+    return float(numbers[order][np.searchsorted(np.cumsum(n[order]), index, "right")])
+
+
 class _Windows(StatefulProcessor):
-    """Common to fixed windows and sessions: both keep counts and partials under a window's start."""
+    """Common to fixed windows and sessions: chunks of runs, a run being what one micro-batch adds to one window.
+
+    The head says which chunks there are and how many values they hold, and the spans of the open windows. A chunk is
+    written once per piece of input and read when a window ends, chunk by chunk.
+    """
 
     def __init__(self, aggs: list[Agg], gap_us: int = 0):
         self.aggs, self.gap = aggs, gap_us
-        self.counted = [at for at, agg in enumerate(aggs) if agg.kind in COUNTED]
-        self.plain = [at for at, agg in enumerate(aggs) if agg.kind not in COUNTED]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "start long", "low long, high long")
-        self.counts = handle.getMapState("counts", "start long, at int, value string", "n long")
-        self.parts = handle.getMapState("parts", "start long, at int", PARTIAL)
-
-    def add(self, start: int, rows: pd.DataFrame, fresh: bool) -> None:
-        """Rows of one window into its state; repeated values meet the state once per batch, and a fresh window is not asked."""
-        for at in self.counted:
-            values = _present(rows[f"f{at}"])
-            if self.aggs[at].kind == "percentile":
-                values = (values + 0.0).map(float.hex)
-            for value, n in values.value_counts().items():
-                place = (start, at, str(value))
-                self.counts.updateValue(place, (int(n) + (0 if fresh else self.count(place)),))
-        for at in self.plain:
-            kind, place = self.aggs[at].kind, (start, at)
-            part = _partial(kind, rows, f"f{at}")
-            self.parts.updateValue(place, part if fresh else _joined(kind, tuple(self.parts.getValue(place)), part))
-
-    def count(self, place: tuple) -> int:
-        have = self.counts.getValue(place)
-        return have[0] if have else 0
-
-    def closed(self, key, start: int, end: int) -> dict:
-        """The row of a window that ended; its state goes."""
-        found: dict[int, dict[str, int]] = {at: {} for at in self.counted}
-        for place, (n,) in list(self.counts.iterator()):
-            if place[0] == start:
-                found[place[1]][place[2]] = n
-                self.counts.removeKey(tuple(place))
-        row = {"k": [key[0]], "start": [start], "end": [end]}
+        self.head = handle.getValueState("head", "head binary")
+        self.chunks = handle.getMapState("chunks", "number long", "runs binary")
+
+    def opened(self) -> tuple[dict[int, int], list[tuple[int, int]]]:
+        """Values by chunk, and spans."""
+        held = self.head.get()
+        return pickle.loads(held[0]) if held else ({}, [])
+
+    def keep(self, sizes: dict[int, int], spans: list[tuple[int, int]]) -> None:
+        if sizes:
+            self.head.update((pickle.dumps((sizes, spans)),))
+        else:
+            self.head.clear()
+
+    def write(self, sizes: dict[int, int], number: int, runs: list[tuple]) -> None:
+        values = (part[0] for _, _, parts in runs for part in parts if len(part) == 2)
+        sizes[number] = sum(len(some) // (8 if isinstance(some, bytes) else 1) for some in values)
+        self.chunks.updateValue((number,), (pickle.dumps(runs),))
+
+    def read(self, number: int) -> list[tuple]:
+        return pickle.loads(self.chunks.getValue((number,))[0])
+
+    def runs(self, frame: pd.DataFrame, cuts: list[int]) -> list[tuple]:
+        """(low, high, parts) of the rows from each cut to the next."""
+        times, ties = frame["us"].to_numpy(), frame["tie"].to_numpy()
+        columns = []
+        for at, agg in enumerate(self.aggs):
+            values = frame[f"f{at}"] if agg.field is not None else frame["us"]
+            columns.append(values.to_numpy(dtype="float64", na_value=np.nan) if agg.kind in NUMBERS else values.to_numpy())
+        found = []
+        for low, high in zip(cuts, [*cuts[1:], len(frame)]):
+            parts = [
+                _counts(agg.kind, values[low:high]) if agg.kind in COUNTED else _partial(agg.kind, values[low:high], times[low:high], ties[low:high])
+                for agg, values in zip(self.aggs, columns)
+            ]
+            found.append((int(times[low:high].min()), int(times[low:high].max()), parts))
+        return found
+
+    def results(self, runs: Callable[[], Iterator[list]], size: int) -> list:
+        """The aggregations of a window, from what reads the parts of its runs."""
+        plain = {at: NONE for at, agg in enumerate(self.aggs) if agg.kind not in COUNTED}
+        if plain:
+            for parts in runs():
+                for at in plain:
+                    plain[at] = _joined(self.aggs[at].kind, plain[at], parts[at])
+        row = []
         for at, agg in enumerate(self.aggs):
             if agg.kind == "distinct_count":
-                value = len(found[at])
+                row.append(_distinct(lambda at=at: (parts[at][0] for parts in runs()), size))
             elif agg.kind == "percentile":
-                value = _indexed({float.fromhex(v): n for v, n in found[at].items()}, agg.percentile)
+                row.append(_indexed(lambda at=at: (parts[at] for parts in runs()), size, agg.percentile))
             else:
-                value = _result(agg.kind, tuple(self.parts.getValue((start, at))))
-                self.parts.removeKey((start, at))
-            row[f"r{at}"] = [value]
-        self.spans.removeKey((start,))
+                row.append(_result(agg.kind, plain[at]))
         return row
 
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        """(start, end, results) of closed windows as rows to return."""
+        names = ["k", "start", "end", *[f"r{at}" for at in range(len(self.aggs))]]
+        return pd.DataFrame([(key[0], start, end, *made) for start, end, made in rows], columns=names)
+
     def timer(self, end_us: int) -> None:
         self.handle.registerTimer(max(-(-end_us // 1000), 0))
 
@@ -139,42 +216,35 @@ class _Windows(StatefulProcessor):
         pass
 
 
-def _indexed(counts: dict[float, int], percent: float) -> float | None:
-    """The value at min(int(n * percent / 100), n - 1) of the sorted values."""
-    total = sum(counts.values())
-    if not total:
-        return None
-    index, before = min(math.floor(total * percent / 100.0), total - 1), 0
-    for value in sorted(counts):
-        before += counts[value]
-        if index < before:
-            return value
-    return None
-
-
 class FixedWindow(_Windows):
     """The state of one key and window; the group is (key, start, end)."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, end = int(key[1]), int(key[2])
+        if end <= timerValues.getCurrentWatermarkInMs() * 1000:
+            for _ in rows:
+                pass  # too late
+            return iter(())
+        sizes, _ = self.opened()
+        if not sizes:
+            self.timer(end)
         for frame in rows:
-            if end <= timerValues.getCurrentWatermarkInMs() * 1000:
-                continue  # too late
-            fresh = not self.spans.containsKey((start,))
-            if fresh:
-                self.spans.updateValue((start,), (start, end))
-                self.timer(end)
-            self.add(start, frame, fresh)
+            self.write(sizes, len(sizes), self.runs(frame, [0]))
+        self.keep(sizes, [(start, end)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         start, end = int(key[1]), int(key[2])
-        if not self.spans.containsKey((start,)):
+        sizes, _ = self.opened()
+        if not sizes:
             return
         if end > timerValues.getCurrentWatermarkInMs() * 1000:
             self.handle.registerTimer(-(-end // 1000) + 1)
             return
-        yield pd.DataFrame(self.closed(key, start, end))
+        yield self.frame(key, [(start, end, self.results(lambda: (parts for number in sizes for _, _, parts in self.read(number)), sum(sizes.values())))])
+        for number in sizes:
+            self.chunks.removeKey((number,))
+        self.keep({}, [])
 
 
 class Sessions(_Windows):
@@ -182,47 +252,65 @@ class Sessions(_Windows):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
+        sizes, spans = self.opened()
+        number = max(sizes, default=-1)
         for frame in rows:
-            frame = frame[frame["us"] >= mark].sort_values("us", kind="stable")
-            if not len(frame):
+            times = frame["us"].to_numpy()
+            order = np.argsort(times, kind="stable")
+            order = order[times[order] >= mark]
+            if not len(order):
                 continue
-            run = (frame["us"].diff() > self.gap).cumsum()
-            for _, part in frame.groupby(run):
-                self.join(int(part["us"].iloc[0]), int(part["us"].iloc[-1]), part)
+            runs = self.runs(frame.iloc[order], [0, *(np.flatnonzero(np.diff(times[order]) > self.gap) + 1).tolist()])
+            self.write(sizes, number := number + 1, runs)
+            spans = self.joined(spans + [run[:2] for run in runs])
+        if sizes:
+            self.keep(sizes, spans)
+            self.timer(min(high for _, high in spans) + self.gap + 1)
         return iter(())
 
-    def join(self, low: int, high: int, rows: pd.DataFrame) -> None:
-        """Adds a run of events, and makes one session of it and all that it touches."""
-        met = sorted((start, a, b) for (start,), (a, b) in list(self.spans.iterator()) if a - self.gap <= high and low <= b + self.gap)
-        start = met[0][0] if met else low
-        for other, _, _ in met[1:]:
-            self.move(other, start)
-        low, high = min([low, *(a for _, a, _ in met)]), max([high, *(b for _, _, b in met)])
-        self.spans.updateValue((start,), (low, high))
-        self.add(start, rows, not met)
-        self.timer(high + self.gap + 1)
-
-    def move(self, old: int, new: int) -> None:
-        for place, (n,) in list(self.counts.iterator()):
-            if place[0] == old:
-                target = (new, place[1], place[2])
-                self.counts.updateValue(target, (n + self.count(target),))
-                self.counts.removeKey(tuple(place))
-        for at in self.plain:
-            part = _joined(self.aggs[at].kind, tuple(self.parts.getValue((new, at))), tuple(self.parts.getValue((old, at))))
-            self.parts.updateValue((new, at), part)
-            self.parts.removeKey((old, at))
-        self.spans.removeKey((old,))
+    def joined(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans in order, those at most the gap apart made one."""
+        made: list[tuple[int, int]] = []
+        for low, high in sorted(spans):
+            if made and low <= made[-1][1] + self.gap:
+                made[-1] = (made[-1][0], max(high, made[-1][1]))
+            else:
+                made.append((low, high))
+        return made
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Closes what the watermark has passed and sets a timer at the next end."""
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        for (start,), (low, high) in list(self.spans.iterator()):
-            if high + self.gap < mark:
-                row = self.closed(key, start, high + self.gap)
-                row["start"] = [low]
-                yield pd.DataFrame(row)
-            elif high + self.gap + 1 <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + 1)
+        sizes, spans = self.opened()
+        ended, left = [span for span in spans if span[1] + self.gap < mark], [span for span in spans if span[1] + self.gap >= mark]
+        if ended:
+            yield self.frame(key, self.closed(sizes, ended))
+            lows = {low for low, _ in ended}
+            starts = [low for low, _ in spans]
+            for number in list(sizes):
+                runs = self.read(number)
+                kept = [run for run in runs if starts[bisect_right(starts, run[0]) - 1] not in lows]
+                if not kept:
+                    self.chunks.removeKey((number,))
+                    del sizes[number]
+                elif len(kept) < len(runs):
+                    self.write(sizes, number, kept)
+            self.keep(sizes, left)
+        if left:
+            self.timer(min(high for _, high in left) + self.gap + 1)
+
+    def closed(self, sizes: dict[int, int], ended: list[tuple[int, int]]) -> list[tuple]:
+        """(start, end, results) of sessions that ended. Chunks are held together while they are few, else read for each session."""
+        size = sum(sizes.values())
+        if size > HELD:
+            inside = lambda low, high: (parts for number in sizes for a, _, parts in self.read(number) if low <= a <= high)
+            return [(low, high + self.gap, self.results(lambda low=low, high=high: inside(low, high), size)) for low, high in ended]
+        held = sorted(((a, n, parts) for n, number in enumerate(sizes) for a, _, parts in self.read(number)), key=lambda run: run[:2])
+        lows, made = [run[0] for run in held], []
+        for low, high in ended:
+            own = [parts for _, _, parts in held[bisect_left(lows, low) : bisect_right(lows, high)]]
+            made.append((low, high + self.gap, self.results(lambda own=own: iter(own), size)))
+        return made
 
 
 def _as_text(value: Column, kind: T.DataType) -> Column:

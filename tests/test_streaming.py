@@ -3,13 +3,14 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from quillon.operators.runlog import MetricRule, metric_alerts
 from quillon.operators.windows import Agg, Session, Sliding, Tumbling, window_aggregate
-from quillon.streaming import topics
+from quillon.streaming import exact, topics
 from quillon.streaming.alerts import alert_transitions
 from quillon.streaming.features import feature_writer
 from quillon.streaming.windows import window_writers
@@ -210,3 +211,89 @@ def test_a_late_event_joins_two_open_sessions(spark, tmp_path):
     files = [[(1, "u", at(0), 1.0)], [(2, "u", at(1, 20), 2.0)], [(3, "u", at(0, 40), 3.0)], [(4, "u", at(40), 4.0)]]
     seen, _ = closed(spark, tmp_path, files, Session(50_000), lateness="5 minutes")
     assert [(r[1].minute, r[2].minute, *r[3:]) for r in seen] == [(0, 2, 3, 3, 2.0, 1.0, 3.0)]
+
+
+class Held:
+    """A processor's state in memory, counting the calls that write."""
+
+    def __init__(self):
+        self.writes, self.timers = 0, []
+
+    def getMapState(self, name, key, value):
+        return HeldMap(self)
+
+    def getValueState(self, name, schema):
+        return HeldValue(self)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+        self.writes += 1
+
+
+class HeldMap(dict):
+    def __init__(self, owner):
+        self.owner = owner
+
+    def updateValue(self, key, value):
+        self[key] = value
+        self.owner.writes += 1
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def containsKey(self, key):
+        return key in self
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+class HeldValue:
+    def __init__(self, owner):
+        self.owner, self.value = owner, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+        self.owner.writes += 1
+
+    def clear(self):
+        self.value = None
+
+
+class Times:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+@pytest.mark.parametrize("kind", ["window", "sessions"])
+def test_exact_stream_state_takes_a_piece_of_input_in_few_calls(monkeypatch, kind, most):
+    """However many values it has; a window of more values than may be held together is read part by part, to the same results."""
+    monkeypatch.setattr(exact, "HELD", most, raising=False)
+    aggs = [Agg("count"), Agg("distinct_count", "x"), Agg("percentile", "y", 70)]
+    made = exact.FixedWindow(aggs) if kind == "window" else exact.Sessions(aggs, 10)
+    state = Held()
+    made.init(state)
+    key, y = ("u", 0, 10_000_000), [(-1.0) ** i * (i % 77) / 7 for i in range(900)]
+    rows_ = pd.DataFrame({"us": [i + (10_000 if i >= 600 else 0) for i in range(900)], "tie": [str(i) for i in range(900)], "f1": [f"v{i % 450}" for i in range(900)], "f2": y})
+    list(made.handleInputRows(key, iter([rows_[::2], rows_[1::2]]), Times(0)))
+    assert state.writes <= 8
+    got = pd.concat(made.handleExpiredTimer(key, Times(10_000), Times(10_000)))
+    parts = [y] if kind == "window" else [y[:600], y[600:]]
+    want = [(len(p), min(len(p), 450), sorted(p)[int(len(p) * 0.7)]) for p in parts]
+    assert [tuple(r) for r in got[["r0", "r1", "r2"]].itertuples(index=False)] == want
