@@ -137,5 +137,5 @@ def split_events(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def route_events(valid: DataFrame) -> dict[str, DataFrame]:
-    """One filtered DataFrame per event type."""
+    """One filtered DataFrame per event type. Each reads `valid` anew, so pass rows of a written table, not ones still to be decoded."""
     return {name: valid.filter(F.col("event_type") == name) for name in EVENT_TYPES}

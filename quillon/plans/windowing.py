@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillon.operators import events as event_ops
 from quillon.operators.windows import Agg, Everything, Session, Sliding, Tumbling, window_aggregate, window_definitions
 from quillon.plans.registry import query, rounded, table
+from quillon.session import stored
 from quillon.streaming import topics
 
 HOUR = 3_600_000
@@ -234,7 +235,9 @@ def event_split_valid(spark, folder):
 SELECT CASE WHEN event_type IN ('click', 'view') THEN 'user_action' WHEN event_type = 'error' THEN 'system_event' ELSE 'business_event' END AS route,
   count(*) AS events FROM e WHERE NOT (broken OR no_service OR mystery OR bad_time OR no_payload) GROUP BY ALL""")
 def event_routes(spark, folder):
-    valid, _ = event_ops.split_events(event_ops.check_events(event_json(spark, folder)))
+    """The checked events are written once, so that no route decodes them again."""
+    checked = stored(event_ops.check_events(event_json(spark, folder)).select("event_type", "is_valid"), "routes")
+    valid, _ = event_ops.split_events(checked)
     routes = event_ops.route_events(valid)
     kept = [df.select(F.lit(name).alias("route")) for name, df in routes.items()]
     return reduce(DataFrame.unionAll, kept).groupBy("route").agg(F.count(F.lit(1)).alias("events"))

@@ -536,6 +536,11 @@ def test_changed_categories_are_named_in_a_row(spark, sf):
     assert (got["o_totalprice"]["new_categories"], got["o_totalprice"]["missing_categories"]) == ("", "")
 
 
+def test_routes_read_checked_events_from_a_written_table(spark, sf):
+    made = QUERIES["event_routes"](spark, sf)
+    assert "from_json" not in plan_of(made).lower() and len(made.collect()) == 3
+
+
 def test_chi_square_scales_and_flags_new_categories(spark):
     text = lambda **n: spark.createDataFrame([("f", k) for k, c in n.items() for _ in range(c)], "feature_name string, value string")
     same = drift.categorical_chi_square(text(a=50, b=50), text(a=20, b=20)).first()
