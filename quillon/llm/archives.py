@@ -38,6 +38,8 @@ ORDER = "X-Archive-Order"
 LENGTH = "X-Payload-Length"
 NO_URL = "about:blank"
 RECORDS_PER_FILE = 20_000
+#: Gzip level by Hadoop's name: most of the time of a write goes into it, and higher ones save little.
+LEVEL = "FOUR"
 
 ARC_SCHEMA = (
     "kind string, url string, ip string, date string, mime string, record_order long, head binary, payload binary, payload_bytes long, payload_digest string"
@@ -102,7 +104,8 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000", per_f
 
 
 def write_records(rows: DataFrame, folder: str, separator: str, per_file: int) -> None:
-    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    written = rows.write.option("lineSep", separator).option("maxRecordsPerFile", per_file)
+    written.option("compression", "gzip").option("zlib.compress.level", LEVEL).text(folder)
 
 
 def whole_files(spark: SparkSession, folder: str) -> DataFrame:

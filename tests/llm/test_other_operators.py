@@ -216,6 +216,14 @@ def test_empty_pages(spark):
     assert archives.read_warc(spark, f"{work}/warc").collect() == []
 
 
+def test_archives_are_packed_at_a_lower_gzip_level(spark):
+    work, words = shared_folder(spark, "level"), ["one", "two", "three", "four", "five", "six", "seven"]
+    pages = [(i, f"http://h/{i}", " ".join(random.Random(i).choices(words, k=400))) for i in range(300)]
+    archives.write_arc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{work}/arc")
+    packed = [bytes(r["content"]) for r in archives.whole_files(spark, f"{work}/arc").collect()]
+    assert packed and all(len(data) > 1.005 * len(gzip.compress(gzip.decompress(data), 6)) for data in packed)
+
+
 def tied_documents(kind):
     words = lambda n: " ".join(["word"] * n)
     if kind == "one id":
